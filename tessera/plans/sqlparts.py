@@ -70,3 +70,27 @@ def r6(expr: str) -> str:
 
 def ratio(num: str, den: str) -> str:
     return f"(CASE WHEN ({den}) > 0 THEN CAST({num} AS DOUBLE) / ({den}) ELSE 0.0 END)"
+
+
+def metrics_sql(tp: str = "tp", fp: str = "fp", tn: str = "tn", fn: str = "fn", nd: int = 6,
+                null_if_empty: bool = False) -> str:
+    """precision, recall, f1, accuracy, mcc with the operators' formulas."""
+    tp, fp, tn, fn = (f"CAST({x} AS DOUBLE)" for x in (tp, fp, tn, fn))
+    p = f"(CASE WHEN {tp} + {fp} <> 0 THEN {tp} / ({tp} + {fp}) ELSE 0.0 END)"
+    r = f"(CASE WHEN {tp} + {fn} <> 0 THEN {tp} / ({tp} + {fn}) ELSE 0.0 END)"
+    f1 = f"(CASE WHEN {p} + {r} <> 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END)"
+    acc = f"(CASE WHEN {tp} + {fp} + {tn} + {fn} <> 0 THEN ({tp} + {tn}) / ({tp} + {fp} + {tn} + {fn}) ELSE 0.0 END)"
+    den = f"sqrt(({tp} + {fp}) * ({tp} + {fn}) * ({tn} + {fp}) * ({tn} + {fn}))"
+    mcc = f"(CASE WHEN {den} <> 0 THEN ({tp} * {tn} - {fp} * {fn}) / {den} ELSE 0.0 END)"
+    out = []
+    for name, e in (("precision", p), ("recall", r), ("f1", f1), ("accuracy", acc), ("mcc", mcc)):
+        v = f"round({e}, {nd})"
+        if null_if_empty:
+            v = f"CASE WHEN {tp} + {fp} + {tn} + {fn} > 0 THEN {v} END"
+        out.append(f"{v} AS {name}")
+    return ", ".join(out)
+
+
+def counts_sql(pred: str, truth: str = "is_plagiarized") -> str:
+    return (f"count_if(({pred}) AND {truth}) AS tp, count_if(({pred}) AND NOT {truth}) AS fp, "
+            f"count_if(NOT ({pred}) AND NOT {truth}) AS tn, count_if(NOT ({pred}) AND {truth}) AS fn")
