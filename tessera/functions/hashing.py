@@ -18,6 +18,18 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once and pass it to ``fn`` as a lambda variable.
+
+    Catalyst may substitute a projected column back into its consumers (e.g.
+    when a filter is pushed below a projection); an array expression
+    referenced inside a per-element lambda would then be recomputed for
+    every element. Binding it through a one-element ``transform`` keeps it
+    a single evaluation whatever the optimizer rewrites.
+    """
+    return F.element_at(F.transform(F.array(expr), fn), 1)
+
+
 def safe_range(n: Column, start: int = 1) -> Column:
     """[start .. n] or an empty array when n < start (``sequence`` would count down)."""
     return F.when(n >= start, F.sequence(F.lit(start), n)).otherwise(F.array().cast("array<int>"))
@@ -30,8 +42,7 @@ def md5_long(s: Column) -> Column:
 
 def kgrams(tokens, k: int) -> Column:
     """Overlapping k-token slices; fewer than k tokens -> empty."""
-    t = _c(tokens)
-    return F.transform(safe_range(F.size(t) - k + 1), lambda i: F.slice(t, i, k))
+    return let(_c(tokens), lambda t: F.transform(safe_range(F.size(t) - k + 1), lambda i: F.slice(t, i, k)))
 
 
 def kgram_hashes(tokens, k: int, hash_fn: str = "xxhash64") -> Column:
@@ -40,14 +51,15 @@ def kgram_hashes(tokens, k: int, hash_fn: str = "xxhash64") -> Column:
     ``xxhash64`` is the fast default; ``md5`` (60-bit prefix of the md5 of the
     k-gram joined by \\x1f) is reproducible outside Spark, e.g. in DuckDB.
     """
-    t = _c(tokens)
     if hash_fn == "xxhash64":
-        fn = lambda i: F.xxhash64(F.slice(t, i, k))
+        def one(t, i):
+            return F.xxhash64(F.slice(t, i, k))
     elif hash_fn == "md5":
-        fn = lambda i: md5_long(F.array_join(F.slice(t, i, k), SEP))
+        def one(t, i):
+            return md5_long(F.array_join(F.slice(t, i, k), SEP))
     else:
         raise ValueError(f"unknown hash function {hash_fn!r}")
-    return F.transform(safe_range(F.size(t) - k + 1), fn)
+    return let(_c(tokens), lambda t: F.transform(safe_range(F.size(t) - k + 1), lambda i: one(t, i)))
 
 
 def winnow(hashes, w: int) -> Column:
@@ -58,10 +70,13 @@ def winnow(hashes, w: int) -> Column:
     than ``w`` is one window (its global minimum); an empty one gives [].
     ``pos`` is the 0-based k-gram index. ``w == 1`` keeps every k-gram.
     """
-    h = _c(hashes)
-    n = F.size(h)
     if w == 1:
-        return F.transform(h, lambda x, i: F.struct(i.alias("pos"), x.alias("hash")))
+        return F.transform(_c(hashes), lambda x, i: F.struct(i.alias("pos"), x.alias("hash")))
+    return let(_c(hashes), lambda h: _winnow(h, w))
+
+
+def _winnow(h: Column, w: int) -> Column:
+    n = F.size(h)
     wl = F.least(F.lit(w), n)
     n_windows = F.when(n > 0, F.greatest(n - w + 1, F.lit(1))).otherwise(F.lit(0))
 

@@ -40,9 +40,9 @@ OPERATOR_RE = r"==|!=|<=|>=|&&|\|\||\+\+|--|\+=|-=|\*=|/=|->|::|<<|>>"
 PUNCT_RE = r"[^ \t\r\n\f\x0BA-Za-z0-9_$À-ÿ]"
 TOKEN_RE = "|".join([STRING_RE, CHAR_RE, NUMBER_RE, IDENT_RE, OPERATOR_RE, PUNCT_RE])
 
-BLOCK_COMMENT_RE = r"/\*(?:[^*]|\*+[^*/])*\*+/"
+BLOCK_COMMENT_RE = r"/\*[\s\S]*?\*/"
 LINE_COMMENT_RE = r"//[^\n]*"
-HTML_COMMENT_RE = r"<!--(?:[^-]|-[^-]|--+[^->])*--+>"
+HTML_COMMENT_RE = r"<!--[\s\S]*?-->"
 # Comments are removed, but a string literal is matched first and kept, so a
 # "//" inside a string survives.
 NOISE_RE = "(" + STRING_RE + ")|" + BLOCK_COMMENT_RE + "|" + LINE_COMMENT_RE + "|" + HTML_COMMENT_RE

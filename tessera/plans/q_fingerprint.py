@@ -26,3 +26,108 @@ FROM pairs
 def e7_coverage(spark, root):
     """Winnowed (k=5, w=4, md5) coverage of every benchmark item x document pair."""
     return detect.anchor_coverage(spark, root)
+
+
+# ---------------------------------------------------------------------------
+# E1-E6, E8 on documents (word 5-grams)
+# ---------------------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions.hashing import kgram_hashes, kgrams  # noqa: E402
+from ..operators import fingerprint as fpo  # noqa: E402
+
+_WT = S.word_tokens("text")
+
+
+@register("e1_kgrams", f"""
+SELECT doc_id, CAST(greatest(len(t) - 4, 0) AS BIGINT) AS n_kgrams,
+       md5(array_to_string(list_transform(range(0, greatest(len(t) - 4, 0)),
+           lambda i: array_to_string(t[i + 1 : i + 5], ' ')), chr(30))) AS digest
+FROM (SELECT doc_id, {_WT} AS t FROM documents)""")
+def e1_kgrams(spark, root):
+    """Overlapping 5-token slices per document (fewer than 5 tokens -> none)."""
+    d = detect.word_docs(spark, root)
+    g = kgrams("tokens", 5)
+    return d.select("doc_id", F.size(g).cast("long").alias("n_kgrams"),
+                    F.md5(F.array_join(F.transform(g, lambda x: F.array_join(x, " ")), "\x1e")).alias("digest"))
+
+
+@register("e2_hash_kgrams", f"""
+SELECT doc_id, CAST(greatest(len(t) - 4, 0) AS BIGINT) AS n_hashes,
+       md5(array_to_string(list_transform(range(0, greatest(len(t) - 4, 0)),
+           lambda i: substr(md5(array_to_string(t[i + 1 : i + 5], chr(31))), 1, 15)), ',')) AS digest
+FROM (SELECT doc_id, {_WT} AS t FROM documents)""")
+def e2_hash_kgrams(spark, root):
+    """One 60-bit md5 hash per 5-gram, in position order."""
+    d = detect.word_docs(spark, root).select("doc_id", kgram_hashes("tokens", 5, "md5").alias("h"))
+    hexes = F.transform("h", lambda x: F.lpad(F.lower(F.hex(x)), 15, "0"))
+    return d.select("doc_id", F.size("h").cast("long").alias("n_hashes"), F.md5(F.array_join(hexes, ",")).alias("digest"))
+
+
+@register("e3_winnow", f"""
+WITH {S.fingerprint_ctes('s', 'documents', 'doc_id', _WT, 5, 4)}
+SELECT doc_id, count(*) AS n_fp, md5(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos)) AS digest
+FROM s_fp GROUP BY doc_id""")
+def e3_winnow(spark, root):
+    """Winnowed fingerprints (w=4, rightmost minimum, full windows only)."""
+    fp = fpo.fingerprints(detect.word_docs(spark, root), k=5, w=4, hash_fn="md5").filter("n_fp > 0")
+    return fp.select("doc_id", "n_fp",
+                     F.md5(F.array_join(F.transform("fp", lambda x: x["pos"].cast("string")), ",")).alias("digest"))
+
+
+@register("e4_fingerprint_index", f"""
+WITH {S.fingerprint_ctes('s', 'documents', 'doc_id', _WT, 5, 4)},
+  freq AS (SELECT h, count(*) AS df FROM s_dh GROUP BY h)
+SELECT df, count(*) AS n_hashes FROM freq GROUP BY df""")
+def e4_fingerprint_index(spark, root):
+    """Fingerprint index and its document-frequency profile (hashes per df)."""
+    dh = detect.doc_hash_table(detect.word_docs(spark, root))
+    return fpo.document_frequency(dh).groupBy("df").agg(F.count(F.lit(1)).alias("n_hashes"))
+
+
+@register("e5_drop_common", f"""
+WITH {S.fingerprint_ctes('s', 'documents', 'doc_id', _WT, 5, 4)}, {S.df_filter('s', 20, 2)}
+SELECT doc_id, count(*) AS kept_hashes, CAST(sum(n_pos) AS BIGINT) AS kept_positions FROM s_keep GROUP BY doc_id""")
+def e5_drop_common(spark, root):
+    """Fingerprints kept per document once df < 2 and df > 20 are dropped."""
+    dh = detect.doc_hash_table(detect.word_docs(spark, root))
+    kept = fpo.drop_common(dh, max_df=20, min_df=2)
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept_hashes"), F.sum("n_pos").alias("kept_positions"))
+
+
+_PAIRS_SQL = f"""
+WITH {S.fingerprint_ctes('s', 'documents', 'doc_id', _WT, 5, 1)}, {S.df_filter('s', 20, 2)},
+  pairs AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared,
+                   CAST(sum(a.n_pos) AS BIGINT) AS covered_a, CAST(sum(b.n_pos) AS BIGINT) AS covered_b,
+                   max(a.n_fp) AS total_a, max(b.n_fp) AS total_b
+            FROM s_keep a JOIN s_keep b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2)"""
+
+
+def doc_pairs(spark, root, w=1, max_df=20, scope=()):
+    """Document pairs sharing a 5-gram with 2 <= df <= max_df (coverage counts)."""
+    dh = detect.doc_hash_table(detect.word_docs(spark, root, keep=scope), w=w, keep=scope)
+    kept = fpo.drop_common(dh, max_df=max_df, min_df=2)
+    return fpo.candidate_pairs(kept, scope=scope)
+
+
+@register("e6_candidate_pairs", f"""{_PAIRS_SQL}
+SELECT doc_a, doc_b, shared FROM pairs""")
+def e6_candidate_pairs(spark, root):
+    """Self equi-join on 5-gram hash (all 5-grams), 2 <= df <= 20, doc_a < doc_b."""
+    return doc_pairs(spark, root).select("doc_a", "doc_b", "shared")
+
+
+@register("e8_apply_metric", f"""{_PAIRS_SQL}
+SELECT doc_a, doc_b, covered_a, covered_b, total_a, total_b,
+       {S.r6(S.ratio('covered_a + covered_b', 'total_a + total_b'))} AS combined,
+       {S.r6(f"greatest({S.ratio('covered_a', 'total_a')}, {S.ratio('covered_b', 'total_b')})")} AS max_sim,
+       {S.r6(f"({S.ratio('covered_a', 'total_a')} + {S.ratio('covered_b', 'total_b')}) / 2.0")} AS avg_sim,
+       {S.r6(f"{S.ratio('covered_a', 'total_a')} * {S.ratio('covered_b', 'total_b')}")} AS product_sim
+FROM pairs""")
+def e8_apply_metric(spark, root):
+    """COMBINED / MAX / AVG / PRODUCT on the coverage of every candidate pair."""
+    p = doc_pairs(spark, root)
+    for m, name in (("combined", "combined"), ("max", "max_sim"), ("avg", "avg_sim"), ("product", "product_sim")):
+        p = fpo.apply_metric(p, m, name).withColumn(name, F.round(name, 6))
+    return p.select("doc_a", "doc_b", "covered_a", "covered_b", "total_a", "total_b",
+                    "combined", "max_sim", "avg_sim", "product_sim")
