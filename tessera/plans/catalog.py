@@ -1,4 +1,4 @@
 """Imports every catalogue module so that the registry is complete."""
 
-from . import q_evaluate, q_exact, q_fingerprint, q_pairs, q_runs, q_sources, q_tokens  # noqa: F401
+from . import q_evaluate, q_exact, q_fingerprint, q_pairs, q_runs, q_search, q_sources, q_tokens  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

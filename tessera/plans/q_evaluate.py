@@ -294,7 +294,7 @@ def doc_scores(spark, root):
 
     cov = detect.anchor_coverage(spark, root)
     lab = syn.base(spark, root).select("doc_id", "case", "is_plagiarized")
-    return max_over_anchors(lab, cov, "doc_id", ["orig_in_sub", "sub_in_orig"])
+    return max_over_anchors(lab, cov, "doc_id", ["orig_in_sub", "sub_in_orig", "combined"])
 
 
 def _cov_sql():
@@ -303,16 +303,17 @@ def _cov_sql():
 {S.fingerprint_ctes('s', 'documents', 'doc_id', S.word_tokens('text'), 5, 4)},
   cov AS (
     SELECT s.doc_id, o.doc_id AS item_id, {S.ratio('sum(o.n_pos)', 'max(o.n_fp)')} AS a,
-           {S.ratio('sum(s.n_pos)', 'max(s.n_fp)')} AS b
+           {S.ratio('sum(s.n_pos)', 'max(s.n_fp)')} AS b,
+           {S.ratio('sum(o.n_pos) + sum(s.n_pos)', 'max(o.n_fp) + max(s.n_fp)')} AS c
     FROM o_dh o JOIN s_dh s ON o.h = s.h GROUP BY 1, 2),
   dsc AS (
     SELECT b.doc_id, b."case", b.is_plagiarized, coalesce(max(round(a, 6)), 0.0) AS orig_in_sub,
-           coalesce(max(round(b, 6)), 0.0) AS sub_in_orig
+           coalesce(max(round(b, 6)), 0.0) AS sub_in_orig, coalesce(max(round(c, 6)), 0.0) AS combined
     FROM syn_base b LEFT JOIN cov ON cov.doc_id = b.doc_id GROUP BY 1, 2, 3)"""
 
 
 def _metric_sql(m):
-    return {"max": "greatest(orig_in_sub, sub_in_orig)", "avg": "(orig_in_sub + sub_in_orig) / 2.0",
+    return {"combined": "combined", "max": "greatest(orig_in_sub, sub_in_orig)", "avg": "(orig_in_sub + sub_in_orig) / 2.0",
             "orig_in_sub": "orig_in_sub", "sub_in_orig": "sub_in_orig",
             "product": "orig_in_sub * sub_in_orig"}[m]
 
