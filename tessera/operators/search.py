@@ -145,7 +145,10 @@ def diverse_top(df: DataFrame, n: int, min_dist: float, zcols: list[str], order:
     candidates (``limit(1)``) and brings back one row; the distance filter
     runs on the executors.
     """
+    from ..session import cut_lineage
+
     chosen = []
+    df = cut_lineage(df)  # scored once; the rounds re-read the checkpoint
     rest = df
     for _ in range(n):
         top = rest.orderBy(*order).limit(1).collect()
