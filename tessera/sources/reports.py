@@ -82,14 +82,15 @@ COMPARISON_SCHEMA = ("id1 string, id2 string, first_submission string, second_su
                      "similarities map<string,double>, similarity double, percent double")
 
 
-def read_comparison_json(spark: SparkSession, path: str) -> DataFrame:
+def read_comparison_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Nested comparison records -> (first, second, avg, max), both orderings.
 
     AVG falls back over key variants, then the mean of all similarities, then
     the legacy ``similarity`` / ``percent`` field (> 1 means percent);
-    MAX falls back to the largest value of the map.
+    MAX falls back to the largest value of the map. ``multi_line`` for files
+    holding one pretty-printed object each (JSON lines otherwise).
     """
-    df = spark.read.schema(COMPARISON_SCHEMA).option("multiLine", True).json(path)
+    df = spark.read.schema(COMPARISON_SCHEMA).option("multiLine", multi_line).json(path)
     sims = F.col("similarities")
     vals = F.map_values(sims)
     mean = F.when(F.size(vals) > 0, F.aggregate(vals, F.lit(0.0), lambda a, x: a + x) / F.size(vals))
@@ -117,7 +118,7 @@ def read_consists_report(spark: SparkSession, path: str) -> DataFrame:
     m = t.filter(F.col("value").rlike(CONSISTS_RE))
     return m.select(F.regexp_extract("value", CONSISTS_RE, 1).alias("x"),
                     F.regexp_extract("value", CONSISTS_RE, 3).alias("y"),
-                    (F.regexp_extract("value", CONSISTS_RE, 2).cast("double") / 100.0).alias("fraction"))
+                    (F.regexp_extract("value", CONSISTS_RE, 2).try_cast("double") / 100.0).alias("fraction"))
 
 
 def read_record_report(spark: SparkSession, path: str, separator: str = "=====") -> DataFrame:
@@ -128,7 +129,8 @@ def read_record_report(spark: SparkSession, path: str, separator: str = "=====")
                  F.regexp_extract("value", FILE_B_RE, 1).alias("file_b"),
                  F.regexp_extract("value", SIM_A_RE, 1).alias("a"), F.regexp_extract("value", SIM_B_RE, 1).alias("b"))
     r = r.filter((F.col("a") != "") & (F.col("b") != ""))
-    scale = lambda c: F.when(F.col(c).cast("double") > 1, F.col(c).cast("double") / 100).otherwise(F.col(c).cast("double"))
+    scale = lambda c: F.when(F.col(c).try_cast("double") > 1, F.col(c).try_cast("double") / 100).otherwise(
+        F.col(c).try_cast("double"))
     return r.select("file_a", "file_b", scale("a").alias("sim_a"), scale("b").alias("sim_b"))
 
 
@@ -140,19 +142,19 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     head = F.split(parts[0], ",")
     b = t.select(head.alias("h"), parts.alias("p")).filter(F.size("h") >= 10)
     return b.select(
-        F.col("h")[0].alias("folder"), F.col("h")[1].alias("file"), F.col("h")[2].cast("int").alias("start"),
-        F.col("h")[3].cast("int").alias("end"), F.col("h")[4].alias("method"), F.col("h")[5].cast("int").alias("tokens"),
-        F.col("h")[6].cast("int").alias("unique_tokens"), F.col("h")[7].alias("hash"),
-        F.col("h")[8].alias("proj_id"), F.col("h")[9].alias("func_id"),
-        F.transform(F.filter(F.split(F.coalesce(F.col("p")[1], F.lit("")), ","), lambda x: x != ""),
-                    lambda x: x.cast("double")).alias("metrics"),
-        F.filter(F.split(F.coalesce(F.col("p")[2], F.lit("")), ","), lambda x: x != "").alias("calls"))
+        F.get("h", 0).alias("folder"), F.get("h", 1).alias("file"), F.get("h", 2).try_cast("int").alias("start"),
+        F.get("h", 3).try_cast("int").alias("end"), F.get("h", 4).alias("method"), F.get("h", 5).try_cast("int").alias("tokens"),
+        F.get("h", 6).try_cast("int").alias("unique_tokens"), F.get("h", 7).alias("hash"),
+        F.get("h", 8).alias("proj_id"), F.get("h", 9).alias("func_id"),
+        F.transform(F.filter(F.split(F.coalesce(F.get("p", 1), F.lit("")), ","), lambda x: x != ""),
+                    lambda x: x.try_cast("double")).alias("metrics"),
+        F.filter(F.split(F.coalesce(F.get("p", 2), F.lit("")), ","), lambda x: x != "").alias("calls"))
 
 
 def read_clone_pairs(spark: SparkSession, path: str) -> DataFrame:
     """A10: clone pairs 'folder1,file1,start1,end1,folder2,file2,start2,end2'; short rows dropped."""
     t = spark.read.text(path)
     f = t.select(F.split("value", ",").alias("f")).filter(F.size("f") >= 8)
-    return f.select(F.col("f")[0].alias("folder1"), F.col("f")[1].alias("file1"), F.col("f")[2].cast("int").alias("start1"),
-                    F.col("f")[3].cast("int").alias("end1"), F.col("f")[4].alias("folder2"), F.col("f")[5].alias("file2"),
-                    F.col("f")[6].cast("int").alias("start2"), F.col("f")[7].cast("int").alias("end2"))
+    return f.select(F.get("f", 0).alias("folder1"), F.get("f", 1).alias("file1"), F.get("f", 2).try_cast("int").alias("start1"),
+                    F.get("f", 3).try_cast("int").alias("end1"), F.get("f", 4).alias("folder2"), F.get("f", 5).alias("file2"),
+                    F.get("f", 6).try_cast("int").alias("start2"), F.get("f", 7).try_cast("int").alias("end2"))
