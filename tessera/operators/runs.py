@@ -90,11 +90,13 @@ def maximal_runs(seed: DataFrame, r: int, a: str = "doc_a", b: str = "doc_b") ->
 def merge_matches(runs: DataFrame, max_gap: int, min_len: int = 1, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
     """Merge neighbouring matches broken by small insertions.
 
-    Runs of a pair, ordered by (start_a, start_b), are chained while the next
-    run starts 0..max_gap tokens after the previous one ends on *both* sides.
-    Output: (a, b, start_a, end_a, start_b, end_b, n_runs, matched) with
-    end exclusive; merged ranges shorter than ``min_len`` are dropped.
+    Matches shorter than ``min_len`` are ignored; the rest of a pair, ordered
+    by (start_a, start_b), are chained while the next one starts 0..max_gap
+    tokens after the previous one ends on *both* sides (lag + running sum of
+    break flags = island id). Output: (a, b, start_a, end_a, start_b, end_b,
+    n_runs, matched) with exclusive ends.
     """
+    runs = runs.filter(F.col("len") >= min_len)
     w = Window.partitionBy(a, b).orderBy("start_a", "start_b")
     pa = F.lag(F.col("start_a") + F.col("len")).over(w)
     pb = F.lag(F.col("start_b") + F.col("len")).over(w)
@@ -106,7 +108,6 @@ def merge_matches(runs: DataFrame, max_gap: int, min_len: int = 1, a: str = "doc
         F.min("start_a").alias("start_a"), F.max(F.col("start_a") + F.col("len")).alias("end_a"),
         F.min("start_b").alias("start_b"), F.max(F.col("start_b") + F.col("len")).alias("end_b"),
         F.count(F.lit(1)).alias("n_runs"), F.sum("len").alias("matched"))
-    m = m.filter((F.col("end_a") - F.col("start_a")) >= min_len)
     return m.drop("_grp")
 
 

@@ -26,8 +26,8 @@ def read_submissions(spark: SparkSession, root: str, glob: str = "*.java") -> Da
     """A1: one row per file: (case, level, submission_id, role, is_plagiarized,
     file_name, text, key). Dot-directories are skipped (Hadoop ignores
     hidden paths); files outside the layout get role NULL and are dropped."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", glob).text(root))
+    # wholetext must be the keyword: text()'s own default would override an option()
+    df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     p = F.col("_metadata.file_path")
     df = df.select(p.alias("path"), F.col("value").alias("text"))
     role = (F.when(F.col("path").contains("/original/"), F.lit("original"))

@@ -124,7 +124,7 @@ def read_consists_report(spark: SparkSession, path: str) -> DataFrame:
 def read_record_report(spark: SparkSession, path: str, separator: str = "=====") -> DataFrame:
     """A9 (record format): separator-delimited records with File A/B and
     Similarity A/B lines -> (file_a, file_b, sim_a, sim_b)."""
-    t = spark.read.option("lineSep", separator).text(path)
+    t = spark.read.text(path, lineSep=separator)
     r = t.select(F.regexp_extract("value", FILE_A_RE, 1).alias("file_a"),
                  F.regexp_extract("value", FILE_B_RE, 1).alias("file_b"),
                  F.regexp_extract("value", SIM_A_RE, 1).alias("a"), F.regexp_extract("value", SIM_B_RE, 1).alias("b"))
