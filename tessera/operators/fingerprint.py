@@ -113,6 +113,25 @@ def anchor_candidates(orig_dh: DataFrame, sub_dh: DataFrame, scope: tuple[str, .
                  F.sum("n_b").alias("covered_b"), F.max("t_a").alias("total_a"), F.max("t_b").alias("total_b")))
 
 
+def anchor_candidates_from_index(orig_dh: DataFrame, sub_index: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """E6+E7 between originals and submissions without grouping the (big)
+    submission index first: raw fingerprint rows (hash, doc_id, pos, n_fp)
+    are joined to the originals' per-hash table, then collapsed per
+    (orig, sub, hash) and per pair -- only matched rows are shuffled, and
+    when the originals' side is small AQE turns the join into a broadcast,
+    so the index is not shuffled at all. Same output as ``anchor_candidates``.
+    """
+    a = orig_dh.select("hash", *scope, F.col("doc_id").alias("orig_id"), F.col("n_pos").alias("n_a"),
+                       F.col("n_fp").alias("t_a"))
+    b = sub_index.select("hash", *scope, F.col("doc_id").alias("sub_id"), F.col("n_fp").alias("t_b"))
+    per_hash = (a.join(b, ["hash", *scope]).groupBy(*scope, "orig_id", "sub_id", "hash")
+                .agg(F.count(F.lit(1)).alias("n_b"), F.max("n_a").alias("n_a"), F.max("t_a").alias("t_a"),
+                     F.max("t_b").alias("t_b")))
+    return (per_hash.groupBy(*scope, "orig_id", "sub_id")
+            .agg(F.count(F.lit(1)).alias("shared"), F.sum("n_a").alias("covered_a"),
+                 F.sum("n_b").alias("covered_b"), F.max("t_a").alias("total_a"), F.max("t_b").alias("total_b")))
+
+
 def ratio(num, den) -> Column:
     num = F.col(num) if isinstance(num, str) else num
     den = F.col(den) if isinstance(den, str) else den

@@ -36,11 +36,14 @@ def anchor_coverage(spark: SparkSession, root: str, k: int = K, w: int = W, hash
     on the submissions) before the join.
     """
     orig = doc_hash_table(word_docs(spark, root, "benchmark", "item_id"), k, w, hash_fn)
-    subs = doc_hash_table(word_docs(spark, root), k, w, hash_fn)
     if max_df is not None:
+        subs = doc_hash_table(word_docs(spark, root), k, w, hash_fn)
         subs = fpo.drop_common(subs, max_df=max_df)
         orig = fpo.drop_common(orig, max_df=max_df, df_source=subs)
-    pairs = fpo.anchor_candidates(orig, subs)
+        pairs = fpo.anchor_candidates(orig, subs)
+    else:
+        sub_index = fpo.fingerprint_index(fpo.fingerprints(word_docs(spark, root), k=k, w=w, hash_fn=hash_fn))
+        pairs = fpo.anchor_candidates_from_index(orig, sub_index)
     a = fpo.ratio("covered_a", "total_a")
     b = fpo.ratio("covered_b", "total_b")
     comb = fpo.ratio(F.col("covered_a") + F.col("covered_b"), F.col("total_a") + F.col("total_b"))
