@@ -48,18 +48,18 @@ def kgrams(tokens, k: int) -> Column:
 def kgram_hashes(tokens, k: int, hash_fn: str = "xxhash64") -> Column:
     """One long per k-gram, in position order.
 
-    ``xxhash64`` is the fast default; ``md5`` (60-bit prefix of the md5 of the
-    k-gram joined by \\x1f) is reproducible outside Spark, e.g. in DuckDB.
+    ``xxhash64`` (default, fast): every token is hashed once, then each
+    k-gram hashes its k token hashes (longs, not strings). ``md5``: 60-bit
+    prefix of the md5 of the k-gram joined by \x1f -- reproducible outside
+    Spark (DuckDB), used where another engine must agree on the winnowing.
     """
     if hash_fn == "xxhash64":
-        def one(t, i):
-            return F.xxhash64(F.slice(t, i, k))
-    elif hash_fn == "md5":
-        def one(t, i):
-            return md5_long(F.array_join(F.slice(t, i, k), SEP))
-    else:
-        raise ValueError(f"unknown hash function {hash_fn!r}")
-    return let(_c(tokens), lambda t: F.transform(safe_range(F.size(t) - k + 1), lambda i: one(t, i)))
+        return let(F.transform(_c(tokens), lambda t: F.xxhash64(t)),
+                   lambda th: F.transform(safe_range(F.size(th) - k + 1), lambda i: F.xxhash64(F.slice(th, i, k))))
+    if hash_fn == "md5":
+        return let(_c(tokens), lambda t: F.transform(
+            safe_range(F.size(t) - k + 1), lambda i: md5_long(F.array_join(F.slice(t, i, k), SEP))))
+    raise ValueError(f"unknown hash function {hash_fn!r}")
 
 
 def winnow(hashes, w: int) -> Column:
@@ -76,13 +76,23 @@ def winnow(hashes, w: int) -> Column:
 
 
 def _winnow(h: Column, w: int) -> Column:
+    """Window j (1-based start) covers h[j .. j+w-1]; its minimum and the
+    rightmost position holding it are w-term ``least`` / ``when`` expressions
+    over ``get`` (0-based, NULL past the end): no array is allocated per
+    window. A sequence shorter than w has one window (NULLs are ignored)."""
     n = F.size(h)
-    wl = F.least(F.lit(w), n)
     n_windows = F.when(n > 0, F.greatest(n - w + 1, F.lit(1))).otherwise(F.lit(0))
 
     def rightmost_min(j: Column) -> Column:
-        s = F.slice(h, j, wl)
-        return j + wl - F.array_position(F.reverse(s), F.array_min(s)).cast("int")
+        vals = [F.get(h, j - 1 + t) for t in range(w)]
+
+        def position_of(m: Column) -> Column:
+            pos = None
+            for t in range(w - 1, -1, -1):
+                pos = F.when(vals[t] == m, j + t) if pos is None else pos.when(vals[t] == m, j + t)
+            return pos
+
+        return let(F.least(*vals), position_of)  # the minimum is evaluated once
 
     picks = F.array_distinct(F.transform(safe_range(n_windows), rightmost_min))
-    return F.transform(picks, lambda p: F.struct((p - 1).alias("pos"), F.element_at(h, p).alias("hash")))
+    return F.transform(picks, lambda p: F.struct((p - 1).alias("pos"), F.get(h, p - 1).alias("hash")))

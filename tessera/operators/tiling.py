@@ -3,8 +3,8 @@
 The maximal common runs of every pair come from the Spark seed join (E10);
 only the inherently sequential part -- pick the longest remaining run, mark
 its tokens on both sides, trim and re-split the runs it overlaps, repeat --
-runs per pair in ``groupBy(pair).applyInPandas``. A group is one document
-pair's runs, bounded by the two documents, never by the corpus.
+runs per pair in Python over Arrow batches. A pair's runs are bounded by
+the two documents, never by the corpus.
 """
 
 from __future__ import annotations
@@ -43,13 +43,23 @@ def _tile_pair(runs: list[tuple[int, int, int]], min_len: int) -> tuple[int, int
 
 
 def greedy_tiling(runs: DataFrame, min_len: int, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
-    """One-to-one tiles (longest first) per pair: (a, b, tiled, n_tiles)."""
-    def per_pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        rs = list(zip(pdf["start_a"].astype(int), pdf["start_b"].astype(int), pdf["len"].astype(int)))
-        tiled, tiles = _tile_pair(rs, min_len)
-        return pd.DataFrame({a: [pdf[a].iloc[0]], b: [pdf[b].iloc[0]], "tiled": [tiled], "n_tiles": [tiles]})
+    """One-to-one tiles (longest first) per pair: (a, b, tiled, n_tiles).
+
+    The runs of each pair are gathered into one array (bounded by the pair's
+    two documents -- the unit the sequential algorithm needs anyway), then
+    Arrow batches of pairs are tiled by ``mapInPandas``: no per-group pandas
+    overhead when there are millions of small pairs.
+    """
+    sel = runs.filter(F.col("len") >= min_len).select(
+        a, b, F.struct(F.col("start_a").cast("long").alias("sa"), F.col("start_b").cast("long").alias("sb"),
+                       F.col("len").cast("long").alias("ln")).alias("r"))
+    per_pair = sel.groupBy(a, b).agg(F.collect_list("r").alias("runs"))
+
+    def tile(batches):
+        for pdf in batches:
+            res = [_tile_pair([(x["sa"], x["sb"], x["ln"]) for x in rs], min_len) for rs in pdf["runs"]]
+            yield pd.DataFrame({a: pdf[a], b: pdf[b], "tiled": [t for t, _ in res], "n_tiles": [n for _, n in res]})
 
     schema = f"{a} {runs.schema[a].dataType.simpleString()}, {b} {runs.schema[b].dataType.simpleString()}, " \
              "tiled long, n_tiles long"
-    sel = runs.select(a, b, F.col("start_a").cast("long"), F.col("start_b").cast("long"), F.col("len").cast("long"))
-    return sel.groupBy(a, b).applyInPandas(per_pair, schema=schema)
+    return per_pair.mapInPandas(tile, schema=schema)

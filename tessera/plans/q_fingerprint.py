@@ -104,8 +104,13 @@ WITH {S.fingerprint_ctes('s', 'documents', 'doc_id', _WT, 5, 1)}, {S.df_filter('
 
 
 def doc_pairs(spark, root, w=1, max_df=20, scope=()):
-    """Document pairs sharing a 5-gram with 2 <= df <= max_df (coverage counts)."""
-    dh = detect.doc_hash_table(detect.word_docs(spark, root, keep=scope), w=w, keep=scope)
+    """Document pairs sharing a 5-gram with 2 <= df <= max_df (coverage counts).
+
+    Without winnowing (w=1) only hash equality matters, so the fast xxhash64
+    k-gram hash is used; winnowed tables use md5 so DuckDB can reproduce them.
+    """
+    dh = detect.doc_hash_table(detect.word_docs(spark, root, keep=scope), w=w, keep=scope,
+                               hash_fn="xxhash64" if w == 1 else "md5")
     kept = fpo.drop_common(dh, max_df=max_df, min_df=2)
     return fpo.candidate_pairs(kept, scope=scope)
 
