@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import kgram_hashes
 from ..functions.text import statements
+from ..session import cut_lineage
 
 
 def grams_from_tokens(df: DataFrame, r: int, id_col: str = "doc_id", tokens_col: str = "tokens",
@@ -24,20 +25,44 @@ def grams_from_tokens(df: DataFrame, r: int, id_col: str = "doc_id", tokens_col:
             .filter(F.col("pos").isNotNull()))
 
 
-def grams_from_rows(df: DataFrame, seq_col: str, order_cols: list[str], tok_col: str, r: int) -> DataFrame:
-    """(doc_id, pos, hash) for r-grams of row sequences (e.g. events per user).
+def grams_from_rows(df: DataFrame, seq_col: str, order_cols: list[str], tok_col: str, r: int,
+                    n_parts: int | None = None) -> DataFrame:
+    """(doc_id, pos, hash, n) for r-grams of row sequences (e.g. events per user).
 
-    Position and the r-1 following tokens come from one window sorted by
-    ``order_cols`` per sequence (lead, row_number: one sort, spill-capable);
-    the rows are never collected into arrays. Also returns ``n`` = sequence
-    length per position row so fractions need no extra join.
+    Skew-free numbering: rows are range-partitioned on (sequence, order), so
+    a sequence holding a third of all rows is split into contiguous chunks;
+    each chunk numbers its rows with a window keyed by (chunk, sequence) and
+    is materialised once (checkpoint: range bounds are sampled, so the chunk
+    assignment must not be recomputed); a chunk's offset inside its sequence
+    comes from a small table of per-(sequence, chunk) counts. Grams are assembled by sending every row to
+    the r gram starts it belongs to and grouping on (sequence, start) -- a
+    key with at most r rows, never a whole sequence. ``n`` = sequence length.
     """
-    w = Window.partitionBy(seq_col).orderBy(*order_cols)
-    toks = [F.col(tok_col)] + [F.lead(tok_col, j).over(w) for j in range(1, r)]
-    x = df.select(F.col(seq_col).alias("doc_id"), (F.row_number().over(w) - 1).alias("pos"),
-                  F.array(*toks).alias("_g"), F.count(F.lit(1)).over(Window.partitionBy(seq_col)).alias("n"))
-    x = x.filter(F.col("_g")[r - 1].isNotNull())
-    return x.select("doc_id", F.col("pos").cast("int").alias("pos"), F.xxhash64("_g").alias("hash"), "n")
+    spark = df.sparkSession
+    n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = (df.select(F.col(seq_col).alias("doc_id"), *order_cols, F.col(tok_col).alias("tok"))
+         .repartitionByRange(n_parts, "doc_id", *order_cols)
+         .withColumn("_chunk", F.spark_partition_id()))
+    wl = Window.partitionBy("_chunk", "doc_id").orderBy(*order_cols)
+    x = (x.withColumn("_rn", F.row_number().over(wl))
+         .withColumn("_cnt", F.count(F.lit(1)).over(Window.partitionBy("_chunk", "doc_id"))))
+    # Range bounds are sampled per execution: materialise the chunk assignment
+    # once (reliable checkpoint) so numbering and offsets see the same chunks.
+    x = cut_lineage(x.select("doc_id", "tok", "_chunk", "_rn", "_cnt"))
+    counts = x.select("doc_id", "_chunk", "_cnt").distinct()
+    wo = Window.partitionBy("doc_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("doc_id", "_chunk", F.coalesce(F.sum("_cnt").over(wo), F.lit(0)).alias("_off"),
+                            F.sum("_cnt").over(Window.partitionBy("doc_id")).alias("n"))
+    x = x.join(offsets, ["doc_id", "_chunk"]).select("doc_id", (F.col("_off") + F.col("_rn") - 1).alias("pos"),
+                                                      "tok", "n")
+    slots = x.select("doc_id", "n", F.inline(F.array(*[F.struct((F.col("pos") - j).alias("start"), F.lit(j).alias("j"))
+                                                        for j in range(r)])), "tok")
+    slots = slots.filter(F.col("start") >= 0)
+    g = slots.groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("j", "tok"))).alias("_g"),
+                                             F.max("n").alias("n"))
+    g = g.filter(F.size("_g") == r)
+    return g.select("doc_id", F.col("start").cast("int").alias("pos"),
+                    F.xxhash64(F.transform("_g", lambda e: e["tok"])).alias("hash"), "n")
 
 
 def seeds(ga: DataFrame, gb: DataFrame | None = None, a: str = "doc_a", b: str = "doc_b") -> DataFrame:

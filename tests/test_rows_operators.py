@@ -164,3 +164,30 @@ def test_channels(spark):
                   tx.called_names("text").alias("k"), tx.statements("text").alias("st")).first()
     assert r["c"] == ["// c", "/* d */"] and r["s"] == ['"a"'] and r["k"] == ["foo"]
     assert r["st"][0] == 'x = foo("a")'
+
+
+def test_hot_sequence_split_across_chunks(spark):
+    """One user holds most events: numbering across range chunks must equal a
+    plain per-user ordering (positions, grams and sequence length)."""
+    import datetime as dt
+    import random
+
+    rnd = random.Random(5)
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    eid = 0
+    for user, n in ((1, 900), (2, 30), (3, 4)):
+        for i in range(n):
+            eid += 1
+            rows.append((eid, base + dt.timedelta(seconds=rnd.randint(0, 10_000)), user, rnd.choice("abc")))
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
+    g = ro.grams_from_rows(df, "user_id", ["ts", "event_id"], "event_type", 3, n_parts=8)
+    got = {(r["doc_id"], r["pos"]): (r["hash"], r["n"]) for r in g.collect()}
+    # brute force: sort per user, hash every 3 consecutive types with the same Spark function
+    seqs = {}
+    for e, ts, u, t in sorted(rows, key=lambda x: (x[2], x[1], x[0])):
+        seqs.setdefault(u, []).append(t)
+    exp_rows = [(u, p, seq[p:p + 3], len(seq)) for u, seq in seqs.items() for p in range(len(seq) - 2)]
+    exp = spark.createDataFrame(exp_rows, "u long, p int, g array<string>, n long").select(
+        "u", "p", F.xxhash64("g").alias("h"), "n").collect()
+    assert got == {(r["u"], r["p"]): (r["h"], r["n"]) for r in exp}
