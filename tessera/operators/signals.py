@@ -33,34 +33,12 @@ def bag_similarity(pairs: DataFrame, b: DataFrame, name: str, a_col: str = "doc_
     return out.withColumn(name, F.when(den > 0, F.col("_i") / den).otherwise(F.lit(0.0))).drop("_i", "_ta", "_tb")
 
 
-def channel_correlations(pairs: DataFrame, channels: dict[str, DataFrame], a_col: str = "doc_a",
-                         b_col: str = "doc_b") -> DataFrame:
-    """K1: one similarity column per channel bag.
-
-    All channels travel in one bag table keyed by channel, so the pairs are
-    joined once to a's items and probed once against b's items on
-    (doc_b, channel, item); one aggregation pivots the shared mass per
-    channel (explicit pivot values: no extra job).
-    """
-    names = list(channels)
-    bags = None
+def channel_correlations(pairs: DataFrame, channels: dict[str, DataFrame]) -> DataFrame:
+    """K1: one similarity column per channel bag."""
+    out = pairs
     for name, b in channels.items():
-        x = b.select("doc_id", F.lit(name).alias("channel"), "item", "cnt")
-        bags = x if bags is None else bags.unionByName(x)
-    tot = bags.groupBy("doc_id").pivot("channel", names).agg(F.sum("cnt"))
-    left = pairs.select(a_col, b_col).join(
-        bags.select(F.col("doc_id").alias(a_col), "channel", "item", F.col("cnt").alias("ca")), a_col)
-    both = left.join(bags.select(F.col("doc_id").alias(b_col), "channel", "item", F.col("cnt").alias("cb")),
-                     [b_col, "channel", "item"])
-    inter = both.groupBy(a_col, b_col).pivot("channel", names).agg(F.sum(F.least("ca", "cb")))
-    out = pairs.join(inter.select(a_col, b_col, *[F.col(n).alias(f"_i_{n}") for n in names]), [a_col, b_col], "left")
-    out = out.join(tot.select(F.col("doc_id").alias(a_col), *[F.col(n).alias(f"_ta_{n}") for n in names]), a_col, "left")
-    out = out.join(tot.select(F.col("doc_id").alias(b_col), *[F.col(n).alias(f"_tb_{n}") for n in names]), b_col, "left")
-    for n in names:
-        i = F.coalesce(F.col(f"_i_{n}"), F.lit(0))
-        den = F.coalesce(F.col(f"_ta_{n}"), F.lit(0)) + F.coalesce(F.col(f"_tb_{n}"), F.lit(0)) - i
-        out = out.withColumn(n, F.when(den > 0, i / den).otherwise(F.lit(0.0)))
-    return out.drop(*[f"_{p}_{n}" for p in ("i", "ta", "tb") for n in names])
+        out = bag_similarity(out, b, name)
+    return out
 
 
 def rank_pairs(scored: DataFrame, score: str, n: int, items_a: DataFrame, items_b: DataFrame | None = None,
