@@ -79,7 +79,8 @@ def m4_auc(spark, root):
   tot AS (SELECT run_name, count_if(is_plagiarized) AS P, count_if(NOT is_plagiarized) AS N FROM p GROUP BY 1),
   cuts AS (SELECT DISTINCT run_name, similarity AS threshold FROM p),
   pts AS (
-    SELECT c.run_name, c.threshold, count_if(p.is_plagiarized) AS tp, count_if(NOT p.is_plagiarized) AS fp
+    SELECT c.run_name, c.threshold, CAST(count_if(p.is_plagiarized) AS BIGINT) AS tp,
+           CAST(count_if(NOT p.is_plagiarized) AS BIGINT) AS fp
     FROM cuts c JOIN p ON p.run_name = c.run_name AND p.similarity >= c.threshold GROUP BY 1, 2
     UNION ALL SELECT run_name, NULL, 0, 0 FROM tot)
 SELECT pts.run_name, threshold, tp, fp, round({S.ratio('tp', 'P')}, 6) AS tpr, round({S.ratio('fp', 'N')}, 6) AS fpr
@@ -343,14 +344,15 @@ def m18_run_name(spark, root):
 
 
 @register("m19_data_summary", f"""WITH {PC}
-SELECT run_name, count(*) AS rows, count_if(is_plagiarized) AS positives, threshold FROM preds GROUP BY 1, 4""")
+SELECT run_name, count(*) AS rows, CAST(count_if(is_plagiarized) AS BIGINT) AS positives, threshold FROM preds
+GROUP BY 1, 4""")
 def m19_data_summary(spark, root):
     p = _preds(spark, root)
     return ev.data_summary(p, syn.runs(p))
 
 
 @register("m20_match_rate", f"""WITH {PC}, {_cov_sql()}
-SELECT "case", count_if(orig_in_sub > 0) AS matched, count(*) AS total,
+SELECT "case", CAST(count_if(orig_in_sub > 0) AS BIGINT) AS matched, count(*) AS total,
        round({S.ratio('count_if(orig_in_sub > 0)', 'count(*)')}, 6) AS match_rate FROM dsc GROUP BY 1""")
 def m20_match_rate(spark, root):
     m = ev.match_rate(doc_scores(spark, root).withColumnRenamed("orig_in_sub", "similarity"), ["case"])

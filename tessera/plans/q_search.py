@@ -35,7 +35,8 @@ _LOG_SQL = f"""WITH {syn.PRED_CTES}, {_cov_sql()},
   log AS (SELECT c.*, {S.metrics_sql(nd=15).replace('round(', 'round(').replace(', 15)', ', 15)')},
                  printf('Dolos-Threshold-%.2f-KGram-%d-Window-%d-Metric-%s', threshold, 5, 4, metric) AS run_name
           FROM c),
-  enc AS (SELECT *, CASE metric {' '.join(f"WHEN '{k}' THEN {v}" for k, v in so.METRIC_ENCODE.items())} END AS x_metric,
+  enc AS (SELECT *, CAST(CASE metric {' '.join(f"WHEN '{k}' THEN {v}" for k, v in so.METRIC_ENCODE.items())} END AS DOUBLE)
+                   AS x_metric,
                  threshold AS x_threshold FROM log),
   st AS (SELECT avg(x_metric) AS mm, CASE WHEN stddev_pop(x_metric) > 0 THEN stddev_pop(x_metric) ELSE 1.0 END AS sm,
                 avg(x_threshold) AS mt, CASE WHEN stddev_pop(x_threshold) > 0 THEN stddev_pop(x_threshold) ELSE 1.0 END AS stt

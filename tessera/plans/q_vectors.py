@@ -122,7 +122,8 @@ def _fitted(spark, root):
 
 
 @register("i1_fit_budget", f"""{_PAIR_SQL}
-SELECT item_id, doc_id, n_orig, n_sub, len(ua) AS n_orig_used, len(ub) AS n_sub_used FROM fit""")
+SELECT item_id, doc_id, CAST(n_orig AS INTEGER) AS n_orig, CAST(n_sub AS INTEGER) AS n_sub,
+       CAST(len(ua) AS INTEGER) AS n_orig_used, CAST(len(ub) AS INTEGER) AS n_sub_used FROM fit""")
 def i1_fit_budget(spark, root):
     """Symmetric truncation when both texts exceed the 256-token context minus 120 of overhead."""
     f = _fitted(spark, root)
@@ -144,7 +145,7 @@ def i2_build_prompt(spark, root):
 
 
 @register("i3_judge", f"""{_PAIR_SQL}
-SELECT item_id, doc_id, round(yes_logit, 6) AS yes_logit, round(no_logit, 6) AS no_logit FROM lo""")
+SELECT item_id, doc_id, round(yes_logit, 6) AS yes_logit, CAST(round(no_logit, 6) AS DOUBLE) AS no_logit FROM lo""")
 def i3_judge(spark, root):
     """Batch two-way scoring with the deterministic stand-in scorer (pluggable)."""
     j = jo.judge(_fitted(spark, root), keys=("item_id", "doc_id"))

@@ -92,5 +92,8 @@ def metrics_sql(tp: str = "tp", fp: str = "fp", tn: str = "tn", fn: str = "fn",
 
 
 def counts_sql(pred: str, truth: str = "is_plagiarized") -> str:
-    return (f"count_if(({pred}) AND {truth}) AS tp, count_if(({pred}) AND NOT {truth}) AS fp, "
-            f"count_if(NOT ({pred}) AND NOT {truth}) AS tn, count_if(NOT ({pred}) AND {truth}) AS fn")
+    # count_if is HUGEINT in DuckDB; Spark counts are BIGINT
+    return (f"CAST(count_if(({pred}) AND {truth}) AS BIGINT) AS tp, "
+            f"CAST(count_if(({pred}) AND NOT {truth}) AS BIGINT) AS fp, "
+            f"CAST(count_if(NOT ({pred}) AND NOT {truth}) AS BIGINT) AS tn, "
+            f"CAST(count_if(NOT ({pred}) AND {truth}) AS BIGINT) AS fn")
