@@ -95,9 +95,8 @@ def similarity_distribution(pairs: DataFrame, score: str = "similarity", bins: i
 def outliers(pairs: DataFrame, score: str = "similarity", z: float = 3.0) -> DataFrame:
     """Pairs whose score lies more than ``z`` population deviations above
     the mean (statistics from one global aggregate, joined as one row)."""
-    mu = pairs.select(F.avg(score)).scalar()  # scalar subqueries: one value each
-    sd = pairs.select(F.stddev_pop(score)).scalar()
-    return pairs.filter((sd > 0) & ((F.col(score) - mu) / sd > z))
+    st = pairs.select(F.struct(F.avg(score).alias("mu"), F.stddev_pop(score).alias("sd"))).scalar()
+    return pairs.filter((st["sd"] > 0) & ((F.col(score) - st["mu"]) / st["sd"] > z))
 
 
 def top_pairs(pairs: DataFrame, n: int, order: list[Column], keys: tuple[str, ...] = ()) -> DataFrame:

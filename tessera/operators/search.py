@@ -78,12 +78,9 @@ def candidate_grid(tried: DataFrame, cat_col: str = "metric", num_col: str = "th
 def standardize_stats(observed: DataFrame, cols: list[str]) -> dict[str, tuple[Column, Column]]:
     """Mean and population std per feature from the observed rows, as
     scalar subqueries; std 0 -> 1."""
-    out = {}
-    for c in cols:
-        mu = observed.select(F.avg(c)).scalar()
-        sd = observed.select(F.stddev_pop(c)).scalar()
-        out[c] = (mu, F.when(sd > 0, sd).otherwise(F.lit(1.0)))
-    return out
+    st = observed.select(F.struct(*[x for i, c in enumerate(cols) for x in (
+        F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"))])).scalar()  # one pass for all features
+    return {c: (st[f"m{i}"], F.when(st[f"s{i}"] > 0, st[f"s{i}"]).otherwise(F.lit(1.0))) for i, c in enumerate(cols)}
 
 
 def standardize(df: DataFrame, stats: dict[str, tuple[Column, Column]], prefix: str = "z_") -> DataFrame:
