@@ -12,5 +12,20 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+# Tables whose rows carry the heavy per-row work (texts, markup, event streams).
+WORK_TABLES = ("documents", "pages", "conversations", "events")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition only when the scan yields fewer partitions than
+    the session has cores (an unsplittable file, one row group); at scale the
+    scan already has far more partitions and this is a no-op."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in WORK_TABLES else df
