@@ -191,3 +191,20 @@ def test_hot_sequence_split_across_chunks(spark):
     exp = spark.createDataFrame(exp_rows, "u long, p int, g array<string>, n long").select(
         "u", "p", F.xxhash64("g").alias("h"), "n").collect()
     assert got == {(r["u"], r["p"]): (r["h"], r["n"]) for r in exp}
+
+
+def test_spread_only_when_scan_is_narrow(spark):
+    from tessera.sources.tables import spread
+
+    wide = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 2)
+    assert spread(wide) is wide
+    narrow = spark.range(0, 1000, numPartitions=1)
+    assert spread(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_record_report(spark):
+    d = tempfile.mkdtemp(prefix="tessera-records-", dir="/tmp")
+    _write(f"{d}/r.txt", "File A: a.java\nFile B: b.java\nSimilarity A: 80\nSimilarity B: 0.5\n=====\n"
+                         "File A: c.java\nFile B: d.java\n=====\n")
+    r = reports.read_record_report(spark, f"{d}/r.txt").collect()
+    assert len(r) == 1 and r[0]["file_a"] == "a.java" and r[0]["sim_a"] == 0.8 and r[0]["sim_b"] == 0.5
