@@ -11,12 +11,6 @@ from oracle import compare, duck
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
 
-# Heavy oracles (cross products in the SQL side) are checked at sf0.01 by tools/check.py.
-SLOW_ORACLES = {"m4_auc", "m6_global_metrics", "m7_group_metrics", "m8_f1_matrix", "m10_best_run_per_tool",
-                "m11_best_tool_per_level", "m12_best_per_tool_table", "m13_all_runs", "m14_level_curve",
-                "a6_read_runs", "a12_upsert_runs", "n10_degenerate_report"}
-
-
 # Physical operators no registered plan may contain: cartesian / nested-loop
 # joins anywhere, Python stages outside the per-pair Arrow operators.
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
