@@ -60,14 +60,17 @@ def path_key(path) -> Column:
             .when(nid != "", F.concat(F.lit("nonplag_"), nid)))
 
 
-def clusters(edges: DataFrame, a: str = "doc_a", b: str = "doc_b", max_rounds: int = 64) -> DataFrame:
+def clusters(edges: DataFrame, a: str = "doc_a", b: str = "doc_b", max_rounds: int = 1000) -> DataFrame:
     """Connected components of the similarity graph (node, cluster = min node id).
 
-    Min-label propagation: each round every node takes the smallest label
-    among itself and its neighbours (edge join + groupBy min, partial
-    aggregation map-side). The label table is checkpointed to the shared
-    checkpoint folder every round, so lineage stays one round deep and a lost
-    executor recomputes at most one round. Stops when no label changes.
+    Each round: min-label propagation over the edges (edge join + groupBy
+    min, partial aggregation map-side), then pointer jumping -- every node
+    also takes its label's label -- so labels travel along long paths in
+    O(log diameter) rounds. Labels always stay inside the component, so the
+    fixpoint is the component minimum. The label table is checkpointed to the
+    shared checkpoint folder every round (lineage one round deep; a lost
+    executor recomputes at most one round). Stops when no label changes;
+    raises instead of returning unconverged labels after ``max_rounds``.
     """
     e = edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
     e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -77,12 +80,14 @@ def clusters(edges: DataFrame, a: str = "doc_a", b: str = "doc_b", max_rounds: i
     for _ in range(max_rounds):
         prop = e.join(labels, e.src == labels.node).select(F.col("dst").alias("node"), "label")
         new = labels.unionByName(prop).groupBy("node").agg(F.min("label").alias("label"))
+        jump = new.join(new.select(F.col("node").alias("label"), F.col("label").alias("label2")), "label", "left")
+        new = jump.select("node", F.least("label", F.coalesce("label2", "label")).alias("label"))
         new = cut_lineage(new)
         changed = new.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").limit(1).count()
         labels = new
         if changed == 0:
-            break
-    return labels.withColumnRenamed("label", "cluster")
+            return labels.withColumnRenamed("label", "cluster")
+    raise RuntimeError(f"label propagation did not converge in {max_rounds} rounds")
 
 
 def similarity_distribution(pairs: DataFrame, score: str = "similarity", bins: int = 10,
@@ -99,11 +104,22 @@ def outliers(pairs: DataFrame, score: str = "similarity", z: float = 3.0) -> Dat
     return pairs.filter((st["sd"] > 0) & ((F.col(score) - st["mu"]) / st["sd"] > z))
 
 
-def top_pairs(pairs: DataFrame, n: int, order: list[Column], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Top ``n`` rows (n = -1 keeps all), globally or per key group."""
+def top_pairs(pairs: DataFrame, n: int, order: list[Column], keys: tuple[str, ...] = (), salts: int = 16) -> DataFrame:
+    """Top ``n`` rows (n = -1 keeps all), globally or per key group.
+
+    Global: ``orderBy().limit()`` (per-partition top-n, then a merge). Per
+    group, exactly and without ranking a whole group in one task: rows are
+    first ranked inside (group, salt) sub-groups and only each sub-group's
+    top n survive -- the group's top n is contained in their union -- then
+    one final ranking per group runs over at most n * salts rows.
+    """
     if n < 0:
         return pairs
     if not keys:
         return pairs.orderBy(*order).limit(n)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in pairs.columns]), F.lit(salts))
+    x = pairs.withColumn("_salt", salt)
+    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    x = x.withColumn("_rn", F.row_number().over(w1)).filter(F.col("_rn") <= n).drop("_rn", "_salt")
     w = Window.partitionBy(*keys).orderBy(*order)
-    return pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    return x.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")

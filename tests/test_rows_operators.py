@@ -208,3 +208,20 @@ def test_record_report(spark):
                          "File A: c.java\nFile B: d.java\n=====\n")
     r = reports.read_record_report(spark, f"{d}/r.txt").collect()
     assert len(r) == 1 and r[0]["file_a"] == "a.java" and r[0]["sim_a"] == 0.8 and r[0]["sim_b"] == 0.5
+
+
+def test_clusters_long_path_and_top_per_group(spark):
+    from tessera.operators.pairs import clusters, top_pairs
+
+    chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101)]
+    edges = spark.createDataFrame(chain, "doc_a long, doc_b long")
+    got = {r["node"]: r["cluster"] for r in clusters(edges).collect()}
+    assert all(got[i] == 0 for i in range(41)) and got[101] == 100
+    rows = [("g1", i, float(i % 7)) for i in range(200)] + [("g2", i, float(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, id long, s double")
+    top = top_pairs(df, 3, [F.desc("s"), F.asc("id")], keys=("g",)).collect()
+    expect = {"g1": [6, 13, 20], "g2": [4, 3, 2]}
+    got_top = {}
+    for r in sorted(top, key=lambda r: (r["g"], -r["s"], r["id"])):
+        got_top.setdefault(r["g"], []).append(r["id"])
+    assert got_top == expect
