@@ -65,15 +65,39 @@ def grams_from_rows(df: DataFrame, seq_col: str, order_cols: list[str], tok_col:
                     F.xxhash64(F.transform("_g", lambda e: e["tok"])).alias("hash"), "n")
 
 
-def seeds(ga: DataFrame, gb: DataFrame | None = None, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
+def seeds(ga: DataFrame, gb: DataFrame | None = None, a: str = "doc_a", b: str = "doc_b",
+          max_df: int | None = None) -> DataFrame:
     """(a, b, i, j): every pair of equal r-grams (i in a, j in b). With one
-    table, unordered self pairs a < b."""
+    table, unordered self pairs a < b.
+
+    ``max_df``: candidate pairs come only from grams held by 2..max_df
+    sequences (a gram shared by a third of all sequences would otherwise pair
+    all of them); the seeds of each candidate pair are then collected over
+    *all* its shared grams, common ones included (pair-driven: the pair is
+    attached to a's grams and probed in b's on (b, hash)), so runs and
+    coverage stay exact for every reported pair.
+    """
     left = ga.select("hash", F.col("doc_id").alias(a), F.col("pos").alias("i"))
     right = (gb if gb is not None else ga).select("hash", F.col("doc_id").alias(b), F.col("pos").alias("j"))
-    s = left.join(right, "hash")
+    if max_df is None:
+        s = left.join(right, "hash")
+        if gb is None:
+            s = s.filter(F.col(a) < F.col(b))
+        return s.drop("hash")
+    src = ga if gb is None else ga.select("hash", "doc_id").unionByName(gb.select("hash", "doc_id"))
+    per_doc = src.select("hash", "doc_id").distinct()  # keyed by (hash, doc): no hot key
+    df = per_doc.groupBy("hash").agg(F.count(F.lit(1)).alias("df"))  # partial counts
+    rare = per_doc.join(df.filter((F.col("df") >= 2) & (F.col("df") <= max_df)).select("hash"), "hash", "left_semi")
+    la = rare.select("hash", F.col("doc_id").alias(a))
+    rb = rare.select("hash", F.col("doc_id").alias(b))
+    if gb is not None:
+        la = la.join(ga.select("hash", F.col("doc_id").alias(a)).distinct(), ["hash", a], "left_semi")
+        rb = rb.join(gb.select("hash", F.col("doc_id").alias(b)).distinct(), ["hash", b], "left_semi")
+    cand = la.join(rb, "hash")
     if gb is None:
-        s = s.filter(F.col(a) < F.col(b))
-    return s.drop("hash")
+        cand = cand.filter(F.col(a) < F.col(b))
+    cand = cand.select(a, b).distinct()
+    return cand.join(left, a).join(right, [b, "hash"]).select(a, b, "i", "j")
 
 
 def _union_length(df: DataFrame, keys: list[str], p: str, r: int) -> DataFrame:

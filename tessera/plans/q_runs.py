@@ -16,6 +16,7 @@ from .registry import register
 
 R = 5
 GAP = 2
+MAX_DF = 20  # grams in more sequences do not create candidate pairs
 
 
 def event_grams(spark, root, r=R):
@@ -30,8 +31,11 @@ _EV_SQL = f"""
                 || chr(31) || lead(event_type, 3) OVER w || chr(31) || lead(event_type, 4) OVER w AS gram
          FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
   g AS (SELECT * FROM ev WHERE gram IS NOT NULL),
+  gdf AS (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT user_id) BETWEEN 2 AND {MAX_DF}),
+  cand AS (SELECT DISTINCT a.user_id AS doc_a, b.user_id AS doc_b FROM g a JOIN g b
+           ON a.gram = b.gram AND a.user_id < b.user_id WHERE a.gram IN (SELECT gram FROM gdf)),
   s AS (SELECT a.user_id AS doc_a, b.user_id AS doc_b, a.pos AS i, b.pos AS j, a.n AS n_a, b.n AS n_b
-        FROM g a JOIN g b ON a.gram = b.gram AND a.user_id < b.user_id)"""
+        FROM cand JOIN g a ON a.user_id = cand.doc_a JOIN g b ON b.user_id = cand.doc_b AND a.gram = b.gram)"""
 
 
 @register("e9_run_coverage", f"""WITH {_EV_SQL},
@@ -41,9 +45,10 @@ _EV_SQL = f"""
 SELECT doc_a, doc_b, covered_a, covered_b, n_a, n_b, round(covered_a / n_a, 6) AS frac_a,
        round(covered_b / n_b, 6) AS frac_b FROM ca JOIN cb USING (doc_a, doc_b)""")
 def e9_run_coverage(spark, root):
-    """Per user pair: events of each side inside common runs of >= 5 event types."""
+    """Per candidate user pair (sharing a 5-gram held by <= 20 users): events of each side inside
+    common runs of >= 5 event types (all shared grams count)."""
     g = event_grams(spark, root)
-    cov = ro.run_coverage(ro.seeds(g), R)
+    cov = ro.run_coverage(ro.seeds(g, max_df=MAX_DF), R)
     n = g.select("doc_id", "n").distinct()
     cov = (cov.join(n.select(F.col("doc_id").alias("doc_a"), F.col("n").alias("n_a")), "doc_a")
            .join(n.select(F.col("doc_id").alias("doc_b"), F.col("n").alias("n_b")), "doc_b"))
@@ -63,7 +68,7 @@ _RUNS_SQL = f"""WITH {_EV_SQL},
 SELECT * FROM runs""")
 def e10_maximal_runs(spark, root):
     """Maximal common runs (>= 5 events) between user sequences: diagonal islands."""
-    return ro.maximal_runs(ro.seeds(event_grams(spark, root)), R).select(
+    return ro.maximal_runs(ro.seeds(event_grams(spark, root), max_df=MAX_DF), R).select(
         "doc_a", "doc_b", F.col("start_a").cast("int"), F.col("start_b").cast("int"), F.col("len").cast("int"))
 
 
@@ -79,7 +84,7 @@ SELECT doc_a, doc_b, min(start_a) AS start_a, max(start_a + len) AS end_a, min(s
 FROM gq GROUP BY doc_a, doc_b, grp""")
 def e12_merge_matches(spark, root):
     """Maximal runs merged across insertions of up to 2 events on both sides."""
-    runs = ro.maximal_runs(ro.seeds(event_grams(spark, root)), R).select(
+    runs = ro.maximal_runs(ro.seeds(event_grams(spark, root), max_df=MAX_DF), R).select(
         "doc_a", "doc_b", F.col("start_a").cast("int"), F.col("start_b").cast("int"), F.col("len").cast("int"))
     return ro.merge_matches(runs, GAP)
 
