@@ -84,10 +84,13 @@ def seeds(ga: DataFrame, gb: DataFrame | None = None, a: str = "doc_a", b: str =
         if gb is None:
             s = s.filter(F.col(a) < F.col(b))
         return s.drop("hash")
-    src = ga if gb is None else ga.select("hash", "doc_id").unionByName(gb.select("hash", "doc_id"))
-    per_doc = src.select("hash", "doc_id").distinct()  # keyed by (hash, doc): no hot key
+    src = ga.select("hash", "doc_id", F.lit("a").alias("_side"))
+    if gb is not None:  # the two sides' ids may coincide: count them apart
+        src = src.unionByName(gb.select("hash", "doc_id", F.lit("b").alias("_side")))
+    per_doc = src.distinct()  # keyed by (hash, side, doc): no hot key
     df = per_doc.groupBy("hash").agg(F.count(F.lit(1)).alias("df"))  # partial counts
-    rare = per_doc.join(df.filter((F.col("df") >= 2) & (F.col("df") <= max_df)).select("hash"), "hash", "left_semi")
+    rare = per_doc.join(df.filter((F.col("df") >= 2) & (F.col("df") <= max_df)).select("hash"), "hash",
+                        "left_semi").drop("_side").distinct()
     la = rare.select("hash", F.col("doc_id").alias(a))
     rb = rare.select("hash", F.col("doc_id").alias(b))
     if gb is not None:

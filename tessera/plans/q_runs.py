@@ -119,7 +119,12 @@ WITH bt AS (SELECT item_id AS doc_a, {_WT} AS t FROM benchmark),
          FROM (SELECT doc_a, t, unnest(range(0, greatest(len(t) - {R - 1}, 0))) AS pos FROM bt)),
   gb AS (SELECT doc_b, pos, array_to_string(t[pos + 1 : pos + {R}], ' ') AS gram
          FROM (SELECT doc_b, t, unnest(range(0, greatest(len(t) - {R - 1}, 0))) AS pos FROM dt)),
-  s AS (SELECT doc_a, doc_b, ga.pos AS i, gb.pos AS j FROM ga JOIN gb ON ga.gram = gb.gram),
+  gdf AS (SELECT gram FROM (SELECT DISTINCT 'a' AS side, doc_a AS d, gram FROM ga
+                            UNION ALL SELECT DISTINCT 'b', doc_b, gram FROM gb)
+          GROUP BY gram HAVING count(*) BETWEEN 2 AND {MAX_DF}),
+  cand AS (SELECT DISTINCT doc_a, doc_b FROM ga JOIN gb ON ga.gram = gb.gram WHERE ga.gram IN (SELECT gram FROM gdf)),
+  s AS (SELECT cand.doc_a, cand.doc_b, ga.pos AS i, gb.pos AS j FROM cand JOIN ga ON ga.doc_a = cand.doc_a
+        JOIN gb ON gb.doc_b = cand.doc_b AND ga.gram = gb.gram),
   sd AS (SELECT *, i - j AS d, i - row_number() OVER (PARTITION BY doc_a, doc_b, i - j ORDER BY i) AS isl FROM s),
   runs AS (SELECT doc_a, doc_b, CAST(min(i) AS INTEGER) AS start_a, CAST(min(i) - d AS INTEGER) AS start_b,
                   CAST(max(i) - min(i) + {R} AS INTEGER) AS len FROM sd GROUP BY doc_a, doc_b, d, isl)
@@ -130,7 +135,7 @@ def e14_match_evidence(spark, root):
     """Line ranges in the document for every maximal 5-word run shared with a benchmark item."""
     ga = ro.grams_from_tokens(detect.word_docs(spark, root, "benchmark", "item_id"), R)
     gb = ro.grams_from_tokens(detect.word_docs(spark, root), R)
-    runs = ro.maximal_runs(ro.seeds(ga, gb), R).select(
+    runs = ro.maximal_runs(ro.seeds(ga, gb, max_df=MAX_DF), R).select(
         "doc_a", "doc_b", F.col("start_a").cast("int"), F.col("start_b").cast("int"), F.col("len").cast("int"))
     lines = table(spark, root, "documents").select("doc_id", ro.word_lines("text").alias("lines"))
     return ro.match_evidence(runs, lines)
