@@ -172,20 +172,30 @@ def statement_bags(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return e.groupBy("doc_id", *keep, "stmt").agg(F.count(F.lit(1)).alias("cnt"), F.max("n_stmts").alias("n_stmts"))
 
 
-def order_free_similarity(bags: DataFrame, scope: tuple[str, ...] = (), max_df: int | None = None) -> DataFrame:
+def order_free_similarity(bags: DataFrame, scope: tuple[str, ...] = (), max_df: int | None = 20) -> DataFrame:
     """Bag-of-statements overlap, insensitive to statement order.
 
     overlap = sum over shared statements of min(cnt_a, cnt_b);
-    similarity = overlap / max(n_a, n_b). Pairs come from an equi-join on
-    the statement hash (optionally skipping statements in > max_df documents).
+    similarity = overlap / max(n_a, n_b). Candidate pairs come from an
+    equi-join on statements held by 2..max_df documents (a statement such as
+    a lone "return 0" in a third of the corpus would pair everything); the
+    overlap of each candidate is then summed over *all* its shared
+    statements (pair-driven: a's bag attached to the pair, probed in b's).
+    ``max_df=None`` joins on every statement.
     """
     x = bags.withColumn("h", F.xxhash64("stmt"))
-    if max_df is not None:
-        f = x.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= max_df)
-        x = x.join(f.select("h"), "h", "left_semi")
-    l = x.select("h", *scope, F.col("doc_id").alias("doc_a"), F.col("cnt").alias("ca"), F.col("n_stmts").alias("na"))
-    r = x.select("h", *scope, F.col("doc_id").alias("doc_b"), F.col("cnt").alias("cb"), F.col("n_stmts").alias("nb"))
-    j = l.join(r, ["h", *scope]).filter(F.col("doc_a") < F.col("doc_b"))
+    keyed = x.select("h", *scope, "doc_id", "cnt", "n_stmts")
+    if max_df is None:
+        rare = keyed
+    else:
+        f = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+        rare = keyed.join(f.filter((F.col("df") >= 2) & (F.col("df") <= max_df)).select("h"), "h", "left_semi")
+    cand = (rare.select("h", *scope, F.col("doc_id").alias("doc_a"))
+            .join(rare.select("h", *scope, F.col("doc_id").alias("doc_b")), ["h", *scope])
+            .filter(F.col("doc_a") < F.col("doc_b")).select(*scope, "doc_a", "doc_b").distinct())
+    l = keyed.select("h", *scope, F.col("doc_id").alias("doc_a"), F.col("cnt").alias("ca"), F.col("n_stmts").alias("na"))
+    r = keyed.select("h", *scope, F.col("doc_id").alias("doc_b"), F.col("cnt").alias("cb"), F.col("n_stmts").alias("nb"))
+    j = cand.join(l, [*scope, "doc_a"]).join(r, [*scope, "doc_b", "h"])
     g = j.groupBy(*scope, "doc_a", "doc_b").agg(F.sum(F.least("ca", "cb")).alias("overlap"),
                                                 F.max("na").alias("n_a"), F.max("nb").alias("n_b"))
     den = F.greatest("n_a", "n_b")

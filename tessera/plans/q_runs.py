@@ -95,15 +95,20 @@ WITH st AS (SELECT doc_id, source, list_transform(list_filter(list_transform(reg
                  lambda s: lower(s)) AS ss FROM documents),
   e AS (SELECT doc_id, source, len(ss) AS n, unnest(ss) AS stmt FROM st),
   b AS (SELECT doc_id, source, stmt, count(*) AS cnt, max(n) AS n FROM e GROUP BY 1, 2, 3),
-  p AS (SELECT x.source, x.doc_id AS doc_a, y.doc_id AS doc_b, CAST(sum(least(x.cnt, y.cnt)) AS BIGINT) AS overlap,
+  rare AS (SELECT stmt FROM b GROUP BY stmt HAVING count(*) BETWEEN 2 AND {MAX_DF}),
+  cand AS (SELECT DISTINCT x.source, x.doc_id AS doc_a, y.doc_id AS doc_b FROM b x JOIN b y
+           ON x.stmt = y.stmt AND x.source = y.source AND x.doc_id < y.doc_id WHERE x.stmt IN (SELECT stmt FROM rare)),
+  p AS (SELECT c.source, c.doc_a, c.doc_b, CAST(sum(least(x.cnt, y.cnt)) AS BIGINT) AS overlap,
                max(x.n) AS n_a, max(y.n) AS n_b
-        FROM b x JOIN b y ON x.stmt = y.stmt AND x.source = y.source AND x.doc_id < y.doc_id GROUP BY 1, 2, 3)
+        FROM cand c JOIN b x ON x.doc_id = c.doc_a AND x.source = c.source
+        JOIN b y ON y.doc_id = c.doc_b AND y.source = c.source AND y.stmt = x.stmt GROUP BY 1, 2, 3)
 SELECT source, doc_a, doc_b, overlap, n_a, n_b, round(overlap / greatest(n_a, n_b), 6) AS similarity FROM p""")
 def e13_order_free_similarity(spark, root):
-    """Bag-of-statements overlap between documents of the same source."""
+    """Bag-of-statements overlap between documents of the same source (candidates share a
+    statement held by <= 20 documents; overlap counts all shared statements)."""
     d = table(spark, root, "documents")
     bags = ro.statement_bags(d, keep=("source",))
-    p = ro.order_free_similarity(bags, scope=("source",))
+    p = ro.order_free_similarity(bags, scope=("source",), max_df=MAX_DF)
     return p.select("source", "doc_a", "doc_b", "overlap", "n_a", "n_b", F.round("similarity", 6).alias("similarity"))
 
 
