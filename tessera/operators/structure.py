@@ -57,6 +57,7 @@ def subtree_hashes(tree: DataFrame, max_depth: int = 64) -> DataFrame:
     One aggregation per depth level, deepest first; the level table is
     checkpointed so lineage stays shallow.
     """
+    tree = cut_lineage(tree.select("doc_id", "node", "tag", "depth", "parent"))  # read once per level
     depth = tree.agg(F.max("depth")).first()[0]
     if depth is None:
         return tree.select("doc_id", "node", "tag", "depth", F.lit(None).cast("long").alias("hash"),
