@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import q_rules, q_url, q_mix  # noqa: F401
+from . import q_dedup, q_mix, q_rules, q_url  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
