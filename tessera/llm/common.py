@@ -68,3 +68,9 @@ def running_sum(df: DataFrame, group: str, order: list, value: str, out: str, na
     return (part.join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__chunk") == F.col("__c")))
             .withColumn(out, F.col("__offset") + F.col("__inside"))
             .drop("__chunk", "__c", "__g", "__offset", "__inside"))
+
+
+def guarded(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns renamed to c0, c1, ...: any input names may then meet
+    helper columns. ``df.toDF(*names)`` gives the names back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
