@@ -107,7 +107,7 @@ class TestSuffixes:
         return np.where(known, at + 1, 0).astype(">u4").view(np.uint8).reshape(*codes.shape, 4)
 
     def keys(self, codes: np.ndarray, used: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(self.bytes_of(codes, used).reshape(len(codes), -1)) \
+        return np.ascontiguousarray(self.bytes_of(codes, used).reshape(len(codes), 4 * self.window)) \
             .view(f"S{4 * self.window}").ravel()
 
     def suffixes(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -39,11 +39,10 @@ def test_matches_brute_force_in_one_block_and_in_several(spark, block_bytes):
     items = [(k, text(r.randint(5, 12))) for k in range(8)] + [(8, "lone"), (9, ""), (10, None), (None, text(7)),
                                                                  (3, text(6)), (11, "a b")]
     rows = [(0, None), (1, ""), (2, "..."), (3, "LONE!"), (4, "A,B")]
+    passages = [t.upper() for _, t in items if t]
     for k in range(5, 60):
-        rows.append((k, text(r.randint(0, 40)) + "; " + r.choice(items)[1].upper() if r.random() < 0.5 and k % 7
-                     and r.choice(items)[1] else text(r.randint(0, 60))))
+        rows.append((k, f"{text(r.randint(0, 40))}; {r.choice(passages)}" if k % 2 else text(r.randint(0, 60))))
     rows += [(70, rows[8][1]), (70, rows[8][1]), (None, rows[9][1]), (71, (items[0][1] + " ") * 300)]
-    rows = [(i, t if t is None else str(t)) for i, t in rows]
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = docs_frame(spark, rows, extra=True)
     found = contamination(df, bench, window=5, block_bytes=block_bytes).collect()
