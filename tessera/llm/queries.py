@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import q_decontaminate, q_dedup, q_lines, q_minhash, q_mix, q_rules, q_url  # noqa: F401
+from . import q_classify, q_decontaminate, q_dedup, q_lines, q_minhash, q_mix, q_rules, q_url  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
