@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_classify, q_decontaminate, q_dedup, q_lines, q_minhash, q_mix, q_rules, q_url  # noqa: F401
-from .registry import ORACLES, QUERIES  # noqa: F401
+import corpus_pipeline
+
+from . import (q_classify, q_decontaminate, q_dedup, q_lines, q_minhash, q_mix, q_rules,  # noqa: F401
+               q_url)
+from .registry import ORACLES, QUERIES, register
+
+register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
