@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 # Fixed values
 # ---------------------------------------------------------------------------
 
-# Word tokens for prose: lower-case, split on anything that is not an ASCII
-# letter/digit or a Latin-1 letter.
-WORD_SPLIT = "[^a-z0-9à-ÿ]+"
+# Word tokens for prose: lower-case, split on anything that is not a letter or
+# a digit of any script.
+WORD_SPLIT = r"[^\p{L}\p{N}]+"
 
 # Java reserved words (language specification); the keyword list that
 # normalisation keeps verbatim.
@@ -35,17 +35,18 @@ JAVA_KEYWORDS = [
 STRING_RE = r'"(?:[^"\\\n]|\\.)*"'
 CHAR_RE = r"'(?:[^'\\\n]|\\.)*'"
 NUMBER_RE = r"[0-9]+(?:\.[0-9]+)?"
-IDENT_RE = r"[A-Za-z_$À-ÿ][A-Za-z0-9_$À-ÿ]*"
+IDENT_RE = r"[\p{L}_$][\p{L}\p{N}_$]*"
 OPERATOR_RE = r"==|!=|<=|>=|&&|\|\||\+\+|--|\+=|-=|\*=|/=|->|::|<<|>>"
-PUNCT_RE = r"[^ \t\r\n\f\x0BA-Za-z0-9_$À-ÿ]"
+PUNCT_RE = r"[^ \t\r\n\f\x0B\p{L}0-9_$]"
 TOKEN_RE = "|".join([STRING_RE, CHAR_RE, NUMBER_RE, IDENT_RE, OPERATOR_RE, PUNCT_RE])
 
 BLOCK_COMMENT_RE = r"/\*[\s\S]*?\*/"
 LINE_COMMENT_RE = r"//[^\n]*"
 HTML_COMMENT_RE = r"<!--[\s\S]*?-->"
-# Comments are removed, but a string literal is matched first and kept, so a
-# "//" inside a string survives.
-NOISE_RE = "(" + STRING_RE + ")|" + BLOCK_COMMENT_RE + "|" + LINE_COMMENT_RE + "|" + HTML_COMMENT_RE
+# Comments are removed, but string and character literals are matched first and
+# kept, so a "//" inside a string (or after '"') survives.
+ONE_CHAR_RE = r"'(?:[^'\\\n]|\\u[0-9a-fA-F]{4}|\\[^\n])'"
+NOISE_RE = "(" + STRING_RE + "|" + ONE_CHAR_RE + ")|" + BLOCK_COMMENT_RE + "|" + LINE_COMMENT_RE + "|" + HTML_COMMENT_RE
 WHITESPACE_RE = r"[ \t\r\n\f\x0B]+"
 STATEMENT_SPLIT_RE = r"[;{}]"
 CALL_RE = r"[A-Za-z_$][A-Za-z0-9_$]*[ \t]*\("
@@ -74,7 +75,7 @@ def tokenize(text) -> Column:
 
 
 def _is_ident(t: Column) -> Column:
-    return t.rlike("^[A-Za-z_$À-ÿ]")
+    return t.rlike(r"^[\p{L}_$]")
 
 
 def normalize_tokens(tokens, mode: str = "generic") -> Column:

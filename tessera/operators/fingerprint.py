@@ -8,19 +8,17 @@ Plan shape at scale (documents -> pair scores):
    is in a third of all documents, because doc_id is part of the key;
 3. ``document_frequency``: groupBy(hash).count with map-side partial
    aggregation -- a hot hash ships one partial row per map task;
-4. ``drop_common``: left-semi join on the df-filtered hash set (AQE splits a
-   skewed left partition; hot hashes are removed *before* the pair join, so
-   no hash can emit more than max_df^2 pairs);
-5. ``candidate_pairs``: self equi-join on hash (never a cross join), then
-   groupBy(pair) with partial sums of the per-document position counts --
-   coverage comes straight out of this aggregation, no second join;
+4. ``similar_pairs``: texts with equal fingerprints are one class; a document's
+   rare prefix (the fingerprints that any similar text must meet) is joined to
+   the index, and coverage counts all shared fingerprints of a candidate;
+5. ``drop_common`` (E5) is a feature of its own and in no pair search;
 6. totals ride along as columns (computed from the array size before the
    explode), so no join back to a per-document table is needed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import kgram_hashes, winnow
@@ -98,6 +96,54 @@ def candidate_pairs(dh: DataFrame, min_shared: int = 1, scope: tuple[str, ...] =
     return out.filter(F.col("shared") >= min_shared) if min_shared > 1 else out
 
 
+def text_classes(dh: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, class_id, class_size): documents (of one scope) with the same
+    fingerprints and counts form a class named by its lowest doc_id.
+
+    Two order-free 64-bit digests stand for a document's fingerprints, so a
+    text copied a million times costs a million narrow rows, never pairs.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "hash", "n_pos")).alias(f"_x{seed}") for seed in (1, 2)]
+    digest = dh.groupBy("doc_id", *scope).agg(F.max("n_fp").alias("_n"), F.count(F.lit(1)).alias("_k"), *marks)
+    key = [*scope, "_n", "_k", "_x1", "_x2"]
+    heads = digest.groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return digest.join(heads, key).select("doc_id", *scope, "class_id", "class_size")
+
+
+def similar_pairs(dh: DataFrame, threshold: float, scope: tuple[str, ...] = ()) -> DataFrame:
+    """E6+E7 with a similarity threshold instead of a frequency cap: all pairs of
+    class representatives (see ``text_classes``) with COMBINED >= threshold.
+
+    Exact. If COMBINED >= t, at least one side has a share >= t of its positions
+    covered, so any of its fingerprints that together hold more than 1 - t of
+    its positions include a shared one. Each document's fingerprints are taken
+    in the order (document frequency, hash) until they do; only this rare
+    prefix is joined to the index. Coverage then counts *all* shared
+    fingerprints, frequent ones included, against full totals.
+    Returns the columns of ``candidate_pairs`` plus size_a, size_b (class sizes).
+    """
+    classes = text_classes(dh, scope).filter(F.col("doc_id") == F.col("class_id"))
+    reps = dh.join(classes.select("doc_id", *scope, "class_size"), ["doc_id", *scope])
+    freq = reps.groupBy("hash", *scope).agg(F.count(F.lit(1)).alias("df"))
+    ranked = reps.join(freq, ["hash", *scope])
+    order = Window.partitionBy("doc_id", *scope).orderBy("df", "hash")
+    before = F.coalesce(F.sum("n_pos").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    prefix = (ranked.withColumn("_before", before)
+              .filter((F.col("_before") <= (1 - threshold) * F.col("n_fp") + 1e-9) & (F.col("df") > 1)))
+    seeds = prefix.select("hash", *scope, F.col("doc_id").alias("_p")).join(
+        ranked.filter("df > 1").select("hash", *scope, F.col("doc_id").alias("_q")), ["hash", *scope])
+    pairs = (seeds.filter("_p <> _q")
+             .select(*scope, F.least("_p", "_q").alias("doc_a"), F.greatest("_p", "_q").alias("doc_b")).distinct())
+    side = (lambda d, x: reps.select("hash", *scope, F.col("doc_id").alias(d), F.col("n_pos").alias(f"n_{x}"),
+                                     F.col("n_fp").alias(f"t_{x}"), F.col("class_size").alias(f"s_{x}")))
+    both = (pairs.join(side("doc_a", "a"), ["doc_a", *scope]).join(side("doc_b", "b"), ["doc_b", "hash", *scope]))
+    out = (both.groupBy(*scope, "doc_a", "doc_b")
+           .agg(F.count(F.lit(1)).alias("shared"), F.sum("n_a").alias("covered_a"), F.sum("n_b").alias("covered_b"),
+                F.max("t_a").alias("total_a"), F.max("t_b").alias("total_b"), F.max("s_a").alias("size_a"),
+                F.max("s_b").alias("size_b")))
+    return out.filter(ratio(F.col("covered_a") + F.col("covered_b"), F.col("total_a") + F.col("total_b")) >= threshold)
+
+
 def anchor_candidates(orig_dh: DataFrame, sub_dh: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """E6+E7 between originals (a side) and submissions (b side).
 

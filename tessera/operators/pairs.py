@@ -60,7 +60,7 @@ def path_key(path) -> Column:
             .when(nid != "", F.concat(F.lit("nonplag_"), nid)))
 
 
-def clusters(edges: DataFrame, a: str = "doc_a", b: str = "doc_b", max_rounds: int = 1000) -> DataFrame:
+def clusters(edges: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
     """Connected components of the similarity graph (node, cluster = min node id).
 
     Each round: min-label propagation over the edges (edge join + groupBy
@@ -69,15 +69,14 @@ def clusters(edges: DataFrame, a: str = "doc_a", b: str = "doc_b", max_rounds: i
     O(log diameter) rounds. Labels always stay inside the component, so the
     fixpoint is the component minimum. The label table is checkpointed to the
     shared checkpoint folder every round (lineage one round deep; a lost
-    executor recomputes at most one round). Stops when no label changes;
-    raises instead of returning unconverged labels after ``max_rounds``.
+    executor recomputes at most one round). Stops when no label changes.
     """
     e = edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
     e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     e = cut_lineage(e)
     labels = e.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
     labels = cut_lineage(labels)
-    for _ in range(max_rounds):
+    while True:
         prop = e.join(labels, e.src == labels.node).select(F.col("dst").alias("node"), "label")
         new = labels.unionByName(prop).groupBy("node").agg(F.min("label").alias("label"))
         jump = new.join(new.select(F.col("node").alias("label"), F.col("label").alias("label2")), "label", "left")
@@ -87,14 +86,15 @@ def clusters(edges: DataFrame, a: str = "doc_a", b: str = "doc_b", max_rounds: i
         labels = new
         if changed == 0:
             return labels.withColumnRenamed("label", "cluster")
-    raise RuntimeError(f"label propagation did not converge in {max_rounds} rounds")
 
 
 def similarity_distribution(pairs: DataFrame, score: str = "similarity", bins: int = 10,
-                            keys: tuple[str, ...] = ()) -> DataFrame:
-    """Histogram of pair scores on [0, 1] in ``bins`` equal bins (1.0 in the last)."""
+                            keys: tuple[str, ...] = (), count: str | None = None) -> DataFrame:
+    """Histogram of pair scores on [0, 1] in ``bins`` equal bins (1.0 in the
+    last); ``count`` names a column with the number of pairs a row stands for."""
     b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
-    return pairs.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n_pairs"))
+    n = F.sum(count) if count else F.count(F.lit(1))
+    return pairs.groupBy(*keys, b.alias("bin")).agg(n.alias("n_pairs"))
 
 
 def outliers(pairs: DataFrame, score: str = "similarity", z: float = 3.0) -> DataFrame:

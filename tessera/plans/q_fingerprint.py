@@ -35,6 +35,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from ..functions.hashing import kgram_hashes, kgrams  # noqa: E402
 from ..operators import fingerprint as fpo  # noqa: E402
+from ..session import cut_lineage  # noqa: E402
 
 _WT = S.word_tokens("text")
 
@@ -95,33 +96,63 @@ def e5_drop_common(spark, root):
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept_hashes"), F.sum("n_pos").alias("kept_positions"))
 
 
+MIN_COMBINED = 0.3  # similarity from which a pair of documents is reported
+
+
+def rep_ctes(src: str = "s_dh", scope: str = "", t: str = "0.3") -> str:
+    """CTEs cls (doc_id, class_id, size) and pairs: all pairs of class
+    representatives that share a hash, without any frequency limit, then COMBINED >= t."""
+    sc, on = (f"{scope}, ", f" AND a.{scope} = b.{scope}") if scope else ("", "")
+    return f"""
+  sig AS (SELECT doc_id, {sc}string_agg(h || ':' || CAST(n_pos AS VARCHAR), ',' ORDER BY h) AS d FROM {src}
+          GROUP BY doc_id{', ' + scope if scope else ''}),
+  cls AS (SELECT doc_id, {sc}min(doc_id) OVER (PARTITION BY {sc}d) AS class_id,
+                 count(*) OVER (PARTITION BY {sc}d) AS size FROM sig),
+  rep AS (SELECT x.*, cls.size FROM {src} x JOIN cls ON cls.doc_id = x.doc_id WHERE cls.class_id = cls.doc_id),
+  cand AS (SELECT {'a.' + scope + ' AS ' + scope + ', ' if scope else ''}a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared,
+                  CAST(sum(a.n_pos) AS BIGINT) AS covered_a, CAST(sum(b.n_pos) AS BIGINT) AS covered_b,
+                  max(a.n_fp) AS total_a, max(b.n_fp) AS total_b, max(a.size) AS size_a, max(b.size) AS size_b
+           FROM rep a JOIN rep b ON a.h = b.h AND a.doc_id < b.doc_id{on} GROUP BY {'1, 2, 3' if scope else '1, 2'}),
+  pairs AS (SELECT * FROM cand WHERE CAST(covered_a + covered_b AS DOUBLE) / (total_a + total_b) >= {t})"""
+
+
 _PAIRS_SQL = f"""
-WITH {S.fingerprint_ctes('s', 'documents', 'doc_id', _WT, 5, 1)}, {S.df_filter('s', 20, 2)},
-  pairs AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared,
-                   CAST(sum(a.n_pos) AS BIGINT) AS covered_a, CAST(sum(b.n_pos) AS BIGINT) AS covered_b,
-                   max(a.n_fp) AS total_a, max(b.n_fp) AS total_b
-            FROM s_keep a JOIN s_keep b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2)"""
+WITH {S.fingerprint_ctes('s', 'documents', 'doc_id', _WT, 5, 1)}, {rep_ctes()}"""
 
 
-def doc_pairs(spark, root, w=1, max_df=20, scope=()):
-    """Document pairs sharing a 5-gram with 2 <= df <= max_df (coverage counts).
+def doc_hashes(spark, root, w=1, scope=()):
+    """Word 5-gram fingerprints of the documents.
 
     Without winnowing (w=1) only hash equality matters, so the fast xxhash64
     k-gram hash is used; winnowed tables use md5 so DuckDB can reproduce them.
     """
-    dh = detect.doc_hash_table(detect.word_docs(spark, root, keep=scope), w=w, keep=scope,
-                               hash_fn="xxhash64" if w == 1 else "md5")
-    kept = fpo.drop_common(dh, max_df=max_df, min_df=2)
-    return fpo.candidate_pairs(kept, scope=scope)
+    return detect.doc_hash_table(detect.word_docs(spark, root, keep=scope), w=w, keep=scope,
+                                 hash_fn="xxhash64" if w == 1 else "md5")
+
+
+def doc_pairs(spark, root, w=1, scope=(), threshold=MIN_COMBINED):
+    """Pairs of class representatives with COMBINED >= threshold (coverage counts).
+
+    The fingerprint table is written down once: the exact pair search reads it
+    several times, and the plans that join on pairs stay small.
+    """
+    return fpo.similar_pairs(cut_lineage(doc_hashes(spark, root, w, scope)), threshold, scope)
 
 
 @register("e6_candidate_pairs", f"""{_PAIRS_SQL}
 SELECT doc_a, doc_b, shared FROM pairs""")
 def e6_candidate_pairs(spark, root):
-    """Self equi-join on 5-gram hash (all 5-grams), 2 <= df <= 20, doc_a < doc_b."""
+    """Pairs of distinct texts (class representatives) with COMBINED >= 0.3, found by their rare 5-grams."""
     return doc_pairs(spark, root).select("doc_a", "doc_b", "shared")
 
 
+@register("e6_text_classes", f"""{_PAIRS_SQL}
+SELECT doc_id, class_id, size AS class_size FROM cls""")
+def e6_text_classes(spark, root):
+    """Membership that goes with the pairs: documents with equal 5-gram sets, named by the lowest id."""
+    return fpo.text_classes(doc_hashes(spark, root))
+
+
 @register("e8_apply_metric", f"""{_PAIRS_SQL}
 SELECT doc_a, doc_b, covered_a, covered_b, total_a, total_b,
        {S.r6(S.ratio('covered_a + covered_b', 'total_a + total_b'))} AS combined,
@@ -130,7 +161,7 @@ SELECT doc_a, doc_b, covered_a, covered_b, total_a, total_b,
        {S.r6(f"{S.ratio('covered_a', 'total_a')} * {S.ratio('covered_b', 'total_b')}")} AS product_sim
 FROM pairs""")
 def e8_apply_metric(spark, root):
-    """COMBINED / MAX / AVG / PRODUCT on the coverage of every candidate pair."""
+    """COMBINED / MAX / AVG / PRODUCT on the coverage of every similar pair."""
     p = doc_pairs(spark, root)
     for m, name in (("combined", "combined"), ("max", "max_sim"), ("avg", "avg_sim"), ("product", "product_sim")):
         p = fpo.apply_metric(p, m, name).withColumn(name, F.round(name, 6))

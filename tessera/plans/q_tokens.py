@@ -12,7 +12,7 @@ from .registry import register
 
 SEP = "\x1f"
 KW_SQL = "[" + ", ".join(S.q(k) for k in tx.JAVA_KEYWORDS) + "]"
-IDENT_START = "^[A-Za-z_$À-ÿ]"
+IDENT_START = r"^[\p{L}_$]"
 
 
 def _doc_md5(spark, root, name, id_col, col_fn, text_col="text"):
