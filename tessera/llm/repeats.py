@@ -19,9 +19,11 @@ window is decided exactly against all other windows, without shuffling them:
    several, is cut from its text and sent to the shard of its value, where the
    caller's resolver (doubling levels, or a suffix array) compares windows.
    A value with more than ``SHARD`` distinct segments is salted over several
-   shards; each shard then also reports one fingerprint (128 bits) for each
-   distinct window, and fingerprints are joined across shards. So no hot
-   passage, source or group of copies meets in one task.
+   shards. Each shard then also reports its distinct windows, ``CORE``
+   neighbours in one row under the hash of the text that they share; rows
+   whose core is found once are done, and the windows of the others are
+   compared across shards by 128-bit fingerprints. So no hot passage, source
+   or group of copies meets in one task.
 
 Texts are identified by (id, hash of the text): rows that repeat both are the
 same text in several places, and all of their windows count as repeated.
@@ -45,9 +47,10 @@ from .common import drop_written, written
 
 HIGH = ~np.uint64((1 << 31) - 1)
 SHARD = 1024            # distinct segments of one anchor value in a shard
-BLOCK_BYTES = 1 << 20   # bytes of segment bodies that a resolver gets at once
+BLOCK_BYTES = 1 << 17   # bytes of segment bodies that a resolver gets at once (whole groups)
+CORE = 8                # windows with a common core in a salted group
 
-UNITS = ("words", "bytes")
+WINDOWS = pa.list_(pa.struct([("o", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("weight", pa.int32())]))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -159,8 +162,14 @@ class Block:
         self.starts = vec.ranges(self.begin, self.n)
         self.seg = np.repeat(np.arange(len(self.n)), self.n)
 
+    def places(self, grams: np.ndarray) -> np.ndarray:
+        """Anchor of each window: the first place in it that has the group's value."""
+        size = np.diff(np.append(self.begin, len(self.data)))
+        found = np.flatnonzero(grams == np.repeat(self.ah, size)[:len(grams)])
+        return found[np.searchsorted(found, self.starts)]
 
-def _resolve(unit: str, length: int, resolver: Callable, first_only: bool) -> Callable:
+
+def _resolve(unit: str, length: int, q: int, resolver: Callable, first_only: bool) -> Callable:
     """Run the resolver over blocks of whole groups.
 
     The resolver returns a class number for each window of the block (equal
@@ -187,27 +196,31 @@ def _resolve(unit: str, length: int, resolver: Callable, first_only: bool) -> Ca
         ids, ths, s0 = (t.column(k) for k in ("__id", "__th", "s0"))
         pos = s0.to_numpy().astype(np.int64)
 
-        def batch(seg, start, count, hashes, weights):
+        def batch(seg, start, count, core, windows):
             r = pa.array(seg)
-            k = len(seg)
-            h = hashes if hashes is not None else (np.zeros(k, np.uint64), np.zeros(k, np.uint64))
             return pa.RecordBatch.from_arrays(
                 [ids.take(r).combine_chunks(), ths.take(r).combine_chunks(),
-                 pa.array((pos[seg] + start).astype(np.int32)), pa.array(count.astype(np.int32)),
-                 pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(weights.astype(np.int32))],
-                names=["__id", "__th", "s0", "n", "h1", "h2", "weight"])
+                 pa.array((pos[seg] + start).astype(np.int32)), pa.array(count.astype(np.int32)), core, windows],
+                names=["__id", "__th", "s0", "n", "core", "windows"])
 
-        yield batch(rows, start, count, None, np.zeros(len(rows)))
+        yield batch(rows, start, count, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), WINDOWS))
         cross = np.flatnonzero(lead & blk.salted[blk.seg])
-        if len(cross):  # one row for each distinct window of a salted group
+        if len(cross):  # the distinct windows of a salted group, CORE neighbours in a row
             codes = vec.BYTE_CODE[blk.data] if unit == "bytes" else blk.data
-            s = blk.starts[cross]
-            h = tuple(vec.Rolling(codes, f).runs(s, s + length) for f in (0, 1))
-            seg = blk.seg[cross]
-            weights = np.minimum(total[cross], 2)
-            for k in range(0, len(cross), 100_000):
-                p = slice(k, k + 100_000)
-                yield batch(seg[p], s[p] - blk.begin[seg[p]], np.ones(len(seg[p])), (h[0][p], h[1][p]), weights[p])
+            one, two = vec.Rolling(codes, 0), vec.Rolling(codes, 1)
+            s, seg, place = blk.starts[cross], blk.seg[cross], blk.places(one.grams(q))[cross]
+            part = (place - s) // CORE
+            new = np.ones(len(s), bool)
+            new[1:] = (seg[1:] != seg[:-1]) | (place[1:] != place[:-1]) | (part[1:] != part[:-1])
+            k = np.flatnonzero(new)
+            core = one.runs((place - part * CORE)[k], (place - part * CORE - CORE + 1)[k] + length)
+            windows = pa.ListArray.from_arrays(
+                pa.array(np.append(k, len(s)).astype(np.int32)),
+                pa.StructArray.from_arrays(
+                    [pa.array((s - blk.begin[seg]).astype(np.int32)), pa.array(one.runs(s, s + length).view(np.int64)),
+                     pa.array(two.runs(s, s + length).view(np.int64)),
+                     pa.array(np.minimum(total[cross], 2).astype(np.int32))], names=["o", "h1", "h2", "weight"]))
+            yield batch(seg[k], np.zeros(len(k), np.int64), np.zeros(len(k)), pa.array(core.view(np.int64)), windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -259,10 +272,10 @@ def repeated_windows(docs: DataFrame, unit: str, length: int, q: int, resolver:
 
     anchors = written(base.mapInArrow(_anchors(unit, length, q), T.StructType(
         [*key, *span, T.StructField("ah", lg), T.StructField("sh", lg), T.StructField("inner", T.BooleanType())])), "anchors")
-    values = anchors.groupBy("ah").agg(F.count("*").alias("tot"), F.min("sh").alias("lo"), F.max("sh").alias("hi"),
-                                       F.max("inner").alias("inner"))
-    surviving = written(anchors.drop("inner").join(
-        values.filter("tot >= 2 OR inner").selectExpr("ah", "lo <> hi OR inner AS mixed"), "ah"), "surviving")
+    values = written(anchors.groupBy("ah").agg(F.count("*").alias("tot"), F.min("sh").alias("lo"),
+                                               F.max("sh").alias("hi"), F.max("inner").alias("inner"))
+                     .filter("tot >= 2 OR inner").selectExpr("ah", "lo <> hi OR inner AS mixed"), "values")
+    surviving = written(anchors.drop("inner").join(values, "ah"), "surviving")
     drop_written(anchors)
 
     mixed = surviving.filter("mixed")
@@ -283,18 +296,23 @@ def repeated_windows(docs: DataFrame, unit: str, length: int, q: int, resolver:
          T.StructField("body", T.BinaryType())]))
     shards = bodies.repartition("ah", "salt").sortWithinPartitions("ah", "salt", "__id", "__th", "s0")
     first_only = keep == "first"
-    found = written(shards.mapInArrow(_resolve(unit, length, resolver, first_only), T.StructType(
-        [*key, *span, T.StructField("h1", lg), T.StructField("h2", lg), T.StructField("weight", i)])), "resolved")
-
-    local = found.filter("weight = 0").select("__id", "__th", "s0", "n")
-    fingerprints = found.filter("weight > 0")
-    classes = fingerprints.groupBy("h1", "h2").agg(F.sum("weight").alias("all"), F.min(ref).alias("first")) \
-        .filter(F.col("all") > 1)
+    found = written(shards.mapInArrow(_resolve(unit, length, q, resolver, first_only), T.StructType(
+        [*key, *span, T.StructField("core", lg), T.StructField("windows", T.ArrayType(T.StructType(
+            [T.StructField("o", i), T.StructField("h1", lg), T.StructField("h2", lg), T.StructField("weight", i)])))])),
+        "resolved")
+
+    local = found.filter("core IS NULL").select("__id", "__th", "s0", "n")
+    shared = found.filter("core IS NOT NULL")
+    cores = written(shared.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1").select("core"), "cores")
+    fingerprints = shared.join(cores, "core", "left_semi").select("__id", "__th", "s0", F.explode("windows").alias("w")) \
+        .select("__id", "__th", (F.col("s0") + F.col("w.o")).alias("s0"), F.lit(1).alias("n"), "w.h1", "w.h2", "w.weight")
+    classes = written(fingerprints.groupBy("h1", "h2").agg(F.sum("weight").alias("all"), F.min(ref).alias("first"))
+                      .filter(F.col("all") > 1), "classes")
     across = fingerprints.join(classes, ["h1", "h2"])
     across = across.filter(ref != F.col("first")) if first_only else across.filter("weight = 1")
     whole = surviving.filter("NOT mixed")
     if first_only:
-        leads = whole.groupBy("ah").agg(F.min(ref).alias("first"))
+        leads = written(whole.groupBy("ah").agg(F.min(ref).alias("first")), "leads")
         whole = whole.join(leads, "ah").filter(ref != F.col("first"))
         copies = mixed.join(distinct.filter("c > 1").select("ah", "sh", F.struct("rep.__id", "rep.__th", "rep.s0")
                                                             .alias("first")), ["ah", "sh"]).filter(ref != F.col("first"))

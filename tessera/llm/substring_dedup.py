@@ -30,12 +30,8 @@ def doubling(gram: int):
     """Resolver: classes of equal windows by doubling levels."""
     def resolve(blk: Block, length: int) -> np.ndarray:
         one, two = vec.Rolling(blk.data, 0), vec.Rolling(blk.data, 1)
-        codes = one.grams(gram)
         starts, seg = blk.starts, blk.seg
-        # anchor of each window: the first place in it that has the group's value
-        size = np.diff(np.append(blk.begin, len(blk.data)))
-        places = np.flatnonzero(codes == np.repeat(blk.ah, size)[:len(codes)])
-        anchor = places[np.searchsorted(places, starts)]
+        anchor = blk.places(one.grams(gram))
         alive = np.arange(len(starts))
         level = gram
         while level < length and len(alive):

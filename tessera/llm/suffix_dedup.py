@@ -25,9 +25,10 @@ LENGTH = 200
 GRAM = 32
 
 
-def suffix_order(buf: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+def suffix_order(buf: np.ndarray, depth: int, every: bool = True) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """Suffixes of ``buf`` sorted by their first ``depth`` bytes (ties by
-    position), and the ranks at each doubling level as (length, ranks)."""
+    position), and the ranks at each doubling level (or the last only) as
+    (length, ranks)."""
     n = len(buf)
     pad = np.zeros(n + 8, np.uint64)
     pad[:n] = buf
@@ -40,7 +41,7 @@ def suffix_order(buf: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[in
     head[1:] = key[order[1:]] != key[order[:-1]]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    ranks = [(level, rank.copy())]
+    ranks = [(level, rank.copy() if every else rank)]
     while level < depth:
         step = min(level, depth - level)
         tied = ~head
@@ -59,7 +60,7 @@ def suffix_order(buf: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[in
             head[slots] = new
             rank[order[slots]] = np.maximum.accumulate(np.where(new, slots, 0))
         level += step
-        ranks.append((level, rank.copy()))
+        ranks.append((level, rank.copy() if every else rank))
     return order, ranks
 
 
@@ -103,9 +104,14 @@ def common_prefix(a: np.ndarray, b: np.ndarray, ranks: list[tuple[int, np.ndarra
     return np.minimum(out, depth)
 
 
-def factors(buf: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(LPF, LNF, rank) of the suffixes at ``starts``, lengths up to ``depth``."""
-    order, ranks = suffix_order(buf, depth)
+def factors(buf: np.ndarray, starts: np.ndarray, depth: int, lengths: bool = True):
+    """(LPF, LNF, rank) of the suffixes at ``starts``, lengths up to ``depth``.
+
+    With ``lengths=False`` a factor is only told apart as ``depth`` or shorter
+    (then 0): neighbours with equal ranks share ``depth`` bytes.
+    """
+    order, ranks = suffix_order(buf, depth, every=lengths)
+    rank = ranks[-1][1]
     chosen = np.zeros(len(buf), bool)
     chosen[starts] = True
     sa = order[chosen[order]]
@@ -116,15 +122,17 @@ def factors(buf: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray
         best = np.zeros(len(sa), np.int64)
         for before in (True, False):
             to = nearest(sa, smaller, before)
-            other = np.where(to >= 0, sa[to], -1)
-            best = np.maximum(best, common_prefix(sa, other, ranks, buf, depth))
+            if lengths:
+                best = np.maximum(best, common_prefix(sa, np.where(to >= 0, sa[to], -1), ranks, buf, depth))
+            else:
+                best[(to >= 0) & (rank[sa[to]] == rank[sa])] = depth
         result.append(best[place[starts]])
-    return result[0], result[1], ranks[-1][1][starts]
+    return result[0], result[1], rank[starts]
 
 
 def lpf_classes(blk: Block, length: int) -> np.ndarray:
     """Resolver: windows whose factors are shorter than ``length`` stand alone."""
-    lpf, lnf, rank = factors(blk.data, blk.starts, length)
+    lpf, lnf, rank = factors(blk.data, blk.starts, length, lengths=False)
     alone = np.arange(len(rank), dtype=np.int64)
     return np.where((lpf >= length) | (lnf >= length), len(rank) + rank, alone)
 
