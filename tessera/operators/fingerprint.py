@@ -110,6 +110,21 @@ def text_classes(dh: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     return digest.join(heads, key).select("doc_id", *scope, "class_id", "class_size")
 
 
+def prefix_pairs(reps: DataFrame, threshold: float, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_a, doc_b): all pairs that can share at least ``threshold`` of one
+    side's mass (n_pos of n_fp), found through that side's rare prefix."""
+    freq = reps.groupBy("hash", *scope).agg(F.count(F.lit(1)).alias("df"))
+    ranked = reps.join(freq, ["hash", *scope])
+    order = Window.partitionBy("doc_id", *scope).orderBy("df", "hash")
+    before = F.coalesce(F.sum("n_pos").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    prefix = (ranked.withColumn("_before", before)
+              .filter((F.col("_before") <= (1 - threshold) * F.col("n_fp") + 1e-9) & (F.col("df") > 1)))
+    seeds = prefix.select("hash", *scope, F.col("doc_id").alias("_p")).join(
+        ranked.filter("df > 1").select("hash", *scope, F.col("doc_id").alias("_q")), ["hash", *scope])
+    return (seeds.filter("_p <> _q")
+             .select(*scope, F.least("_p", "_q").alias("doc_a"), F.greatest("_p", "_q").alias("doc_b")).distinct())
+
+
 def similar_pairs(dh: DataFrame, threshold: float, scope: tuple[str, ...] = ()) -> DataFrame:
     """E6+E7 with a similarity threshold instead of a frequency cap: all pairs of
     class representatives (see ``text_classes``) with COMBINED >= threshold.
@@ -124,16 +139,7 @@ def similar_pairs(dh: DataFrame, threshold: float, scope: tuple[str, ...] = ())
     """
     classes = text_classes(dh, scope).filter(F.col("doc_id") == F.col("class_id"))
     reps = dh.join(classes.select("doc_id", *scope, "class_size"), ["doc_id", *scope])
-    freq = reps.groupBy("hash", *scope).agg(F.count(F.lit(1)).alias("df"))
-    ranked = reps.join(freq, ["hash", *scope])
-    order = Window.partitionBy("doc_id", *scope).orderBy("df", "hash")
-    before = F.coalesce(F.sum("n_pos").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    prefix = (ranked.withColumn("_before", before)
-              .filter((F.col("_before") <= (1 - threshold) * F.col("n_fp") + 1e-9) & (F.col("df") > 1)))
-    seeds = prefix.select("hash", *scope, F.col("doc_id").alias("_p")).join(
-        ranked.filter("df > 1").select("hash", *scope, F.col("doc_id").alias("_q")), ["hash", *scope])
-    pairs = (seeds.filter("_p <> _q")
-             .select(*scope, F.least("_p", "_q").alias("doc_a"), F.greatest("_p", "_q").alias("doc_b")).distinct())
+    pairs = prefix_pairs(reps, threshold, scope)
     side = (lambda d, x: reps.select("hash", *scope, F.col("doc_id").alias(d), F.col("n_pos").alias(f"n_{x}"),
                                      F.col("n_fp").alias(f"t_{x}"), F.col("class_size").alias(f"s_{x}")))
     both = (pairs.join(side("doc_a", "a"), ["doc_a", *scope]).join(side("doc_b", "b"), ["doc_b", "hash", *scope]))

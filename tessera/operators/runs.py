@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import kgram_hashes
 from ..functions.text import statements
 from ..session import cut_lineage
+from .fingerprint import prefix_pairs, text_classes
 
 
 def grams_from_tokens(df: DataFrame, r: int, id_col: str = "doc_id", tokens_col: str = "tokens",
@@ -65,42 +66,20 @@ def grams_from_rows(df: DataFrame, seq_col: str, order_cols: list[str], tok_col:
                     F.xxhash64(F.transform("_g", lambda e: e["tok"])).alias("hash"), "n")
 
 
-def seeds(ga: DataFrame, gb: DataFrame | None = None, a: str = "doc_a", b: str = "doc_b",
-          max_df: int | None = None) -> DataFrame:
+def seeds(ga: DataFrame, gb: DataFrame | None = None, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
     """(a, b, i, j): every pair of equal r-grams (i in a, j in b). With one
     table, unordered self pairs a < b.
 
-    ``max_df``: candidate pairs come only from grams held by 2..max_df
-    sequences (a gram shared by a third of all sequences would otherwise pair
-    all of them); the seeds of each candidate pair are then collected over
-    *all* its shared grams, common ones included (pair-driven: the pair is
-    attached to a's grams and probed in b's on (b, hash)), so runs and
-    coverage stay exact for every reported pair.
+    No gram is left out: the run length r is the selective part, so callers
+    choose it long enough for their alphabet (an r-gram of a small alphabet is
+    common by chance). The join on the gram is an equi-join that AQE can split.
     """
     left = ga.select("hash", F.col("doc_id").alias(a), F.col("pos").alias("i"))
     right = (gb if gb is not None else ga).select("hash", F.col("doc_id").alias(b), F.col("pos").alias("j"))
-    if max_df is None:
-        s = left.join(right, "hash")
-        if gb is None:
-            s = s.filter(F.col(a) < F.col(b))
-        return s.drop("hash")
-    src = ga.select("hash", "doc_id", F.lit("a").alias("_side"))
-    if gb is not None:  # the two sides' ids may coincide: count them apart
-        src = src.unionByName(gb.select("hash", "doc_id", F.lit("b").alias("_side")))
-    per_doc = src.distinct()  # keyed by (hash, side, doc): no hot key
-    df = per_doc.groupBy("hash").agg(F.count(F.lit(1)).alias("df"))  # partial counts
-    rare = per_doc.join(df.filter((F.col("df") >= 2) & (F.col("df") <= max_df)).select("hash"), "hash",
-                        "left_semi").drop("_side").distinct()
-    la = rare.select("hash", F.col("doc_id").alias(a))
-    rb = rare.select("hash", F.col("doc_id").alias(b))
-    if gb is not None:
-        la = la.join(ga.select("hash", F.col("doc_id").alias(a)).distinct(), ["hash", a], "left_semi")
-        rb = rb.join(gb.select("hash", F.col("doc_id").alias(b)).distinct(), ["hash", b], "left_semi")
-    cand = la.join(rb, "hash")
+    s = left.join(right, "hash")
     if gb is None:
-        cand = cand.filter(F.col(a) < F.col(b))
-    cand = cand.select(a, b).distinct()
-    return cand.join(left, a).join(right, [b, "hash"]).select(a, b, "i", "j")
+        s = s.filter(F.col(a) < F.col(b))
+    return s.drop("hash")
 
 
 def _union_length(df: DataFrame, keys: list[str], p: str, r: int) -> DataFrame:
@@ -172,34 +151,28 @@ def statement_bags(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return e.groupBy("doc_id", *keep, "stmt").agg(F.count(F.lit(1)).alias("cnt"), F.max("n_stmts").alias("n_stmts"))
 
 
-def order_free_similarity(bags: DataFrame, scope: tuple[str, ...] = (), max_df: int | None = 20) -> DataFrame:
-    """Bag-of-statements overlap, insensitive to statement order.
+def order_free_similarity(bags: DataFrame, scope: tuple[str, ...] = (), threshold: float = 0.3) -> DataFrame:
+    """Bag-of-statements overlap, insensitive to statement order, for all
+    pairs of distinct bags (class representatives within the scope) with
+    similarity >= threshold.
 
-    overlap = sum over shared statements of min(cnt_a, cnt_b);
-    similarity = overlap / max(n_a, n_b). Candidate pairs come from an
-    equi-join on statements held by 2..max_df documents (a statement such as
-    a lone "return 0" in a third of the corpus would pair everything); the
-    overlap of each candidate is then summed over *all* its shared
-    statements (pair-driven: a's bag attached to the pair, probed in b's).
-    ``max_df=None`` joins on every statement.
+    overlap = sum over shared statements of min(cnt_a, cnt_b); similarity =
+    overlap / max(n_a, n_b). At similarity t both sides share at least t of
+    their statements, so candidates come from the rare prefixes (frequencies
+    counted within the scope), and the overlap counts every shared statement.
     """
-    x = bags.withColumn("h", F.xxhash64("stmt"))
-    keyed = x.select("h", *scope, "doc_id", "cnt", "n_stmts")
-    if max_df is None:
-        rare = keyed
-    else:
-        f = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-        rare = keyed.join(f.filter((F.col("df") >= 2) & (F.col("df") <= max_df)).select("h"), "h", "left_semi")
-    cand = (rare.select("h", *scope, F.col("doc_id").alias("doc_a"))
-            .join(rare.select("h", *scope, F.col("doc_id").alias("doc_b")), ["h", *scope])
-            .filter(F.col("doc_a") < F.col("doc_b")).select(*scope, "doc_a", "doc_b").distinct())
-    l = keyed.select("h", *scope, F.col("doc_id").alias("doc_a"), F.col("cnt").alias("ca"), F.col("n_stmts").alias("na"))
-    r = keyed.select("h", *scope, F.col("doc_id").alias("doc_b"), F.col("cnt").alias("cb"), F.col("n_stmts").alias("nb"))
-    j = cand.join(l, [*scope, "doc_a"]).join(r, [*scope, "doc_b", "h"])
+    dh = cut_lineage(bags.select(F.xxhash64("stmt").alias("hash"), *scope, "doc_id", F.col("cnt").alias("n_pos"),
+                                 F.col("n_stmts").alias("n_fp")))
+    heads = text_classes(dh, scope).filter("doc_id = class_id").select("doc_id", *scope)
+    reps = dh.join(heads, ["doc_id", *scope], "left_semi")
+    cand = prefix_pairs(reps, threshold, scope)
+    side = (lambda d, x: reps.select("hash", *scope, F.col("doc_id").alias(d), F.col("n_pos").alias(f"c{x}"),
+                                     F.col("n_fp").alias(f"n{x}")))
+    j = cand.join(side("doc_a", "a"), [*scope, "doc_a"]).join(side("doc_b", "b"), [*scope, "doc_b", "hash"])
     g = j.groupBy(*scope, "doc_a", "doc_b").agg(F.sum(F.least("ca", "cb")).alias("overlap"),
                                                 F.max("na").alias("n_a"), F.max("nb").alias("n_b"))
-    den = F.greatest("n_a", "n_b")
-    return g.withColumn("similarity", F.when(den > 0, F.col("overlap") / den).otherwise(F.lit(0.0)))
+    return g.withColumn("similarity", F.col("overlap") / F.greatest("n_a", "n_b")) \
+        .filter(F.col("similarity") >= threshold)
 
 
 def word_lines(text: Column | str) -> Column:

@@ -27,8 +27,6 @@ THRESHOLD_GRID_CENTS = list(range(5, 100, 5))  # 0.05 .. 0.95
 AS_P = 0.3275911
 AS_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
-MAX_OBSERVED = 100_000  # guard for the scalar run-log value
-
 
 def encode_metric(c: Column) -> Column:
     """Categorical -> ordinal in [0, 1]; an unknown metric raises at run time."""
@@ -88,16 +86,14 @@ def standardize(df: DataFrame, stats: dict[str, tuple[Column, Column]], prefix:
 
 
 def observed_array(observed: DataFrame, zcols: list[str], target: str) -> Column:
-    """The run log as one array<struct> value (scalar subquery), size-checked."""
-    arr = observed.select(F.collect_list(F.struct(*[F.col(c).alias(f"x{i}") for i, c in enumerate(zcols)],
-                                                  F.col(target).alias("y")))).scalar()
-    n = observed.select(F.count(F.lit(1))).scalar()
-    return F.when(n <= MAX_OBSERVED, arr).otherwise(
-        F.raise_error(F.lit("run log too large for the scalar surrogate")).cast(arr_type(len(zcols))))
-
-
-def arr_type(k: int) -> str:
-    return "array<struct<" + ",".join(f"x{i}:double" for i in range(k)) + ",y:double>>"
+    """The run log as one array<struct> value (scalar subquery), aggregated to
+    its distinct parameter points (n, sum y, sum y^2): exact for every size of
+    log, and bounded by the parameter grid, not by the number of runs."""
+    points = observed.filter(F.col(target).isNotNull()).groupBy(*zcols).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(target).alias("sy"),
+        F.sum(F.col(target) * F.col(target)).alias("syy"))
+    return points.select(F.collect_list(F.struct(*[F.col(c).alias(f"x{i}") for i, c in enumerate(zcols)],
+                                                 "n", "sy", "syy"))).scalar()
 
 
 def local_estimate(cands: DataFrame, obs: Column, zcols: list[str], h: float = 1.0) -> DataFrame:
@@ -115,8 +111,8 @@ def local_estimate(cands: DataFrame, obs: Column, zcols: list[str], h: float = 1
     # a higher-order function, a column reference may.
     cands = cands.withColumn("_obs", obs)
     acc = F.aggregate(F.col("_obs"), zero, lambda a, o: F.struct(
-        (a["sw"] + w(o)).alias("sw"), (a["swy"] + w(o) * o["y"]).alias("swy"),
-        (a["swy2"] + w(o) * o["y"] * o["y"]).alias("swy2")))
+        (a["sw"] + w(o) * o["n"]).alias("sw"), (a["swy"] + w(o) * o["sy"]).alias("swy"),
+        (a["swy2"] + w(o) * o["syy"]).alias("swy2")))
     x = cands.withColumn("_acc", acc)
     cols = [c for c in cands.columns if c != "_obs"]
     mu = F.when(F.col("_acc.sw") > 0, F.col("_acc.swy") / F.col("_acc.sw"))

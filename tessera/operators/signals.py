@@ -42,14 +42,12 @@ def channel_correlations(pairs: DataFrame, channels: dict[str, DataFrame]) -> Da
 
 
 def rank_pairs(scored: DataFrame, score: str, n: int, items_a: DataFrame, items_b: DataFrame | None = None,
-               a_col: str = "doc_a", b_col: str = "doc_b", id_col: str = "doc_id", items: str = "items",
-               show: int = 5) -> DataFrame:
-    """K2: the ``n`` highest pairs with the (first ``show``, sorted) shared
-    elements that raised the flag. Element sets are attached only to the
+               a_col: str = "doc_a", b_col: str = "doc_b", id_col: str = "doc_id", items: str = "items") -> DataFrame:
+    """K2: the ``n`` highest pairs with all (sorted) shared elements that raised the flag. Element sets are attached only to the
     ``n`` selected pairs."""
     top = scored.orderBy(F.desc(score), a_col, b_col).limit(n)
     ib = items_b if items_b is not None else items_a
     j = (top.join(items_a.select(F.col(id_col).alias(a_col), F.col(items).alias("_ia")), a_col)
          .join(ib.select(F.col(id_col).alias(b_col), F.col(items).alias("_ib")), b_col))
-    shared = F.slice(F.array_sort(F.array_intersect("_ia", "_ib")), 1, show)
+    shared = F.array_sort(F.array_intersect("_ia", "_ib"))
     return j.select(*top.columns, F.array_join(shared, " ").alias("shared_elements"))

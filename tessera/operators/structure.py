@@ -8,10 +8,15 @@ node with a million children is one partial aggregation, not one row.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
+from .fingerprint import prefix_pairs, text_classes
 
 # HTML void elements (never have children) and the tag pattern.
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
@@ -21,35 +26,73 @@ RAW_TEXT_RE = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>"
 P = 2147483647  # modulus for commutative hash sums (no overflow in ANSI mode)
 
 
+# An opening tag of the key ends an open element of its list (HTML's
+# optional end tags).
+IMPLIED_END = {
+    "p": ("p",), "div": ("p",), "ul": ("p",), "ol": ("p",), "table": ("p",), "h1": ("p",), "h2": ("p",),
+    "h3": ("p",), "section": ("p",), "article": ("p",), "li": ("li", "p"), "dt": ("dt", "dd"), "dd": ("dt", "dd"),
+    "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
+}
+# elements that an implied end does not reach through
+BARRIER = ("table", "ul", "ol", "dl", "select", "td", "th", "div", "section", "article", "body", "html")
+
+
+def element_tree(html: str | None) -> list[tuple[int, str, int, int | None]]:
+    """(node, tag, depth, parent) of each element, in document order.
+
+    Comments and script / style bodies are blanked first. A closing tag ends
+    the nearest open element of its own name (and what is open inside it) and
+    is ignored without one; open elements end with the text.
+    """
+    text = re.sub(RAW_TEXT_RE, r"<\1></\1>", re.sub(r"(?s)<!--.*?(-->|\Z)", "", html or ""))
+    out: list[tuple[int, str, int, int | None]] = []
+    stack: list[tuple[str, int]] = []
+    for node, m in enumerate(re.finditer(TAG_RE, text)):
+        raw = m.group()
+        tag = re.match(r"</?([A-Za-z][A-Za-z0-9]*)", raw).group(1).lower()
+        if raw.startswith("</"):
+            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            if at is not None:
+                del stack[at:]
+            continue
+        ends = IMPLIED_END.get(tag, ())
+        while ends and stack:
+            at = next((k for k in range(len(stack) - 1, -1, -1)
+                       if stack[k][0] in ends or stack[k][0] in BARRIER), None)
+            if at is None or stack[at][0] not in ends:
+                break
+            del stack[at:]
+        out.append((node, tag, len(stack), stack[-1][1] if stack else None))
+        if not raw.endswith("/>") and tag not in VOID_TAGS:
+            stack.append((tag, node))
+    return out
+
+
 def nesting_tree(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """element tree of markup: (doc_id, node, tag, depth, parent).
+    """element tree of markup: (doc_id, node, depth, parent, tag).
 
-    Script / style bodies are emptied first (their text may contain tags).
-    Depth is a running sum of +1 / -1 over the tag sequence; the parent of a
-    node at depth d is the last opening tag at depth d - 1 before it, found
-    with one window over (doc, level) rows: each opening tag is offered as a
-    parent at level depth + 1 and looked up as a child at level depth.
+    Matching open and close tags needs a stack, so a small parser runs over
+    each page in Arrow batches; there is no shuffle.
     """
-    clean = F.regexp_replace(F.col(html_col), RAW_TEXT_RE, "<$1></$1>")
-    tags = df.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(clean, F.lit(TAG_RE), 0)).alias("node", "raw"))
-    name = F.lower(F.regexp_extract("raw", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
-    t = tags.select("doc_id", "node", name.alias("tag"), F.col("raw").startswith("</").alias("is_close"),
-                    (F.col("raw").endswith("/>") | F.array_contains(F.array(*[F.lit(v) for v in VOID_TAGS]), name))
-                    .alias("is_void"))
-    delta = F.when(F.col("is_close"), -1).when(F.col("is_void"), 0).otherwise(1)
-    w = Window.partitionBy("doc_id").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("depth", F.coalesce(F.sum(delta).over(w), F.lit(0)))
-    opens = t.filter(~F.col("is_close"))
-    offer = opens.select("doc_id", (F.col("depth") + 1).alias("level"), "node", F.col("node").alias("cand"))
-    ask = opens.select("doc_id", F.col("depth").alias("level"), "node", F.lit(None).cast("int").alias("cand"))
-    u = offer.unionByName(ask.withColumn("_ask", F.lit(True)), allowMissingColumns=True).fillna(False, ["_ask"])
-    wl = Window.partitionBy("doc_id", "level").orderBy("node", F.desc("_ask")).rowsBetween(Window.unboundedPreceding, -1)
-    u = u.withColumn("parent", F.last("cand", ignorenulls=True).over(wl))
-    kids = u.filter("_ask").select("doc_id", "node", F.col("level").alias("depth"), "parent")
-    return kids.join(opens.select("doc_id", "node", "tag"), ["doc_id", "node"])
-
-
-def subtree_hashes(tree: DataFrame, max_depth: int = 64) -> DataFrame:
+    def parse(batches):
+        for b in batches:
+            ids, pages = b.column(0), b.column(1).to_pylist()
+            trees = [element_tree(p) for p in pages]
+            flat = [x for t in trees for x in t]
+            owner = pa.array([k for k, t in enumerate(trees) for _ in t], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(owner), pa.array([x[0] for x in flat], pa.int32()), pa.array([x[2] for x in flat], pa.int64()),
+                 pa.array([x[3] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.string())],
+                names=["doc_id", "node", "depth", "parent", "tag"])
+
+    src = df.select(F.col(id_col).alias("doc_id"), F.col(html_col).cast("string").alias("html"))
+    return src.mapInArrow(parse, T.StructType([
+        T.StructField("doc_id", src.schema["doc_id"].dataType), T.StructField("node", T.IntegerType()),
+        T.StructField("depth", T.LongType()), T.StructField("parent", T.IntegerType()),
+        T.StructField("tag", T.StringType())]))
+
+
+def subtree_hashes(tree: DataFrame) -> DataFrame:
     """bottom-up subtree hash and size per node.
 
     hash(node) = xxhash64(tag, n_children, sum and sum-of-squares (mod P) of
@@ -62,8 +105,6 @@ def subtree_hashes(tree: DataFrame, max_depth: int = 64) -> DataFrame:
     if depth is None:
         return tree.select("doc_id", "node", "tag", "depth", F.lit(None).cast("long").alias("hash"),
                            F.lit(1).cast("long").alias("size")).limit(0)
-    if depth > max_depth:
-        raise ValueError(f"tree deeper than {max_depth}")
     prev = None
     levels = []
     for d in range(depth, -1, -1):
@@ -87,26 +128,28 @@ def subtree_hashes(tree: DataFrame, max_depth: int = 64) -> DataFrame:
     return out
 
 
-def tree_similarity(hashes: DataFrame, max_df: int = 20) -> DataFrame:
-    """overlap of subtree multisets weighted by subtree size.
+def tree_similarity(hashes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """overlap of subtree multisets weighted by subtree size, for all pairs
+    of distinct trees (class representatives) with similarity >= threshold.
 
-    Candidate pairs come from subtrees held by at most ``max_df`` documents
-    (template subtrees shared by everyone would pair everything); the score
-    of a candidate uses *all* its subtrees: sum over shared hashes of
-    min(cnt_a, cnt_b) * size, over the larger total size.
+    similarity = sum over shared hashes of min(cnt_a, cnt_b) * size, over the
+    larger total size. At similarity t both sides share at least t of their
+    mass, so the rare prefix search of the fingerprints finds every pair.
     """
     bag = hashes.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("cnt"), F.max("size").alias("size"))
-    freq = bag.groupBy("hash").agg(F.count(F.lit(1)).alias("df")).filter((F.col("df") >= 2) & (F.col("df") <= max_df))
-    rare = bag.join(freq.select("hash"), "hash", "left_semi")
-    pairs = (rare.select("hash", F.col("doc_id").alias("doc_a")).join(rare.select("hash", F.col("doc_id").alias("doc_b")), "hash")
-             .filter("doc_a < doc_b").select("doc_a", "doc_b").distinct())
-    left = pairs.join(bag.select(F.col("doc_id").alias("doc_a"), "hash", F.col("cnt").alias("ca"), "size"), "doc_a")
-    both = left.join(bag.select(F.col("doc_id").alias("doc_b"), "hash", F.col("cnt").alias("cb")), ["doc_b", "hash"])
-    shared = both.groupBy("doc_a", "doc_b").agg(F.sum(F.least("ca", "cb") * F.col("size")).alias("shared"))
-    tot = bag.groupBy("doc_id").agg(F.sum(F.col("cnt") * F.col("size")).alias("tot"))
-    out = (shared.join(tot.select(F.col("doc_id").alias("doc_a"), F.col("tot").alias("ta")), "doc_a")
-           .join(tot.select(F.col("doc_id").alias("doc_b"), F.col("tot").alias("tb")), "doc_b"))
-    return out.withColumn("similarity", F.col("shared") / F.greatest("ta", "tb"))
+    tot = bag.groupBy("doc_id").agg(F.sum(F.col("cnt") * F.col("size")).alias("n_fp"))
+    dh = cut_lineage(bag.join(tot, "doc_id").select("doc_id", "hash", (F.col("cnt") * F.col("size")).alias("n_pos"),
+                                                    "n_fp", "cnt", "size"))
+    heads = text_classes(dh).filter("doc_id = class_id").select("doc_id")
+    reps = dh.join(heads, "doc_id", "left_semi")
+    pairs = prefix_pairs(reps, threshold)
+    left = pairs.join(reps.select(F.col("doc_id").alias("doc_a"), "hash", F.col("cnt").alias("ca"), "size",
+                                  F.col("n_fp").alias("ta")), "doc_a")
+    both = left.join(reps.select(F.col("doc_id").alias("doc_b"), "hash", F.col("cnt").alias("cb"),
+                                 F.col("n_fp").alias("tb")), ["doc_b", "hash"])
+    out = both.groupBy("doc_a", "doc_b").agg(F.sum(F.least("ca", "cb") * F.col("size")).alias("shared"),
+                                             F.max("ta").alias("ta"), F.max("tb").alias("tb"))
+    return out.withColumn("similarity", F.col("shared") / F.greatest("ta", "tb")).filter(F.col("similarity") >= threshold)
 
 
 def flow_edges(tokens: DataFrame) -> DataFrame:

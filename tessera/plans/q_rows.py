@@ -17,7 +17,7 @@ from ..sources import reports, sinks
 from ..sources.tables import table
 from ..streaming import incremental
 from . import detect
-from .q_runs import MAX_DF, R, event_grams
+from .q_runs import R_EVENTS, event_grams
 from .registry import register
 
 
@@ -30,10 +30,10 @@ def b9_segment_blocks(spark, root):
 
 @register("e11_greedy_tiling")
 def e11_greedy_tiling(spark, root):
-    """GST (min 5) over the maximal event runs of every user pair; tiled fraction per side."""
+    """GST (min 10) over the maximal event runs of every user pair; tiled fraction per side."""
     g = event_grams(spark, root)
-    runs = ro.maximal_runs(ro.seeds(g, max_df=MAX_DF), R)
-    t = greedy_tiling(runs, R)
+    runs = ro.maximal_runs(ro.seeds(g), R_EVENTS)
+    t = greedy_tiling(runs, R_EVENTS)
     n = g.select("doc_id", "n").distinct()
     t = (t.join(n.select(F.col("doc_id").alias("doc_a"), F.col("n").alias("n_a")), "doc_a")
          .join(n.select(F.col("doc_id").alias("doc_b"), F.col("n").alias("n_b")), "doc_b"))

@@ -14,12 +14,12 @@ from . import detect
 from . import sqlparts as S
 from .registry import register
 
-R = 5
+R = 5            # words in a common run of texts
+R_EVENTS = 10    # events in a common run: five event types, so short runs are chance
 GAP = 2
-MAX_DF = 20  # grams in more sequences do not create candidate pairs
 
 
-def event_grams(spark, root, r=R):
+def event_grams(spark, root, r=R_EVENTS):
     ev = table(spark, root, "events").select("user_id", "ts", "event_id", "event_type")
     return ro.grams_from_rows(ev, "user_id", ["ts", "event_id"], "event_type", r)
 
@@ -27,28 +27,23 @@ def event_grams(spark, root, r=R):
 _EV_SQL = f"""
   ev AS (SELECT user_id, event_type, CAST(row_number() OVER w - 1 AS INTEGER) AS pos,
                 count(*) OVER (PARTITION BY user_id) AS n,
-                event_type || chr(31) || lead(event_type, 1) OVER w || chr(31) || lead(event_type, 2) OVER w
-                || chr(31) || lead(event_type, 3) OVER w || chr(31) || lead(event_type, 4) OVER w AS gram
+                event_type {' '.join(f"|| chr(31) || lead(event_type, {k}) OVER w" for k in range(1, 10))} AS gram
          FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
   g AS (SELECT * FROM ev WHERE gram IS NOT NULL),
-  gdf AS (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT user_id) BETWEEN 2 AND {MAX_DF}),
-  cand AS (SELECT DISTINCT a.user_id AS doc_a, b.user_id AS doc_b FROM g a JOIN g b
-           ON a.gram = b.gram AND a.user_id < b.user_id WHERE a.gram IN (SELECT gram FROM gdf)),
   s AS (SELECT a.user_id AS doc_a, b.user_id AS doc_b, a.pos AS i, b.pos AS j, a.n AS n_a, b.n AS n_b
-        FROM cand JOIN g a ON a.user_id = cand.doc_a JOIN g b ON b.user_id = cand.doc_b AND a.gram = b.gram)"""
+        FROM g a JOIN g b ON a.gram = b.gram AND a.user_id < b.user_id)"""
 
 
 @register("e9_run_coverage", f"""WITH {_EV_SQL},
   ca AS (SELECT doc_a, doc_b, count(DISTINCT i + k) AS covered_a, max(n_a) AS n_a, max(n_b) AS n_b
-         FROM s, range(0, {R}) r(k) GROUP BY 1, 2),
-  cb AS (SELECT doc_a, doc_b, count(DISTINCT j + k) AS covered_b FROM s, range(0, {R}) r(k) GROUP BY 1, 2)
+         FROM s, range(0, 10) r(k) GROUP BY 1, 2),
+  cb AS (SELECT doc_a, doc_b, count(DISTINCT j + k) AS covered_b FROM s, range(0, 10) r(k) GROUP BY 1, 2)
 SELECT doc_a, doc_b, covered_a, covered_b, n_a, n_b, round(covered_a / n_a, 6) AS frac_a,
        round(covered_b / n_b, 6) AS frac_b FROM ca JOIN cb USING (doc_a, doc_b)""")
 def e9_run_coverage(spark, root):
-    """Per candidate user pair (sharing a 5-gram held by <= 20 users): events of each side inside
-    common runs of >= 5 event types (all shared grams count)."""
+    """Per pair of users with a common run: events of each side inside common runs of >= 10 events."""
     g = event_grams(spark, root)
-    cov = ro.run_coverage(ro.seeds(g, max_df=MAX_DF), R)
+    cov = ro.run_coverage(ro.seeds(g), R_EVENTS)
     n = g.select("doc_id", "n").distinct()
     cov = (cov.join(n.select(F.col("doc_id").alias("doc_a"), F.col("n").alias("n_a")), "doc_a")
            .join(n.select(F.col("doc_id").alias("doc_b"), F.col("n").alias("n_b")), "doc_b"))
@@ -61,14 +56,14 @@ _RUNS_SQL = f"""WITH {_EV_SQL},
   sd AS (SELECT doc_a, doc_b, i, j, i - j AS d,
                 i - row_number() OVER (PARTITION BY doc_a, doc_b, i - j ORDER BY i) AS isl FROM s),
   runs AS (SELECT doc_a, doc_b, CAST(min(i) AS INTEGER) AS start_a, CAST(min(i) - d AS INTEGER) AS start_b,
-                  CAST(max(i) - min(i) + {R} AS INTEGER) AS len FROM sd GROUP BY doc_a, doc_b, d, isl)"""
+                  CAST(max(i) - min(i) + 10 AS INTEGER) AS len FROM sd GROUP BY doc_a, doc_b, d, isl)"""
 
 
 @register("e10_maximal_runs", f"""{_RUNS_SQL}
 SELECT * FROM runs""")
 def e10_maximal_runs(spark, root):
-    """Maximal common runs (>= 5 events) between user sequences: diagonal islands."""
-    return ro.maximal_runs(ro.seeds(event_grams(spark, root), max_df=MAX_DF), R).select(
+    """Maximal common runs (>= 10 events) between user sequences: diagonal islands."""
+    return ro.maximal_runs(ro.seeds(event_grams(spark, root)), R_EVENTS).select(
         "doc_a", "doc_b", F.col("start_a").cast("int"), F.col("start_b").cast("int"), F.col("len").cast("int"))
 
 
@@ -84,31 +79,31 @@ SELECT doc_a, doc_b, min(start_a) AS start_a, max(start_a + len) AS end_a, min(s
 FROM gq GROUP BY doc_a, doc_b, grp""")
 def e12_merge_matches(spark, root):
     """Maximal runs merged across insertions of up to 2 events on both sides."""
-    runs = ro.maximal_runs(ro.seeds(event_grams(spark, root), max_df=MAX_DF), R).select(
+    runs = ro.maximal_runs(ro.seeds(event_grams(spark, root)), R_EVENTS).select(
         "doc_a", "doc_b", F.col("start_a").cast("int"), F.col("start_b").cast("int"), F.col("len").cast("int"))
     return ro.merge_matches(runs, GAP)
 
 
 @register("e13_order_free_similarity", f"""
-WITH st AS (SELECT doc_id, source, list_transform(list_filter(list_transform(regexp_split_to_array(text, '[;{{}}]'),
+WITH st AS (SELECT doc_id, source, list_transform(list_filter(list_transform(regexp_split_to_array(text, '[;{{}}\\n]'),
                  lambda s: trim(regexp_replace(s, {S.q('[ \t\r\n\f\x0B]+')}, ' ', 'g'))), lambda s: s <> ''),
                  lambda s: lower(s)) AS ss FROM documents),
   e AS (SELECT doc_id, source, len(ss) AS n, unnest(ss) AS stmt FROM st),
   b AS (SELECT doc_id, source, stmt, count(*) AS cnt, max(n) AS n FROM e GROUP BY 1, 2, 3),
-  rare AS (SELECT stmt FROM b GROUP BY stmt HAVING count(*) BETWEEN 2 AND {MAX_DF}),
-  cand AS (SELECT DISTINCT x.source, x.doc_id AS doc_a, y.doc_id AS doc_b FROM b x JOIN b y
-           ON x.stmt = y.stmt AND x.source = y.source AND x.doc_id < y.doc_id WHERE x.stmt IN (SELECT stmt FROM rare)),
-  p AS (SELECT c.source, c.doc_a, c.doc_b, CAST(sum(least(x.cnt, y.cnt)) AS BIGINT) AS overlap,
+  sig AS (SELECT doc_id, source, string_agg(CAST(cnt AS VARCHAR) || stmt, chr(31) ORDER BY stmt) AS d FROM b GROUP BY 1, 2),
+  rep AS (SELECT min(doc_id) AS doc_id FROM sig GROUP BY source, d),
+  r AS (SELECT b.* FROM b JOIN rep USING (doc_id)),
+  p AS (SELECT x.source, x.doc_id AS doc_a, y.doc_id AS doc_b, CAST(sum(least(x.cnt, y.cnt)) AS BIGINT) AS overlap,
                max(x.n) AS n_a, max(y.n) AS n_b
-        FROM cand c JOIN b x ON x.doc_id = c.doc_a AND x.source = c.source
-        JOIN b y ON y.doc_id = c.doc_b AND y.source = c.source AND y.stmt = x.stmt GROUP BY 1, 2, 3)
-SELECT source, doc_a, doc_b, overlap, n_a, n_b, round(overlap / greatest(n_a, n_b), 6) AS similarity FROM p""")
+        FROM r x JOIN r y ON x.stmt = y.stmt AND x.source = y.source AND x.doc_id < y.doc_id GROUP BY 1, 2, 3)
+SELECT source, doc_a, doc_b, overlap, n_a, n_b, round(overlap / greatest(n_a, n_b), 6) AS similarity FROM p
+WHERE overlap / greatest(n_a, n_b) >= 0.3""")
 def e13_order_free_similarity(spark, root):
-    """Bag-of-statements overlap between documents of the same source (candidates share a
-    statement held by <= 20 documents; overlap counts all shared statements)."""
-    d = table(spark, root, "documents")
+    """Bag-of-statements overlap >= 0.3 between distinct documents of the same source
+    (statements end at ; {{ }} or the line end)."""
+    d = table(spark, root, "documents").withColumn("text", F.regexp_replace("text", "\n", ";"))
     bags = ro.statement_bags(d, keep=("source",))
-    p = ro.order_free_similarity(bags, scope=("source",), max_df=MAX_DF)
+    p = ro.order_free_similarity(bags, scope=("source",), threshold=0.3)
     return p.select("source", "doc_a", "doc_b", "overlap", "n_a", "n_b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -124,12 +119,7 @@ WITH bt AS (SELECT item_id AS doc_a, {_WT} AS t FROM benchmark),
          FROM (SELECT doc_a, t, unnest(range(0, greatest(len(t) - {R - 1}, 0))) AS pos FROM bt)),
   gb AS (SELECT doc_b, pos, array_to_string(t[pos + 1 : pos + {R}], ' ') AS gram
          FROM (SELECT doc_b, t, unnest(range(0, greatest(len(t) - {R - 1}, 0))) AS pos FROM dt)),
-  gdf AS (SELECT gram FROM (SELECT DISTINCT 'a' AS side, doc_a AS d, gram FROM ga
-                            UNION ALL SELECT DISTINCT 'b', doc_b, gram FROM gb)
-          GROUP BY gram HAVING count(*) BETWEEN 2 AND {MAX_DF}),
-  cand AS (SELECT DISTINCT doc_a, doc_b FROM ga JOIN gb ON ga.gram = gb.gram WHERE ga.gram IN (SELECT gram FROM gdf)),
-  s AS (SELECT cand.doc_a, cand.doc_b, ga.pos AS i, gb.pos AS j FROM cand JOIN ga ON ga.doc_a = cand.doc_a
-        JOIN gb ON gb.doc_b = cand.doc_b AND ga.gram = gb.gram),
+  s AS (SELECT doc_a, doc_b, ga.pos AS i, gb.pos AS j FROM ga JOIN gb ON ga.gram = gb.gram),
   sd AS (SELECT *, i - j AS d, i - row_number() OVER (PARTITION BY doc_a, doc_b, i - j ORDER BY i) AS isl FROM s),
   runs AS (SELECT doc_a, doc_b, CAST(min(i) AS INTEGER) AS start_a, CAST(min(i) - d AS INTEGER) AS start_b,
                   CAST(max(i) - min(i) + {R} AS INTEGER) AS len FROM sd GROUP BY doc_a, doc_b, d, isl)
@@ -140,7 +130,7 @@ def e14_match_evidence(spark, root):
     """Line ranges in the document for every maximal 5-word run shared with a benchmark item."""
     ga = ro.grams_from_tokens(detect.word_docs(spark, root, "benchmark", "item_id"), R)
     gb = ro.grams_from_tokens(detect.word_docs(spark, root), R)
-    runs = ro.maximal_runs(ro.seeds(ga, gb, max_df=MAX_DF), R).select(
+    runs = ro.maximal_runs(ro.seeds(ga, gb), R).select(
         "doc_a", "doc_b", F.col("start_a").cast("int"), F.col("start_b").cast("int"), F.col("len").cast("int"))
     lines = table(spark, root, "documents").select("doc_id", ro.word_lines("text").alias("lines"))
     return ro.match_evidence(runs, lines)

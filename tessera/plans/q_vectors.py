@@ -18,7 +18,8 @@ from .q_pairs import _COV
 from .registry import register
 
 MAXT, STRIDE = 64, 32
-CTX = 256
+CTX = 256        # I1 shows the truncation rule on a short context
+JUDGE_CTX = 4096  # context of the judged prompts (I2-I4)
 _WT = S.word_tokens("text")
 
 
@@ -104,21 +105,26 @@ def _judge_pairs(spark, root):
                     "tokens_a", "tokens_b")
 
 
-_PAIR_SQL = f"""WITH {_COV},
+def _pair_sql(room: int) -> str:
+    return f"""WITH {_COV},
   pp AS (SELECT cov.item_id, cov.doc_id, {S.word_tokens('b.text')} AS ta, {S.word_tokens('d.text')} AS tb
          FROM cov JOIN benchmark b ON b.item_id = cov.item_id JOIN documents d ON d.doc_id = cov.doc_id),
   fit AS (SELECT item_id, doc_id, len(ta) AS n_orig, len(tb) AS n_sub,
-                 CASE WHEN len(ta) + len(tb) > {CTX - jo.PROMPT_OVERHEAD} AND len(ta) > {(CTX - jo.PROMPT_OVERHEAD) // 2}
-                      THEN ta[1:{(CTX - jo.PROMPT_OVERHEAD) // 2}] ELSE ta END AS ua,
-                 CASE WHEN len(ta) + len(tb) > {CTX - jo.PROMPT_OVERHEAD} AND len(tb) > {(CTX - jo.PROMPT_OVERHEAD) // 2}
-                      THEN tb[1:{(CTX - jo.PROMPT_OVERHEAD) // 2}] ELSE tb END AS ub FROM pp),
+                 CASE WHEN len(ta) + len(tb) > {room} AND len(ta) > {room // 2}
+                      THEN ta[1:{room // 2}] ELSE ta END AS ua,
+                 CASE WHEN len(ta) + len(tb) > {room} AND len(tb) > {room // 2}
+                      THEN tb[1:{room // 2}] ELSE tb END AS ub FROM pp),
   lg AS (SELECT *, len(list_intersect(ua, ub)) AS i,
                 len(list_distinct(ua)) + len(list_distinct(ub)) - len(list_intersect(ua, ub)) AS un FROM fit),
   lo AS (SELECT *, 8.0 * (CASE WHEN un > 0 THEN i / un ELSE 0.0 END) - 4.0 AS yes_logit, 0.0 AS no_logit FROM lg)"""
 
 
-def _fitted(spark, root):
-    return jo.fit_budget(_judge_pairs(spark, root), CTX)
+# 120 tokens of every context belong to the prompt
+_PAIR_SQL, _JUDGE_SQL = _pair_sql(256 - 120), _pair_sql(4096 - 120)
+
+
+def _fitted(spark, root, context=JUDGE_CTX):
+    return jo.fit_budget(_judge_pairs(spark, root), context)
 
 
 @register("i1_fit_budget", f"""{_PAIR_SQL}
@@ -126,7 +132,7 @@ SELECT item_id, doc_id, CAST(n_orig AS INTEGER) AS n_orig, CAST(n_sub AS INTEGER
        CAST(len(ua) AS INTEGER) AS n_orig_used, CAST(len(ub) AS INTEGER) AS n_sub_used FROM fit""")
 def i1_fit_budget(spark, root):
     """Symmetric truncation when both texts exceed the 256-token context minus 120 of overhead."""
-    f = _fitted(spark, root)
+    f = _fitted(spark, root, CTX)
     return f.select("item_id", "doc_id", "n_orig", "n_sub", F.size("tokens_a").alias("n_orig_used"),
                     F.size("tokens_b").alias("n_sub_used"))
 
@@ -135,7 +141,7 @@ _PRE, _REST = jo.PROMPT_TEMPLATE.split("{original}")
 _MID, _POST = _REST.split("{submission}")
 
 
-@register("i2_build_prompt", f"""{_PAIR_SQL}
+@register("i2_build_prompt", f"""{_JUDGE_SQL}
 SELECT item_id, doc_id, md5({S.q(_PRE)} || array_to_string(ua, ' ') || {S.q(_MID)} || array_to_string(ub, ' ')
                             || {S.q(_POST)}) AS prompt_md5 FROM fit""")
 def i2_build_prompt(spark, root):
@@ -144,7 +150,7 @@ def i2_build_prompt(spark, root):
     return f.select("item_id", "doc_id", F.md5(p).alias("prompt_md5"))
 
 
-@register("i3_judge", f"""{_PAIR_SQL}
+@register("i3_judge", f"""{_JUDGE_SQL}
 SELECT item_id, doc_id, round(yes_logit, 6) AS yes_logit, CAST(round(no_logit, 6) AS DOUBLE) AS no_logit FROM lo""")
 def i3_judge(spark, root):
     """Batch two-way scoring with the deterministic stand-in scorer (pluggable)."""
@@ -153,7 +159,7 @@ def i3_judge(spark, root):
                     F.round("no_logit", 6).alias("no_logit"))
 
 
-@register("i4_two_way_softmax", f"""{_PAIR_SQL}
+@register("i4_two_way_softmax", f"""{_JUDGE_SQL}
 SELECT item_id, doc_id, round(1.0 / (1.0 + exp(no_logit - yes_logit)), 6) AS p_yes FROM lo""")
 def i4_two_way_softmax(spark, root):
     j = jo.judge(_fitted(spark, root), keys=("item_id", "doc_id"))

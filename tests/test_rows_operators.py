@@ -59,11 +59,54 @@ def test_wrapper_block_keeps_subtrees(spark):
     h = stc.subtree_hashes(tree)
     ul = {r["doc_id"]: r["hash"] for r in h.filter("tag = 'ul'").collect()}
     assert ul[0] == ul[1]
-    sim = {(r["doc_a"], r["doc_b"]): r["similarity"] for r in stc.tree_similarity(h, max_df=5).collect()}
+    sim = {(r["doc_a"], r["doc_b"]): r["similarity"] for r in stc.tree_similarity(h, threshold=0.01).collect()}
     # shared ul(3) + li + li + p = 6 of max(11, 17) size units; the unrelated page shares one li
     assert abs(sim[(0, 1)] - 6 / 17) < 1e-12 and sim[(0, 1)] > sim[(0, 2)]
 
 
+def test_broken_markup_keeps_every_node(spark):
+    """Stray and unclosed tags, comments, deep nesting: no node is lost, none has a negative depth."""
+    pages = [(0, "<div></b></div></div><p>x</p><ul><li>a</li></ul>"), (1, "<p>" * 70), (2, "<span>" * 100),
+             (3, "<!-- <div> --><p>a<p>b<table><tr><td>1<td>2<tr><td>3</table></p>"), (4, None), (5, "")]
+    tree = stc.nesting_tree(spark.createDataFrame(pages, "page_id long, html string"))
+    rows = {}
+    for r in sorted(tree.collect(), key=lambda x: (x.doc_id, x.node)):
+        rows.setdefault(r.doc_id, []).append((r.tag, r.depth))
+    assert rows[0] == [("div", 0), ("p", 0), ("ul", 0), ("li", 1)]
+    assert rows[1] == [("p", 0)] * 70
+    assert rows[2] == [("span", k) for k in range(100)]
+    assert rows[3] == [("p", 0), ("p", 0), ("table", 0), ("tr", 1), ("td", 2), ("td", 2), ("tr", 1), ("td", 2)]
+    assert stc.subtree_hashes(tree).count() == sum(map(len, rows.values()))
+
+
+def test_a_text_copied_many_times_stays_visible(spark):
+    """No frequency limit: thirty copies are one class, and near copies are found by their rare prefix."""
+    from tessera.operators import fingerprint as fpo
+    from tessera.operators import pairs as po
+
+    base = [f"w{k}" for k in range(60)]
+    docs = [(k, base) for k in range(30)] + [(100, [*base[:50], *[f"v{k}" for k in range(10)]]),
+                                             (101, [f"z{k}" for k in range(60)])]
+    df = spark.createDataFrame(docs, "doc_id long, tokens array<string>")
+    dh = fpo.doc_hashes(fpo.fingerprint_index(fpo.fingerprints(df, k=5, w=1)))
+    classes = {r.doc_id: (r.class_id, r.class_size) for r in fpo.text_classes(dh).collect()}
+    assert all(classes[k] == (0, 30) for k in range(30)) and classes[101] == (101, 1)
+    pairs = fpo.similar_pairs(dh, 0.5).collect()
+    assert [(r.doc_a, r.doc_b, r.covered_a, r.size_a) for r in pairs] == [(0, 100, 46, 30)]
+    edges = [(r.doc_a, r.doc_b) for r in pairs] + [(0, k) for k in range(1, 30)]
+    found = po.clusters(spark.createDataFrame(edges, "doc_a long, doc_b long")).collect()
+    assert {r.cluster for r in found} == {0} and len(found) == 31
+
+
+def test_words_of_any_script_and_character_literals(spark):
+    from tessera.functions import text as tx
+
+    df = spark.createDataFrame([("Straße, Œuvre \u0416\u0443\u043a 42!", "char c = '\"'; // gone \"x")], "a string, b string")
+    r = df.select(tx.word_tokens("a").alias("w"), tx.strip_noise("b").alias("n")).first()
+    assert r.w == ["straße", "œuvre", "\u0436\u0443\u043a", "42"]
+    assert r.n == "char c = '\"';"
+
+
 def test_parent_links(spark):
     df = spark.createDataFrame([(0, "<html><head><meta charset='x'><title>t</title></head><body><p>a</p></body></html>")],
                                "page_id long, html string")
@@ -193,15 +236,6 @@ def test_hot_sequence_split_across_chunks(spark):
     assert got == {(r["u"], r["p"]): (r["h"], r["n"]) for r in exp}
 
 
-def test_spread_only_when_scan_is_narrow(spark):
-    from tessera.sources.tables import spread
-
-    wide = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 2)
-    assert spread(wide) is wide
-    narrow = spark.range(0, 1000, numPartitions=1)
-    assert spread(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-
-
 def test_record_report(spark):
     d = tempfile.mkdtemp(prefix="tessera-records-", dir="/tmp")
     _write(f"{d}/r.txt", "File A: a.java\nFile B: b.java\nSimilarity A: 80\nSimilarity B: 0.5\n=====\n"
