@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 # The level taxonomy and its order.
 LEVELS = ["L1", "L2", "L3", "L4", "L5", "L6", "non-plag"]
 # Tool order used to break ties between tools.
-TOOLS = ["JPlag", "Dolos", "SIM", "Plaggie", "CodeBERT", "CodeLlama", "Oreo"]
+TOOLS = ["JPlag", "Dolos", "SIM", "Plaggie", "Oreo", "CodeBERT", "CodeLlama"]
 
 COUNT_COLS = ("tp", "fp", "tn", "fn")
 METRIC_COLS = ("precision", "recall", "f1", "accuracy", "mcc")

@@ -6,6 +6,9 @@ string / array functions, so a whole corpus of variants is one projection.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,11 +62,36 @@ def variant_reorder(text, seed: int = 4) -> Column:
 FOR_RE = r"for\s*\(\s*([^;()]*);\s*([^;()]*);\s*([^;()]*)\)\s*\{"
 
 
+def rewrite_loops(text: str | None) -> str | None:
+    """`for (init; cond; step) { body }` as `init; while (cond) { body step; }`:
+    the step goes before the brace that closes the loop (nested loops too).
+    A header whose brace is never closed stays as it is."""
+    if text is None:
+        return None
+    out, at = [], 0
+    for m in re.finditer(FOR_RE, text):
+        if m.start() < at:
+            continue
+        depth, end = 1, m.end()
+        while depth and end < len(text):
+            depth += {"{": 1, "}": -1}.get(text[end], 0)
+            end += 1
+        if depth:
+            continue
+        init, cond, step = (x.strip() for x in m.groups())
+        body = rewrite_loops(text[m.end():end - 1])
+        out.append(f"{text[at:m.start()]}{init}; while ({cond}) {{{body}{step}; }}")
+        at = end
+    return "".join(out) + text[at:]
+
+
 def variant_rewrite_loops(text) -> Column:
-    """P5: `for (init; cond; step) {` headers rewritten as
-    `init; while (cond) { step;` (simple headers only; the step moves to the
-    top of the body, a structural rewrite for robustness tests)."""
-    return F.regexp_replace(_c(text), FOR_RE, "$1; while ($2) { $3;")
+    """P5: for loops as while loops (see ``rewrite_loops``), in Arrow batches."""
+    @F.pandas_udf("string")
+    def rewrite(texts: pd.Series) -> pd.Series:
+        return texts.map(rewrite_loops)
+
+    return rewrite(_c(text))
 
 
 VARIANTS = {"verbatim": variant_verbatim, "rename": variant_rename, "insert": variant_insert,

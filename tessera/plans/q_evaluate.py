@@ -194,7 +194,7 @@ def m10_best_run_per_tool(spark, root):
 
 
 # M11 ---------------------------------------------------------------------
-_TOOL_ORDER = ", ".join(f"'{t}'" for t in ev.TOOLS)
+_TOOL_ORDER = "'JPlag', 'Dolos', 'SIM', 'Plaggie', 'Oreo', 'CodeBERT', 'CodeLlama'"  # by hand, not the engine's list
 _M11_SQL = f"""WITH rl AS ({_RUNLOG_SQL}),
   ok AS (SELECT * FROM rl WHERE NOT (tn = 0 OR tp = 0 OR fp = 0) AND mcc IS NOT NULL AND NOT isnan(mcc)),
   best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY mcc DESC, run_ord) AS rn

@@ -105,7 +105,8 @@ def read_comparison_json(spark: SparkSession, path: str, multi_line: bool = Fals
 
 
 # Line formats of the text reports.
-CONSISTS_RE = r"^(.+?) consists for ([0-9.]+) ?% of (.+?) material"
+CONSISTS_RE = r"^(.+?)\s+consists\s+for\s+([0-9.]+)\s*%\s+of\s+(.+?)\s+material"
+RECORD_RULE_RE = r"(?m)^(?:={8,}|-{8,}).*$"  # a line that starts with eight or more = or -
 SIM_A_RE = r"Similarity A:\s*([0-9.]+)"
 SIM_B_RE = r"Similarity B:\s*([0-9.]+)"
 FILE_A_RE = r"File A:\s*(\S+)"
@@ -121,10 +122,11 @@ def read_consists_report(spark: SparkSession, path: str) -> DataFrame:
                     (F.regexp_extract("value", CONSISTS_RE, 2).try_cast("double") / 100.0).alias("fraction"))
 
 
-def read_record_report(spark: SparkSession, path: str, separator: str = "=====") -> DataFrame:
-    """A9 (record format): separator-delimited records with File A/B and
-    Similarity A/B lines -> (file_a, file_b, sim_a, sim_b)."""
-    t = spark.read.text(path, lineSep=separator)
+def read_record_report(spark: SparkSession, path: str) -> DataFrame:
+    """A9 (record format): records between rules (lines of eight or more = or -)
+    with File A/B and Similarity A/B lines -> (file_a, file_b, sim_a, sim_b).
+    A report file is one run's output and is read whole."""
+    t = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", RECORD_RULE_RE)).alias("value"))
     r = t.select(F.regexp_extract("value", FILE_A_RE, 1).alias("file_a"),
                  F.regexp_extract("value", FILE_B_RE, 1).alias("file_b"),
                  F.regexp_extract("value", SIM_A_RE, 1).alias("a"), F.regexp_extract("value", SIM_B_RE, 1).alias("b"))

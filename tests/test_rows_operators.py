@@ -107,6 +107,23 @@ def test_words_of_any_script_and_character_literals(spark):
     assert r.n == "char c = '\"';"
 
 
+def test_loops_keep_their_meaning():
+    from tessera.operators.variants import rewrite_loops
+
+    code = "for (int i = 0; i < 3; i++) { for(j=0;j<2;j++){ f(i, j); } g(); } for (;;) {"
+    assert rewrite_loops(code) == ("int i = 0; while (i < 3) { j=0; while (j<2) { f(i, j); j++; } g(); i++; }"
+                                   " for (;;) {")
+
+
+def test_record_report_with_any_rule(spark, tmp_path):
+    from tessera.sources import reports
+
+    (tmp_path / "r.txt").write_text("head\n========== 1\nFile A: x\nFile B: y\nSimilarity A: 50\nSimilarity B: 0.2\n"
+                                    "---------\nFile A: p = ===== q\nFile B: z\nSimilarity A: 1\nSimilarity B: 100\n")
+    got = [tuple(r) for r in reports.read_record_report(spark, str(tmp_path)).collect()]
+    assert got == [("x", "y", 0.5, 0.2), ("p", "z", 1.0, 1.0)]
+
+
 def test_parent_links(spark):
     df = spark.createDataFrame([(0, "<html><head><meta charset='x'><title>t</title></head><body><p>a</p></body></html>")],
                                "page_id long, html string")
