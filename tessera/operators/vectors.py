@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,5 +125,3 @@ def similar_vectors(df: DataFrame, tau: float, id_col: str = "vec_id", vec_col:
     j = j.select("id_a", "id_b", cosine("a", "b").alias("cosine")).filter(F.col("cosine") >= tau)
     return j.dropDuplicates(["id_a", "id_b"])
 
-
-_ = pd

@@ -17,6 +17,8 @@ from ..sources import reports, sinks
 from ..sources.tables import table
 from ..streaming import incremental
 from . import detect
+from . import sqlparts as S
+from .q_fingerprint import _PAIRS_SQL, doc_pairs
 from .q_runs import R_EVENTS, event_grams
 from .registry import register
 
@@ -124,7 +126,17 @@ def p6_robustness(spark, root):
     return va.robustness(s, ["method", "variant"])
 
 
-@register("q1_stream_check")
+_Q1_SQL = f"""
+WITH {S.fingerprint_ctes('o', 'benchmark', 'item_id', S.word_tokens('text'), 5, 4)},
+{S.fingerprint_ctes('s', 'documents', 'doc_id', S.word_tokens('text'), 5, 4)}
+SELECT o.doc_id AS item_id, s.doc_id AS doc_id, count(*) AS shared, CAST(sum(o.n_pos) AS BIGINT) AS covered_orig,
+       max(o.n_fp) AS total_orig, CAST(sum(s.n_pos) AS BIGINT) AS covered_sub, max(s.n_fp) AS total_sub,
+       CAST(0 AS INTEGER) AS batch_id
+FROM o_dh o JOIN s_dh s ON o.h = s.h GROUP BY 1, 2
+"""
+
+
+@register("q1_stream_check", _Q1_SQL)
 def q1_stream_check(spark, root):
     """Documents arriving as a file stream, checked against the benchmark index (availableNow)."""
     index = detect.doc_hash_table(detect.word_docs(spark, root, "benchmark", "item_id"))
@@ -139,11 +151,16 @@ def q2_stream_dedup(spark, root):
     return spark.read.parquet(out)
 
 
-@register("a8_read_comparison_json")
+_A8_SQL = f"""{_PAIRS_SQL},
+  m AS (SELECT 'd' || doc_a AS x, 'd' || doc_b AS y,
+               ({S.ratio('covered_a', 'total_a')} + {S.ratio('covered_b', 'total_b')}) / 2.0 AS avg,
+               greatest({S.ratio('covered_a', 'total_a')}, {S.ratio('covered_b', 'total_b')}) AS max FROM pairs)
+SELECT x AS first, y AS second, avg, max FROM m UNION ALL SELECT y, x, avg, max FROM m"""
+
+
+@register("a8_read_comparison_json", _A8_SQL)
 def a8_read_comparison_json(spark, root):
     """Nested comparison JSON (similarities map) written from candidate pairs, read back in both orderings."""
-    from .q_fingerprint import doc_pairs
-
     p = doc_pairs(spark, root)
     p = fpo.apply_metric(fpo.apply_metric(p, "avg", "avg"), "max", "max")
     path = sinks.scratch_path(spark, "comparisons")
