@@ -52,26 +52,18 @@ def duplicate_members(df: DataFrame, digest: Column, id_col: str = "doc_id", min
 # ---------------------------------------------------------------------------
 
 def _lcs_length(a: np.ndarray, b: np.ndarray) -> int:
-    """LCS length via match points and a longest increasing subsequence
-    (Hunt-Szymanski): O((r + n) log n) for r matching index pairs."""
-    if len(a) == 0 or len(b) == 0:
-        return 0
-    pos: dict = {}
-    for j, x in enumerate(b):
-        pos.setdefault(x, []).append(j)
-    tails: list[int] = []
-    import bisect
-    for x in a:
-        js = pos.get(x)
-        if not js:
-            continue
-        for j in reversed(js):  # descending so one a-element extends at most once
-            k = bisect.bisect_left(tails, j)
-            if k == len(tails):
-                tails.append(j)
-            else:
-                tails[k] = j
-    return len(tails)
+    """LCS length, bit-parallel: bit i of ``v`` is 0 where a match chain ends at
+    a[i]. One big-integer step for each token of b, whatever the number of
+    matching index pairs (frequent words don't make it quadratic)."""
+    masks: dict = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    v = full
+    for x in b:
+        u = v & masks.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
 
 
 def lcs_similarity(pairs: DataFrame, seqs: DataFrame, seqs_b: DataFrame | None = None, a: str = "doc_a",

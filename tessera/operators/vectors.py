@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import safe_range
+from ..functions.hashing import let, safe_range
 
 
 def _c(x) -> Column:
@@ -38,10 +38,10 @@ def chunk(df: DataFrame, max_tokens: int = 512, stride: int = 256, tokens_col: s
 def hashing_embedding(tokens, dim: int = 64) -> Column:
     """H2 default encoder: token counts hashed into ``dim`` buckets
     (pmod(xxhash64(token), dim)), L2-normalised; builtin, deterministic."""
-    t = _c(tokens)
-    counts = F.aggregate(t, F.array_repeat(F.lit(0.0), dim),
-                         lambda acc, x: F.transform(acc, lambda v, i: F.when(
-                             i == F.pmod(F.xxhash64(x), F.lit(dim)), v + 1.0).otherwise(v)))
+    # each token is hashed once; the counts are then taken over small integers
+    counts = let(F.transform(_c(tokens), lambda x: F.pmod(F.xxhash64(x), F.lit(dim)).cast("int")),
+                 lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                                        lambda i: F.size(F.filter(bs, lambda x: x == i)).cast("double")))
     return normalize(counts)
 
 
