@@ -163,8 +163,8 @@ def suggestion_notes(df: DataFrame, f_best: Column) -> DataFrame:
     """N7: 'exploit' when mu > f_best, 'explore' when sigma is above the 75th
     percentile of the candidates' sigma, else ''."""
     p75 = df.select(F.percentile("sigma", 0.75)).scalar()
-    note = (F.when(F.col("mu") > f_best, F.lit("exploit (predicted improvement)"))
-            .when(F.col("sigma") > p75, F.lit("explore (high uncertainty)")).otherwise(F.lit("")))
+    note = (F.when(F.col("mu") > f_best, F.lit("likely better than the best run"))
+            .when(F.col("sigma") > p75, F.lit("uncertain region")).otherwise(F.lit("")))
     return df.withColumn("note", note)
 
 

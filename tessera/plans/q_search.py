@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import search as so
+from ..session import cut_lineage
 from . import sqlparts as S
 from . import synthetic as syn
 from .q_evaluate import _RUNLOG_SQL, _cov_sql, _metric_sql, doc_scores
@@ -25,14 +26,15 @@ def run_log(spark, root):
     s = ev.param_sweep(doc_scores(spark, root), METRICS, THRESH, ["doc_id"])
     name = ev.run_name("Dolos", [("Threshold", F.col("threshold"), "%.2f"), ("KGram", F.lit(5), "%d"),
                                  ("Window", F.lit(4), "%d"), ("Metric", F.col("metric"), "%s")])
-    return s.withColumn("run_name", name)
+    # a run log is a table: written once (one row per metric and threshold), then read by every step
+    return cut_lineage(s.withColumn("run_name", name))
 
 
 _LOG_SQL = f"""WITH {syn.PRED_CTES}, {_cov_sql()},
   x AS ({' UNION ALL '.join(f"SELECT '{m.upper()}' AS metric, is_plagiarized, {_metric_sql(m)} AS similarity FROM dsc" for m in METRICS)}),
   t AS (SELECT * FROM (VALUES {', '.join(f'({t}::DOUBLE)' for t in THRESH)}) v(threshold)),
   c AS (SELECT metric, threshold, {S.counts_sql('similarity >= threshold')} FROM x, t GROUP BY 1, 2),
-  log AS (SELECT c.*, {S.metrics_sql(nd=15).replace('round(', 'round(').replace(', 15)', ', 15)')},
+  log AS (SELECT c.*, {S.metrics_sql(nd=15)},
                  printf('Dolos-Threshold-%.2f-KGram-%d-Window-%d-Metric-%s', threshold, 5, 4, metric) AS run_name
           FROM c),
   enc AS (SELECT *, CAST(CASE metric {' '.join(f"WHEN '{k}' THEN {v}" for k, v in so.METRIC_ENCODE.items())} END AS DOUBLE)
@@ -141,8 +143,8 @@ def n6_diverse_top(spark, root):
 
 @register("n7_suggestion_notes", f"""{_EI_SQL},
   p AS (SELECT quantile_cont(sigma, 0.75) AS p75 FROM mus)
-SELECT metric, threshold, CASE WHEN mu > (SELECT max(f1) FROM log) THEN 'exploit (predicted improvement)'
-                               WHEN sigma > p75 THEN 'explore (high uncertainty)' ELSE '' END AS note
+SELECT metric, threshold, CASE WHEN mu > (SELECT max(f1) FROM log) THEN 'likely better than the best run'
+                               WHEN sigma > p75 THEN 'uncertain region' ELSE '' END AS note
 FROM ei, p""")
 def n7_suggestion_notes(spark, root):
     _, _, est, f_best = _cands(spark, root)
