@@ -14,13 +14,20 @@ def fold(id_col: Column, n: int) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows_per_label: int,
            id_col: str = "doc_id") -> DataFrame:
-    """At most ``rows_per_label`` labelled documents of each label among the rows
-    of ``learn``, in hash order: a bounded sample for fitting, nothing else."""
-    y = labels.select(F.col(id_col).alias("__i"), F.col(label).cast("int").alias("__y")).filter("__y IN (0, 1)")
-    joined = docs.filter(learn).join(y, docs[id_col] == F.col("__i")).drop("__i")
-    order = [F.xxhash64(F.col(id_col), F.lit("fit")), F.col(id_col)]
+    """At most ``rows_per_label`` labelled documents of each label, in hash order:
+    a bounded sample for fitting, nothing else.
+
+    ``learn`` filters by the id. The ids are chosen from the labels alone, so
+    the broadcast side has at most twice ``rows_per_label`` rows and no text
+    but the sample's is moved; repeated rows of a document count to the bound.
+    """
+    y = labels.filter(learn).select(F.col(id_col).alias("__i"), F.col(label).cast("int").alias("__y")) \
+        .filter("__i IS NOT NULL AND __y IN (0, 1)").distinct()
+    order = [F.xxhash64("__i", F.lit("fit")), F.col("__i")]
+    chosen = [y.filter(F.col("__y") == v).orderBy(*order).limit(rows_per_label) for v in (0, 1)]
+    joined = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), docs[id_col] == F.col("__i"))
     parts = [joined.filter(F.col("__y") == v).orderBy(*order).limit(rows_per_label) for v in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1]).drop("__i")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0) -> np.ndarray:

@@ -140,11 +140,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
                  text_col: str = "text", rows_per_label=None) -> ToxicityModel:
     """Fit on a bounded sample of the labelled rows of ``learn`` (a filter)."""
     bound = {**ROWS_PER_LABEL, **(rows_per_label or {})}
-    own = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"),
-                      learn.alias("__learn"))
-    marks = labels.select(F.col(id_col).alias("__id"), F.col(label))
+    own = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"))
     texts: dict[int, list[bytes]] = {0: [], 1: []}
-    rows = sample(own, marks, label, F.col("__learn"), max(bound.values()), "__id") \
+    rows = sample(own, labels, label, learn, max(bound.values()), id_col) \
         .select("__y", F.encode("__t", "utf-8").alias("t")).toArrow()
     lower = bytes(vec.ASCII_LOWER)
     for y, t in zip(rows.column("__y").to_pylist(), rows.column("t")):
