@@ -27,26 +27,22 @@ def segment_blocks(tokens: DataFrame, min_tokens: int = 1) -> DataFrame:
 
     Depth after each token = running sum of +1 for '{' and -1 for '}' in
     token order per document. A block opened at depth d ends at the first
-    later '}' that brings the depth back to d - 1: the closing brace is found
-    by a windowed "next close at this depth" lookup, an equi-join on
-    (doc_id, depth, close_rank) -- no per-pair comparison of braces.
+    later '}' that brings the depth back to d - 1, found by one window per
+    (document, depth). Stray closing braces shift the depth but pair with
+    nothing; a block that is never closed is no block.
     Output: (doc_id, block_id, depth, start_pos, end_pos, start_line, end_line, n_tokens).
     """
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     delta = F.when(F.col("token") == "{", 1).when(F.col("token") == "}", -1).otherwise(0)
     t = tokens.withColumn("depth_after", F.sum(delta).over(w))
-    opens = t.filter(F.col("token") == "{").select("doc_id", F.col("pos").alias("start_pos"),
-                                                 F.col("line").alias("start_line"),
-                                                 F.col("depth_after").alias("depth"))
-    closes = t.filter(F.col("token") == "}").select("doc_id", F.col("pos").alias("end_pos"),
-                                                  F.col("line").alias("end_line"),
-                                                  (F.col("depth_after") + 1).alias("depth"))
-    # k-th open at depth d pairs with the k-th close at depth d (well-nested text).
-    wo = Window.partitionBy("doc_id", "depth").orderBy("start_pos")
-    wc = Window.partitionBy("doc_id", "depth").orderBy("end_pos")
-    opens = opens.withColumn("k", F.row_number().over(wo))
-    closes = closes.withColumn("k", F.row_number().over(wc))
-    blocks = opens.join(closes, ["doc_id", "depth", "k"]).filter(F.col("end_pos") > F.col("start_pos"))
+    # an open at depth d and the closes back from d, in order: the next close after the open is its own
+    braces = t.filter(F.col("token").isin("{", "}")).withColumn(
+        "depth", F.when(F.col("token") == "{", F.col("depth_after")).otherwise(F.col("depth_after") + 1))
+    later = Window.partitionBy("doc_id", "depth").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    close = F.first(F.when(F.col("token") == "}", F.struct("pos", "line")), ignorenulls=True).over(later)
+    blocks = (braces.withColumn("_end", close).filter((F.col("token") == "{") & F.col("_end").isNotNull())
+              .select("doc_id", "depth", F.col("pos").alias("start_pos"), F.col("line").alias("start_line"),
+                      F.col("_end.pos").alias("end_pos"), F.col("_end.line").alias("end_line")))
     blocks = blocks.withColumn("n_tokens", F.col("end_pos") - F.col("start_pos") + 1)
     blocks = blocks.filter(F.col("n_tokens") >= min_tokens)
     return blocks.select("doc_id", F.concat_ws(":", "doc_id", "start_pos").alias("block_id"), "depth", "start_pos",

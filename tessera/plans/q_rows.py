@@ -23,7 +23,25 @@ from .q_runs import R_EVENTS, event_grams
 from .registry import register
 
 
-@register("b9_segment_blocks")
+_B9_SQL = f"""
+WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS ln,
+                  generate_subscripts(string_split(html, chr(10)), 1) AS line FROM pages),
+  k AS (SELECT page_id, line, unnest({S.code_tokens('ln')}) AS token,
+               generate_subscripts({S.code_tokens('ln')}, 1) AS i FROM l),
+  t AS (SELECT page_id, line, token, row_number() OVER (PARTITION BY page_id ORDER BY line, i) - 1 AS pos FROM k),
+  d AS (SELECT *, sum(CASE token WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos)
+                  + CASE token WHEN '}}' THEN 1 ELSE 0 END AS depth FROM t),
+  b AS (SELECT *, min(CASE WHEN token = '}}' THEN pos END) OVER w AS end_pos,
+               min(CASE WHEN token = '}}' THEN line END) OVER w AS end_line
+        FROM d WHERE token IN ('{{', '}}')
+        WINDOW w AS (PARTITION BY page_id, depth ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+SELECT page_id AS doc_id, page_id || ':' || pos AS block_id, CAST(depth AS BIGINT) AS depth, CAST(pos AS INTEGER) AS start_pos,
+       CAST(end_pos AS INTEGER) AS end_pos, CAST(line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line,
+       CAST(end_pos - pos + 1 AS INTEGER) AS n_tokens
+FROM b WHERE token = '{{' AND end_pos IS NOT NULL"""
+
+
+@register("b9_segment_blocks", _B9_SQL)
 def b9_segment_blocks(spark, root):
     """Brace blocks (start/end line, depth) of the pages' markup and scripts."""
     toks = token_positions(table(spark, root, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
