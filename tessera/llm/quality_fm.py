@@ -33,7 +33,7 @@ from . import vec
 from .common import guarded
 from .labelled import sample
 
-ROWS_PER_LABEL = 8000
+ROWS_PER_LABEL = 4000
 BUCKETS = 1 << 13
 RANK = 6
 BINS = 12
@@ -138,7 +138,7 @@ def entries(stats: np.ndarray, words, edges: np.ndarray):
     bins = np.stack([np.searchsorted(edges[j], stats[:, j], "right") for j in range(s)], axis=1)
     texts = np.concatenate([owner, np.repeat(np.arange(k), s)])
     feature = np.concatenate([bucket, (BUCKETS + np.arange(s) * BINS + bins).ravel()])
-    values = np.concatenate([value, np.full(k * s, BIN_VALUE)])
+    values = np.concatenate([value, np.full(k * s, BIN_VALUE, value.dtype)])
     order = np.argsort(texts, kind="stable")
     return texts[order], feature[order], values[order]
 
@@ -216,9 +216,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", id_col: str = "doc_id",
                 text_col: str = "text", rows_per_label: int = ROWS_PER_LABEL) -> FMModel | None:
     """Fit on a bounded sample of the labelled rows of ``learn`` (a filter)."""
-    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t"), learn.alias("__learn"))
-    marks = labels.select(F.col(id_col).alias("__id"), F.col(label))
-    rows = sample(own, marks, label, F.col("__learn"), rows_per_label, "__id").select("__y", "__t") \
+    own = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__t"))
+    rows = sample(own, labels, label, learn, rows_per_label, id_col).select("__y", "__t") \
         .mapInArrow(_described, "y int, stats array<double>, buckets array<int>, values array<float>").toArrow() \
         .combine_chunks()
     y = rows.column("y").to_numpy().astype(float)
@@ -230,12 +229,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
     stats = flat("stats").flatten().to_numpy().reshape(len(y), len(STATS))
     lists = flat("buckets")
     owner = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
-    words = owner, lists.flatten().to_numpy().astype(np.int64), flat("values").flatten().to_numpy().astype(float)
+    words = owner, lists.flatten().to_numpy(), flat("values").flatten().to_numpy()
+    del rows
     # borders from both labels alike, so that the rarer one gets bins of its own
     spread = [np.concatenate([np.quantile(stats[y == v, j], np.linspace(0, 1, (BINS + 3) // 2)) for v in (0, 1)])
               for j in range(len(STATS))]
     edges = np.stack([np.quantile(s, np.linspace(0, 1, BINS + 1)[1:-1]) for s in spread])
-    # rows stand for all rows of their label
     return train(*entries(stats, words, edges), y, edges)
 
 
