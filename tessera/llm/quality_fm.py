@@ -157,11 +157,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(texts, feature, value, y: np.ndarray, edges: np.ndarray) -> FMModel:
-    """Adagrad on logistic loss; every fifth row is held back to choose the epoch."""
+def train(texts, feature, value, y: np.ndarray, edges: np.ndarray, share: float | None = None) -> FMModel:
+    """Adagrad on logistic loss; every fifth row is held back to choose the epoch.
+
+    ``share`` is the share of label 1 among all labelled rows: the rows of a
+    sample with another share are weighted back to it.
+    """
     k, size = len(y), BUCKETS + len(STATS) * BINS
     rng = np.random.default_rng(3)
-    rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    rate = np.clip(y.mean() if share is None else share, 1e-3, 1 - 1e-3)
+    weight = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
     m = FMModel(edges, float(np.log(rate / (1 - rate))), np.zeros(size), rng.normal(0, 0.02, (size, RANK)))
     gw, gv, gb = np.full(size, 1e-3), np.full((size, RANK), 1e-3), 1e-3
     start = np.searchsorted(texts, np.arange(k + 1))
@@ -180,7 +185,7 @@ def train(texts, feature, value, y: np.ndarray, edges: np.ndarray) -> FMModel:
             r = rows[lo:lo + 128]
             t, f, x = part(r)
             z, sums = raw_scores(m, t, f, x, len(r))
-            g = (_sigmoid(z) - y[r]) / len(r)
+            g = weight[r] * (_sigmoid(z) - y[r]) / len(r)
             used, inv = np.unique(f, return_inverse=True)
             gx = g[t] * x
             dw = np.bincount(inv, gx, len(used)) + L2 * m.weight[used]
@@ -194,10 +199,20 @@ def train(texts, feature, value, y: np.ndarray, edges: np.ndarray) -> FMModel:
             m.factors[used] -= RATE * dv / np.sqrt(gv[used])
             m.bias -= RATE * g.sum() / np.sqrt(gb)
         p = np.clip(_sigmoid(raw_scores(m, *part(check), len(check))[0]), 1e-6, 1 - 1e-6)
-        loss = -(y[check] * np.log(p) + (1 - y[check]) * np.log(1 - p)).mean()
+        loss = -(weight[check] * (y[check] * np.log(p) + (1 - y[check]) * np.log(1 - p))).mean()
         if loss < best_loss:
             best, best_loss = FMModel(edges, m.bias, m.weight.copy(), m.factors.copy()), loss
     best.weight, best.factors = best.weight.astype(np.float32), best.factors.astype(np.float32)
+    # CUT is put in the middle of the widest gap that divides the held-back rows with the least error
+    z = raw_scores(best, *part(check), len(check))[0]
+    order = np.argsort(z)
+    z, good = z[order], y[check][order] == 1
+    wrong = np.concatenate([[0], np.cumsum(np.where(good, weight[check][order], 0))]) \
+        + np.concatenate([np.cumsum(np.where(good, 0, weight[check][order])[::-1])[::-1], [0]])
+    low, high = np.concatenate([[z[0]], z]), np.concatenate([z, [z[-1]]])
+    least = np.flatnonzero(wrong <= wrong.min() + 1e-9)
+    k = least[np.argmax((high - low)[least])]
+    best.bias += float(np.log(CUT / (1 - CUT)) - (low[k] + high[k]) / 2)
     return best
 
 
@@ -235,7 +250,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
     spread = [np.concatenate([np.quantile(stats[y == v, j], np.linspace(0, 1, (BINS + 3) // 2)) for v in (0, 1)])
               for j in range(len(STATS))]
     edges = np.stack([np.quantile(s, np.linspace(0, 1, BINS + 1)[1:-1]) for s in spread])
-    return train(*entries(stats, words, edges), y, edges)
+    share = labels.filter(learn).filter(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double"))).first()[0]
+    return train(*entries(stats, words, edges), y, edges, share)
 
 
 def _score(shared, text_at: int, n_cols: int):
