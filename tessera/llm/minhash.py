@@ -174,6 +174,19 @@ def _verify(threshold):
     return scan
 
 
+def _in_buckets(nodes: DataFrame, member: DataFrame) -> DataFrame:
+    """Places of nodes of large units: their buckets, or the block pairs of a
+    bucket with more than ``UNIT`` nodes (side 0 against side 1; -1: by itself)."""
+    spread = nodes.join(member, "node").select("node", "key", F.ceil(F.col("size") / UNIT).cast("int").alias("k")) \
+        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    one = spread.filter("k = 1").select("node", F.col("key").alias("unit"),
+                                        *[F.lit(-1).alias(c) for c in ("i", "j", "side")])
+    many = spread.filter("k > 1").select("node", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    return one.unionByName(many.select(
+        "node", F.col("key").alias("unit"), F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"),
+        F.when(F.col("mine") == F.col("o"), -1).when(F.col("mine") < F.col("o"), 0).otherwise(1).alias("side")))
+
+
 def near_duplicates(docs: DataFrame, threshold=THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (lowest id reachable), kept."""
@@ -187,6 +200,8 @@ def near_duplicates(docs: DataFrame, threshold=THRESHOLD, shingle: int = SHINGLE
     nodes = written(signed.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("__id").alias("low"), F.min(F.struct("__id", "__th")).alias("rep"), F.any_value("bands").alias("bands"),
         F.any_value("sig").alias("sig")), "nodes")
+    ids = written(signed.select("__id", "n", "node"), "ids")
+    drop_written(signed)
     bands = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", "key")
     shared = written(bands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub"))
                      .filter("size > 1"), "buckets")
@@ -195,37 +210,30 @@ def near_duplicates(docs: DataFrame, threshold=THRESHOLD, shingle: int = SHINGLE
                     .withColumnRenamed("component", "unit"), "units")
     large = written(units.groupBy("unit").agg(F.count("*").alias("m")).filter(F.col("m") > UNIT), "large-units")
     # nodes of large units meet in their buckets, all others in their unit
-    in_unit = units.join(large, "unit", "left_anti").select(
-        "node", F.xxhash64("unit").alias("unit"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(-1).alias("side"))
-    blocks = F.ceil(F.col("size") / UNIT).cast("int")
-    part = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    spread = units.join(large, "unit", "left_semi").select("node").join(member, "node") \
-        .select("node", "key", blocks.alias("k")).withColumn("mine", part)
-    one = spread.filter("k = 1").select("node", F.col("key").alias("unit"), F.lit(-1).alias("i"), F.lit(-1).alias("j"),
-                                        F.lit(-1).alias("side"))
-    many = spread.filter("k > 1").select("node", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-    pairs = many.select("node", F.col("key").alias("unit"), F.least("mine", "o").alias("i"),
-                        F.greatest("mine", "o").alias("j"),
-                        F.when(F.col("mine") == F.col("o"), -1).when(F.col("mine") < F.col("o"), 0).otherwise(1)
-                        .alias("side"))
-    places = in_unit.unionByName(one).unionByName(pairs)
+    whole = [F.lit(-1).alias(c) for c in ("i", "j", "side")]
+    places = units.select("node", F.xxhash64("unit").alias("unit"), *whole)
+    if not large.isEmpty():
+        places = units.join(large, "unit", "left_anti").select("node", F.xxhash64("unit").alias("unit"), *whole) \
+            .unionByName(_in_buckets(units.join(large, "unit", "left_semi").select("node"), member))
     wanted = nodes.join(units, "node", "left_semi").select(F.col("rep.__id").alias("__i"), F.col("rep.__th").alias("__t"),
                                                            "node", "sig")
-    found = base.join(wanted, base["__id"].eqNullSafe(F.col("__i")) & (base["__th"] == F.col("__t"))) \
-        .select("node", "__text", "sig").dropDuplicates(["node"])
+    # the texts of nodes in units, once each; written, so that the shuffle of all texts is over before the next
+    found = written(base.join(wanted, base["__id"].eqNullSafe(F.col("__i")) & (base["__th"] == F.col("__t")))
+                    .select("node", "__text", "sig").dropDuplicates(["node"]), "unit-texts")
     sets = found.mapInArrow(_sets(shingle), T.StructType(
         [T.StructField("node", T.BinaryType()), T.StructField("sig", T.BinaryType()),
          T.StructField("shingles", T.BinaryType())]))
     tasks = sets.join(places, "node").repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j", "side", "node")
     links = written(tasks.select("unit", "i", "j", "side", "node", "sig", "shingles").mapInArrow(
         _verify(threshold), "a binary, b binary"), "links")
+    drop_written(found)
     joined = components(links)
     group = written(nodes.select("node", "low").join(joined, "node", "left")
                     .select("node", "low", F.coalesce("component", "node").alias("component")), "grouped")
     lows = written(group.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
     classes = written(group.join(lows, "component").select("node", "component_id"), "classes")
     drop_written(group)
-    out = signed.select("__id", "n", "node").join(classes, "node", "left")
+    out = ids.join(classes, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("component_id"))
     return out.select(F.col("__id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"),
                       F.col("__id").eqNullSafe(own).alias("kept"))
