@@ -129,8 +129,9 @@ def line_dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col
     prints = written(keyed.mapInArrow(_fingerprints(run), T.StructType(
         [*key, T.StructField("s0", T.IntegerType()), T.StructField("fp", T.LongType()),
          T.StructField("ctx", T.ArrayType(T.LongType()))])), "fingerprints")
-    several = prints.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.size("ctx")).alias("m")) \
-        .filter((F.col("n") > 1) | (F.col("m") > run)).select("fp")
+    # written down, as the first places below: joins on plain tables can be split where a key is hot
+    several = written(prints.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.size("ctx")).alias("m"))
+                      .filter((F.col("n") > 1) | (F.col("m") > run)).select("fp"), "several")
     # windows around each surviving fingerprint, to both sides
     around = prints.join(several, "fp", "left_semi").select(
         "__id", "__th", "s0", "ctx", F.explode(F.sequence(F.lit(0), F.size("ctx") - run)).alias("o"))
@@ -140,8 +141,9 @@ def line_dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col
                                    F.xxhash64(F.lit(run), F.reverse(window)).alias("w2")), "line-windows")
     drop_written(prints)
     ref = F.struct("__id", "__th", "s")
-    firsts = places.groupBy("w1", "w2").agg(F.min(ref).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = places.join(firsts.select("w1", "w2", "first"), ["w1", "w2"]).filter(ref != F.col("first"))
+    firsts = written(places.groupBy("w1", "w2").agg(F.min(ref).alias("first"), F.count("*").alias("n"))
+                     .filter("n > 1").select("w1", "w2", "first"), "firsts")
+    later = places.join(firsts, ["w1", "w2"]).filter(ref != F.col("first"))
     lists = later.groupBy("__id", "__th").agg(F.collect_set("s").alias("__later")) \
         .select(F.col("__id").alias("__i"), F.col("__th").alias("__t"), "__later")
     joined = own.join(lists, own[f"c{names.index(id_col)}"].eqNullSafe(F.col("__i"))
