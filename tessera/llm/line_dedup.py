@@ -10,6 +10,10 @@ against the same earlier text extend each other both ways into maximal runs.
 A line is deleted if it lies in a run that also starts earlier, in the order
 of (id, text hash, line); the first place stays.
 
+A line of at least ``long`` words needs no repeated neighbour: it is deleted by
+itself wherever an equal line is at an earlier place. ``None`` leaves single
+lines alone. Short stock lines that repeat between differing lines stay.
+
 A frequent line makes no pairs: windows are aggregated to their first place
 (with map-side combine) and joined back on the window hash, a join whose large
 side can be split. Only narrow rows are shuffled; texts move once, at the end.
@@ -36,6 +40,8 @@ from . import vec
 from .common import drop_written, guarded, written
 
 RUN = 2  # lines of the shortest run that is deleted
+LONG = 50  # words of the shortest line that is deleted by itself
+ALONE = 1 << 30  # added to the position of a line that is judged by itself; a text has fewer lines
 
 
 def lines_of(buf: np.ndarray, offs: np.ndarray):
@@ -51,15 +57,38 @@ def lines_of(buf: np.ndarray, offs: np.ndarray):
     return starts, ends, word[ends] > word[starts], first
 
 
-def _fingerprints(run: int):
+def _long_lines(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, long: int):
+    """Indices of the lines of at least ``long`` words, and a 128-bit digest of each as two numbers."""
+    space = vec.SPACES[buf]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    begins[starts] = ~space[starts]  # the first line of a text may follow a word of the text before
+    count = np.concatenate([[0], np.cumsum(begins)])
+    at = np.flatnonzero(count[ends] - count[starts] >= long)
+    digest = [hashlib.blake2b(buf[starts[x]:ends[x]], digest_size=16).digest() for x in at.tolist()]
+    return at, np.frombuffer(b"".join(digest), np.int64)
+
+
+def _fingerprints(run: int, long: int | None):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, buf, offs in vec.text_arrays(b.column(2)):
                 starts, ends, has, first = lines_of(buf, offs)
                 if not len(buf) or not has.any():
                     continue
-                h = vec.Rolling(vec.BYTE_CODE[buf]).runs(starts[has], ends[has])
+                starts, ends = starts[has], ends[has]
                 first = np.concatenate([[0], np.cumsum(has)])[first]
+                if long is not None:
+                    at, digest = _long_lines(buf, starts, ends, long)
+                    doc = np.searchsorted(first, at, side="right") - 1
+                    rows = pa.array(lo + doc)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(rows), b.column(1).take(rows),
+                         pa.array((at - first[doc] + ALONE).astype(np.int32)), pa.nulls(len(at), pa.int64()),
+                         pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(at) + 1, 2, dtype=np.int32)),
+                                                  pa.array(digest))],
+                        names=["__id", "__th", "s0", "fp", "ctx"])
+                h = vec.Rolling(vec.BYTE_CODE[buf]).runs(starts, ends)
                 counts = np.maximum(np.diff(first) - run + 1, 0)
                 if not counts.sum():
                     continue
@@ -95,8 +124,12 @@ def _delete(text_at: int, n_cols: int, run: int):
                 k = len(offs) - 1
                 pick = np.arange(at[lo], at[lo + k])
                 owner = np.repeat(np.arange(k), np.diff(at[lo:lo + k + 1]))
+                alone = starts_of[pick] >= ALONE
+                line = unit[owner] + starts_of[pick] - alone * ALONE
+                lost = vec.covered(line[~alone], run, int(unit[-1]))
+                lost[line[alone]] = True
                 gone = np.zeros(len(starts), bool)
-                gone[has] = vec.covered(unit[owner] + starts_of[pick], run, int(unit[-1]))
+                gone[has] = lost
                 total = np.concatenate([[0], np.cumsum(gone)])[first]
                 n_lines.append(np.diff(unit))
                 n_gone.append(np.diff(total))
@@ -116,7 +149,8 @@ def _delete(text_at: int, n_cols: int, run: int):
     return scan
 
 
-def line_dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text",
+               long: int | None = LONG) -> DataFrame:
     """``docs`` with shortened texts, plus n_lines (with a word), n_removed, kept_sha256."""
     made = {"n_lines", "n_removed", "kept_sha256"} - {id_col, text_col}
     own, names = guarded(docs.select(*[c for c in docs.columns if c not in made]))
@@ -126,19 +160,23 @@ def line_dedup(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col
     keyed = own.select(F.col(f"c{names.index(id_col)}").alias("__id"), F.xxhash64(text).alias("__th"),
                        F.col(text).alias("__text"))
     key = [T.StructField("__id", keyed.schema["__id"].dataType), T.StructField("__th", T.LongType())]
-    prints = written(keyed.mapInArrow(_fingerprints(run), T.StructType(
+    prints = written(keyed.mapInArrow(_fingerprints(run, long), T.StructType(
         [*key, T.StructField("s0", T.IntegerType()), T.StructField("fp", T.LongType()),
          T.StructField("ctx", T.ArrayType(T.LongType()))])), "fingerprints")
     # written down, as the first places below: joins on plain tables can be split where a key is hot
-    several = written(prints.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.size("ctx")).alias("m"))
+    several = written(prints.filter("fp IS NOT NULL").groupBy("fp")
+                      .agg(F.count("*").alias("n"), F.max(F.size("ctx")).alias("m"))
                       .filter((F.col("n") > 1) | (F.col("m") > run)).select("fp"), "several")
     # windows around each surviving fingerprint, to both sides
     around = prints.join(several, "fp", "left_semi").select(
         "__id", "__th", "s0", "ctx", F.explode(F.sequence(F.lit(0), F.size("ctx") - run)).alias("o"))
     window = F.slice("ctx", F.col("o") + 1, F.lit(run))
-    places = written(around.select("__id", "__th", (F.col("s0") + F.col("o")).alias("s"),
-                                   F.xxhash64(window).alias("w1"),
-                                   F.xxhash64(F.lit(run), F.reverse(window)).alias("w2")), "line-windows")
+    around = around.select("__id", "__th", (F.col("s0") + F.col("o")).alias("s"), F.xxhash64(window).alias("w1"),
+                           F.xxhash64(F.lit(run), F.reverse(window)).alias("w2"))
+    if long is not None:
+        around = around.unionByName(prints.filter("fp IS NULL").select(
+            "__id", "__th", F.col("s0").alias("s"), F.col("ctx")[0].alias("w1"), F.col("ctx")[1].alias("w2")))
+    places = written(around, "line-windows")
     drop_written(prints)
     ref = F.struct("__id", "__th", "s")
     firsts = written(places.groupBy("w1", "w2").agg(F.min(ref).alias("first"), F.count("*").alias("n"))
