@@ -151,18 +151,27 @@ def statement_bags(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return e.groupBy("doc_id", *keep, "stmt").agg(F.count(F.lit(1)).alias("cnt"), F.max("n_stmts").alias("n_stmts"))
 
 
+def _bag_masses(bags: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    return bags.select(F.xxhash64("stmt").alias("hash"), *scope, "doc_id", F.col("cnt").alias("n_pos"),
+                       F.col("n_stmts").alias("n_fp"))
+
+
+def bag_classes(bags: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *scope, class_id, class_size): the classes of equal bags whose representatives E13 pairs."""
+    return text_classes(_bag_masses(bags, scope), scope)
+
+
 def order_free_similarity(bags: DataFrame, scope: tuple[str, ...] = (), threshold: float = 0.3) -> DataFrame:
     """Bag-of-statements overlap, insensitive to statement order, for all
     pairs of distinct bags (class representatives within the scope) with
-    similarity >= threshold.
+    similarity >= threshold. ``bag_classes`` has the documents of each class.
 
     overlap = sum over shared statements of min(cnt_a, cnt_b); similarity =
     overlap / max(n_a, n_b). At similarity t both sides share at least t of
     their statements, so candidates come from the rare prefixes (frequencies
     counted within the scope), and the overlap counts every shared statement.
     """
-    dh = cut_lineage(bags.select(F.xxhash64("stmt").alias("hash"), *scope, "doc_id", F.col("cnt").alias("n_pos"),
-                                 F.col("n_stmts").alias("n_fp")))
+    dh = cut_lineage(_bag_masses(bags, scope))
     heads = text_classes(dh, scope).filter("doc_id = class_id").select("doc_id", *scope)
     reps = dh.join(heads, ["doc_id", *scope], "left_semi")
     cand = prefix_pairs(reps, threshold, scope)

@@ -128,18 +128,29 @@ def subtree_hashes(tree: DataFrame) -> DataFrame:
     return out
 
 
+def _subtree_masses(hashes: DataFrame) -> DataFrame:
+    """Subtree counts as fingerprints: n_pos = count * size, n_fp = the document's total."""
+    bag = hashes.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("cnt"), F.max("size").alias("size"))
+    tot = bag.groupBy("doc_id").agg(F.sum(F.col("cnt") * F.col("size")).alias("n_fp"))
+    return bag.join(tot, "doc_id").select("doc_id", "hash", (F.col("cnt") * F.col("size")).alias("n_pos"), "n_fp", "cnt",
+                                          "size")
+
+
+def tree_classes(hashes: DataFrame) -> DataFrame:
+    """(doc_id, class_id, class_size): the classes of equal trees whose representatives F3 pairs."""
+    return text_classes(_subtree_masses(hashes))
+
+
 def tree_similarity(hashes: DataFrame, threshold: float = 0.5) -> DataFrame:
     """overlap of subtree multisets weighted by subtree size, for all pairs
     of distinct trees (class representatives) with similarity >= threshold.
+    ``tree_classes`` has the pages that a representative stands for.
 
     similarity = sum over shared hashes of min(cnt_a, cnt_b) * size, over the
     larger total size. At similarity t both sides share at least t of their
     mass, so the rare prefix search of the fingerprints finds every pair.
     """
-    bag = hashes.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("cnt"), F.max("size").alias("size"))
-    tot = bag.groupBy("doc_id").agg(F.sum(F.col("cnt") * F.col("size")).alias("n_fp"))
-    dh = cut_lineage(bag.join(tot, "doc_id").select("doc_id", "hash", (F.col("cnt") * F.col("size")).alias("n_pos"),
-                                                    "n_fp", "cnt", "size"))
+    dh = cut_lineage(_subtree_masses(hashes))
     heads = text_classes(dh).filter("doc_id = class_id").select("doc_id")
     reps = dh.join(heads, "doc_id", "left_semi")
     pairs = prefix_pairs(reps, threshold)

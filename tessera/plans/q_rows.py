@@ -82,6 +82,12 @@ def f3_tree_similarity(spark, root):
     return st.tree_similarity(st.subtree_hashes(_tree(spark, root)))
 
 
+@register("f3_tree_classes")
+def f3_tree_classes(spark, root):
+    """Membership that goes with F3, F5 and F6: pages with equal trees, named by the lowest id."""
+    return st.tree_classes(st.subtree_hashes(_tree(spark, root)))
+
+
 @register("f4_flow_edges")
 def f4_flow_edges(spark, root):
     """Definition -> use edges (last definition before each use) in the pages' scripts and markup."""

@@ -107,6 +107,21 @@ def e13_order_free_similarity(spark, root):
     return p.select("source", "doc_a", "doc_b", "overlap", "n_a", "n_b", F.round("similarity", 6).alias("similarity"))
 
 
+@register("e13_bag_classes", f"""
+WITH st AS (SELECT doc_id, source, list_transform(list_filter(list_transform(regexp_split_to_array(text, '[;{{}}\\n]'),
+                 lambda s: trim(regexp_replace(s, {S.q('[ \t\r\n\f\x0B]+')}, ' ', 'g'))), lambda s: s <> ''),
+                 lambda s: lower(s)) AS ss FROM documents),
+  e AS (SELECT doc_id, source, unnest(ss) AS stmt FROM st),
+  b AS (SELECT doc_id, source, stmt, count(*) AS cnt FROM e GROUP BY 1, 2, 3),
+  sig AS (SELECT doc_id, source, string_agg(CAST(cnt AS VARCHAR) || stmt, chr(31) ORDER BY stmt) AS d FROM b GROUP BY 1, 2)
+SELECT doc_id, source, min(doc_id) OVER (PARTITION BY source, d) AS class_id,
+       count(*) OVER (PARTITION BY source, d) AS class_size FROM sig""")
+def e13_bag_classes(spark, root):
+    """Membership that goes with E13: documents of a source with equal statement bags, named by the lowest id."""
+    d = table(spark, root, "documents").withColumn("text", F.regexp_replace("text", "\n", ";"))
+    return ro.bag_classes(ro.statement_bags(d, keep=("source",)), ("source",))
+
+
 _WT = S.word_tokens("text")
 
 

@@ -276,3 +276,20 @@ def test_clusters_long_path_and_top_per_group(spark):
     for r in sorted(top, key=lambda r: (r["g"], -r["s"], r["id"])):
         got_top.setdefault(r["g"], []).append(r["id"])
     assert got_top == expect
+
+
+def test_pages_with_equal_trees_are_listed_in_their_class(spark):
+    page = "<div><p>a</p><ul><li>x</li><li>y</li></ul></div>"
+    pages = [(k, page) for k in (4, 2, 9)] + [(5, page.replace("ul", "ol")), (7, "<b>z</b>")]
+    hashes = stc.subtree_hashes(stc.nesting_tree(spark.createDataFrame(pages, "page_id long, html string")))
+    got = {r.doc_id: (r.class_id, r.class_size) for r in stc.tree_classes(hashes).collect()}
+    assert got == {2: (2, 3), 4: (2, 3), 9: (2, 3), 5: (5, 1), 7: (7, 1)}
+    heads = {c for c, _ in got.values()}
+    assert all({r.doc_a, r.doc_b} <= heads for r in stc.tree_similarity(hashes, 0.1).collect())
+
+
+def test_equal_bags_are_listed_in_their_class_and_scope(spark):
+    docs = [(3, "s", "a=1; b=2; b=2"), (1, "s", "b=2; a=1; b=2"), (2, "s", "a=1; b=2"), (6, "t", "b=2; b=2; a=1")]
+    bags = ro.statement_bags(spark.createDataFrame(docs, "doc_id long, source string, text string"), keep=("source",))
+    got = {(r.doc_id, r.source): (r.class_id, r.class_size) for r in ro.bag_classes(bags, ("source",)).collect()}
+    assert got == {(1, "s"): (1, 2), (3, "s"): (1, 2), (2, "s"): (2, 1), (6, "t"): (6, 1)}
