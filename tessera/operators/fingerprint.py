@@ -125,9 +125,13 @@ def prefix_pairs(reps: DataFrame, threshold: float, scope: tuple[str, ...] = ())
              .select(*scope, F.least("_p", "_q").alias("doc_a"), F.greatest("_p", "_q").alias("doc_b")).distinct())
 
 
-def similar_pairs(dh: DataFrame, threshold: float, scope: tuple[str, ...] = ()) -> DataFrame:
+def similar_pairs(dh: DataFrame, threshold: float, scope: tuple[str, ...] = (), metric: str = "combined") -> DataFrame:
     """E6+E7 with a similarity threshold instead of a frequency cap: all pairs of
-    class representatives (see ``text_classes``) with COMBINED >= threshold.
+    class representatives (see ``text_classes``) with ``metric`` >= threshold.
+
+    COMBINED loses a short text inside a long one; with metric "max" a pair
+    stays if either side is covered enough. COMBINED, AVG and PRODUCT are never
+    above MAX, so these pairs include those of every other metric.
 
     Exact. If COMBINED >= t, at least one side has a share >= t of its positions
     covered, so any of its fingerprints that together hold more than 1 - t of
@@ -147,7 +151,7 @@ def similar_pairs(dh: DataFrame, threshold: float, scope: tuple[str, ...] = ())
            .agg(F.count(F.lit(1)).alias("shared"), F.sum("n_a").alias("covered_a"), F.sum("n_b").alias("covered_b"),
                 F.max("t_a").alias("total_a"), F.max("t_b").alias("total_b"), F.max("s_a").alias("size_a"),
                 F.max("s_b").alias("size_b")))
-    return out.filter(ratio(F.col("covered_a") + F.col("covered_b"), F.col("total_a") + F.col("total_b")) >= threshold)
+    return apply_metric(out, metric, "_similarity").filter(F.col("_similarity") >= threshold).drop("_similarity")
 
 
 def anchor_candidates(orig_dh: DataFrame, sub_dh: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:

@@ -130,13 +130,13 @@ def doc_hashes(spark, root, w=1, scope=()):
                                  hash_fn="xxhash64" if w == 1 else "md5")
 
 
-def doc_pairs(spark, root, w=1, scope=(), threshold=MIN_COMBINED):
-    """Pairs of class representatives with COMBINED >= threshold (coverage counts).
+def doc_pairs(spark, root, w=1, scope=(), threshold=MIN_COMBINED, metric="combined"):
+    """Pairs of class representatives with the metric >= threshold (coverage counts).
 
     The fingerprint table is written down once: the exact pair search reads it
     several times, and the plans that join on pairs stay small.
     """
-    return fpo.similar_pairs(cut_lineage(doc_hashes(spark, root, w, scope)), threshold, scope)
+    return fpo.similar_pairs(cut_lineage(doc_hashes(spark, root, w, scope)), threshold, scope, metric)
 
 
 @register("e6_candidate_pairs", f"""{_PAIRS_SQL}
@@ -161,8 +161,29 @@ SELECT doc_a, doc_b, covered_a, covered_b, total_a, total_b,
        {S.r6(f"{S.ratio('covered_a', 'total_a')} * {S.ratio('covered_b', 'total_b')}")} AS product_sim
 FROM pairs""")
 def e8_apply_metric(spark, root):
-    """COMBINED / MAX / AVG / PRODUCT on the coverage of every similar pair."""
-    p = doc_pairs(spark, root)
+    """COMBINED / MAX / AVG / PRODUCT on the coverage of every pair with COMBINED >= 0.3."""
+    return _all_metrics(doc_pairs(spark, root))
+
+
+# with max_pairs: pairs of which either side is covered enough, for the queries that report one-sided coverage
+_MAX_PAIRS_SQL = f"""{_PAIRS_SQL},
+  max_pairs AS (SELECT * FROM cand
+                WHERE greatest({S.ratio('covered_a', 'total_a')}, {S.ratio('covered_b', 'total_b')}) >= 0.3)"""
+
+
+@register("e8_apply_metric_max", f"""{_MAX_PAIRS_SQL}
+SELECT doc_a, doc_b, covered_a, covered_b, total_a, total_b,
+       {S.r6(S.ratio('covered_a + covered_b', 'total_a + total_b'))} AS combined,
+       {S.r6(f"greatest({S.ratio('covered_a', 'total_a')}, {S.ratio('covered_b', 'total_b')})")} AS max_sim,
+       {S.r6(f"({S.ratio('covered_a', 'total_a')} + {S.ratio('covered_b', 'total_b')}) / 2.0")} AS avg_sim,
+       {S.r6(f"{S.ratio('covered_a', 'total_a')} * {S.ratio('covered_b', 'total_b')}")} AS product_sim
+FROM max_pairs""")
+def e8_apply_metric_max(spark, root):
+    """The four metrics of every pair with MAX >= 0.3, a short text inside a long one included."""
+    return _all_metrics(doc_pairs(spark, root, metric="max"))
+
+
+def _all_metrics(p):
     for m, name in (("combined", "combined"), ("max", "max_sim"), ("avg", "avg_sim"), ("product", "product_sim")):
         p = fpo.apply_metric(p, m, name).withColumn(name, F.round(name, 6))
     return p.select("doc_a", "doc_b", "covered_a", "covered_b", "total_a", "total_b",

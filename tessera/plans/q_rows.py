@@ -18,7 +18,7 @@ from ..sources.tables import table
 from ..streaming import incremental
 from . import detect
 from . import sqlparts as S
-from .q_fingerprint import _PAIRS_SQL, doc_pairs
+from .q_fingerprint import _MAX_PAIRS_SQL, _PAIRS_SQL, doc_pairs
 from .q_runs import R_EVENTS, event_grams
 from .registry import register
 
@@ -182,10 +182,7 @@ _A8_SQL = f"""{_PAIRS_SQL},
 SELECT x AS first, y AS second, avg, max FROM m UNION ALL SELECT y, x, avg, max FROM m"""
 
 
-@register("a8_read_comparison_json", _A8_SQL)
-def a8_read_comparison_json(spark, root):
-    """Nested comparison JSON (similarities map) written from candidate pairs, read back in both orderings."""
-    p = doc_pairs(spark, root)
+def _comparison_json(spark, p):
     p = fpo.apply_metric(fpo.apply_metric(p, "avg", "avg"), "max", "max")
     path = sinks.scratch_path(spark, "comparisons")
     p.select(F.concat(F.lit("d"), F.col("doc_a").cast("string")).alias("first_submission"),
@@ -194,6 +191,22 @@ def a8_read_comparison_json(spark, root):
     return reports.read_comparison_json(spark, path)
 
 
+@register("a8_read_comparison_json", _A8_SQL)
+def a8_read_comparison_json(spark, root):
+    """Nested comparison JSON (similarities map) written from candidate pairs, read back in both orderings."""
+    return _comparison_json(spark, doc_pairs(spark, root))
+
+
+@register("a8_read_comparison_json_max", f"""{_MAX_PAIRS_SQL},
+  m AS (SELECT 'd' || doc_a AS x, 'd' || doc_b AS y,
+               ({S.ratio('covered_a', 'total_a')} + {S.ratio('covered_b', 'total_b')}) / 2.0 AS avg,
+               greatest({S.ratio('covered_a', 'total_a')}, {S.ratio('covered_b', 'total_b')}) AS max FROM max_pairs)
+SELECT x AS first, y AS second, avg, max FROM m UNION ALL SELECT y, x, avg, max FROM m""")
+def a8_read_comparison_json_max(spark, root):
+    """As above, for every pair with MAX >= 0.3."""
+    return _comparison_json(spark, doc_pairs(spark, root, metric="max"))
+
+
 @register("a9_read_text_report")
 def a9_read_text_report(spark, root):
     """'X consists for N % of Y material' lines written from the benchmark coverage, parsed back."""

@@ -293,3 +293,15 @@ def test_equal_bags_are_listed_in_their_class_and_scope(spark):
     bags = ro.statement_bags(spark.createDataFrame(docs, "doc_id long, source string, text string"), keep=("source",))
     got = {(r.doc_id, r.source): (r.class_id, r.class_size) for r in ro.bag_classes(bags, ("source",)).collect()}
     assert got == {(1, "s"): (1, 2), (3, "s"): (1, 2), (2, "s"): (2, 1), (6, "t"): (6, 1)}
+
+
+def test_a_short_text_inside_a_long_one_is_a_pair_by_max(spark):
+    from tessera.operators import fingerprint as fpo
+
+    long = [f"w{k}" for k in range(300)]
+    docs = [(0, long), (1, long[100:114]), (2, [f"z{k}" for k in range(20)] + long[:6])]
+    df = spark.createDataFrame(docs, "doc_id long, tokens array<string>")
+    dh = fpo.doc_hashes(fpo.fingerprint_index(fpo.fingerprints(df, k=5, w=1)))
+    found = [(r.doc_a, r.doc_b, r.covered_b, r.total_b) for r in fpo.similar_pairs(dh, 0.3, metric="max").collect()]
+    assert found == [(0, 1, 10, 10)]
+    assert fpo.similar_pairs(dh, 0.3).count() == 0
