@@ -22,10 +22,12 @@ def text_bool(c, accept_numeric: bool = False) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """A5: the six-column predictions CSV with text booleans parsed."""
-    df = spark.read.csv(path, header=True, schema=PREDICTIONS_SCHEMA)
-    return df.select("case", "level", "submission_id", "similarity",
+def read_predictions(spark: SparkSession, path: str, run_names: bool = False) -> DataFrame:
+    """A5: the six-column predictions CSV with text booleans parsed; with
+    ``run_names`` the run's name is the first of seven columns."""
+    run = ["run_name"] if run_names else []
+    df = spark.read.csv(path, header=True, schema=", ".join([*[f"{c} string" for c in run], PREDICTIONS_SCHEMA]))
+    return df.select(*run, "case", "level", "submission_id", "similarity",
                      text_bool("is_plagiarized").alias("is_plagiarized"),
                      text_bool("predicted_plag").alias("predicted_plag"))
 

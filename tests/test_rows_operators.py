@@ -305,3 +305,16 @@ def test_a_short_text_inside_a_long_one_is_a_pair_by_max(spark):
     found = [(r.doc_a, r.doc_b, r.covered_b, r.total_b) for r in fpo.similar_pairs(dh, 0.3, metric="max").collect()]
     assert found == [(0, 1, 10, 10)]
     assert fpo.similar_pairs(dh, 0.3).count() == 0
+
+
+def test_all_runs_of_the_log_are_read(spark, sf_small):
+    from tessera.plans import catalog
+    from tessera.plans import synthetic as syn
+
+    given = {(r.tool, r.run_name): r["count"]
+             for r in syn.predictions(spark, sf_small).groupBy("tool", "run_name").count().collect()}
+    read = catalog.QUERIES["a5_read_all_predictions"](spark, sf_small).groupBy("run_name").count().collect()
+    assert len(given) == 15 and {r.run_name: r["count"] for r in read} == {name: n for (_, name), n in given.items()}
+    runs = catalog.QUERIES["a6_read_all_runs"](spark, sf_small).collect()
+    assert sorted((r.tool, r.run_name) for r in runs) == sorted(given)
+    assert {r.min_run for r in runs if r.tool == "SIM"} == {5}
