@@ -63,8 +63,8 @@ def candidate_grid(tried: DataFrame, cat_col: str = "metric", num_col: str = "th
 
     Categories come from the log; the numeric grid is exploded per category
     row (a generator, not a join); tried points are removed by a left-anti
-    join on the integer-hundredths key (no float equality). Every parameter
-    of the log is part of the key.
+    join on the integer-hundredths key (no float equality). Other
+    parameters of the log are not part of the key.
     """
     cats = tried.select(cat_col).distinct()
     grid = cats.select(cat_col, F.explode(F.array(*[F.lit(c) for c in grid_cents])).alias("cents"))
