@@ -318,3 +318,16 @@ def test_all_runs_of_the_log_are_read(spark, sf_small):
     runs = catalog.QUERIES["a6_read_all_runs"](spark, sf_small).collect()
     assert sorted((r.tool, r.run_name) for r in runs) == sorted(given)
     assert {r.min_run for r in runs if r.tool == "SIM"} == {5}
+
+
+def test_every_candidate_pair_gets_a_held_out_score(spark, sf_small):
+    from tessera.operators import blocks as bo
+    from tessera.plans import catalog, q_attributes
+
+    want = bo.overlap_candidates(q_attributes._turn_blocks(spark, sf_small), 0.2).select("block_a", "block_b").collect()
+    got = catalog.QUERIES["j3_classify_pairs"](spark, sf_small).collect()
+    assert sorted((r.block_a, r.block_b) for r in got) == sorted(map(tuple, want))
+    assert all(0 <= r.p_clone <= 1 for r in got)
+    x = [(k, float(k % 2), int(k % 2 == k // 10)) for k in range(20)]  # the halves teach opposite models
+    scored = bo.classify_held_out(spark.createDataFrame(x, "k long, d double, label int"), F.floor(F.col("k") / 10), ["d"])
+    assert all((r.p_clone > 0.5) == (r.label == 0) for r in scored.collect())
