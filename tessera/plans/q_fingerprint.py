@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from . import detect
 from . import sqlparts as S
 from .registry import register
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from ..functions.hashing import kgram_hashes, kgrams  # noqa: E402
 from ..operators import fingerprint as fpo  # noqa: E402
-from ..session import cut_lineage  # noqa: E402
+from ..session import cut_lineage, ensure_checkpoint_dir  # noqa: E402
+from ..sources.index import FingerprintIndex, create_index  # noqa: E402
 
 _WT = S.word_tokens("text")
 
@@ -86,6 +89,25 @@ def e4_fingerprint_index(spark, root):
     return fpo.document_frequency(dh).groupBy("df").agg(F.count(F.lit(1)).alias("n_hashes"))
 
 
+def new_index(spark) -> FingerprintIndex:
+    """An empty stored index in the shared folder, with as many buckets as a shuffle has partitions."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    return create_index(spark, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@register("e4_stored_index", f"""
+WITH {S.fingerprint_ctes('s', 'documents', 'doc_id', _WT, 5, 4, extra='lang')}
+SELECT coalesce(lang, 'none') AS batch, CAST(doc_id AS VARCHAR) AS doc_id, h AS hash, n_pos, n_fp FROM s_dh""")
+def e4_stored_index(spark, root):
+    """The stored index of all documents, read back: one batch a language, each appended to the same table."""
+    index = new_index(spark)
+    dh = cut_lineage(detect.doc_hash_table(detect.word_docs(spark, root, keep=("lang",)), keep=("lang",))
+                     .withColumn("lang", F.coalesce("lang", F.lit("none"))))
+    for r in dh.select("lang").distinct().orderBy("lang").collect():  # a handful of languages
+        index.append(dh.filter(F.col("lang") == r.lang), r.lang)
+    return index.rows().select("batch", "doc_id", F.lpad(F.lower(F.hex("hash")), 15, "0").alias("hash"), "n_pos", "n_fp")
+
+
 @register("e5_drop_common", f"""
 WITH {S.fingerprint_ctes('s', 'documents', 'doc_id', _WT, 5, 4)}, {S.df_filter('s', 20, 2)}
 SELECT doc_id, count(*) AS kept_hashes, CAST(sum(n_pos) AS BIGINT) AS kept_positions FROM s_keep GROUP BY doc_id""")
