@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import kgram_hashes, winnow
+from ..session import cut_lineage
 
 METRICS = ("combined", "max", "avg", "orig_in_sub", "sub_in_orig", "product")
 
@@ -110,19 +111,46 @@ def text_classes(dh: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     return digest.join(heads, key).select("doc_id", *scope, "class_id", "class_size")
 
 
+def shared_fingerprints(reps: DataFrame, threshold: float, scope: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``reps`` whose fingerprint another document holds too, with
+    ``in_prefix``: whether it is in the document's rare prefix, the fingerprints
+    in the order (document frequency, hash) that hold more than 1 - threshold of
+    its mass (n_pos of n_fp). Fingerprints of one document alone come first in
+    that order, so their mass is all that is needed of them; no pair can share
+    them, and they are most of the rows."""
+    freq = reps.groupBy("hash", *scope).agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    doc = Window.partitionBy("doc_id", *scope)
+    order = doc.orderBy("df", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("n_fp") - F.sum("n_pos").over(doc) + F.coalesce(F.sum("n_pos").over(order), F.lit(0))
+    return (reps.join(freq, ["hash", *scope])
+            .withColumn("in_prefix", before <= (1 - threshold) * F.col("n_fp") + 1e-9).drop("df"))
+
+
+def _met(shared: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    seeds = shared.filter("in_prefix").select("hash", *scope, F.col("doc_id").alias("_p")).join(
+        shared.select("hash", *scope, F.col("doc_id").alias("_q")), ["hash", *scope])
+    return (seeds.filter("_p <> _q")
+            .select(*scope, F.least("_p", "_q").alias("doc_a"), F.greatest("_p", "_q").alias("doc_b")).distinct())
+
+
 def prefix_pairs(reps: DataFrame, threshold: float, scope: tuple[str, ...] = ()) -> DataFrame:
     """(doc_a, doc_b): all pairs that can share at least ``threshold`` of one
     side's mass (n_pos of n_fp), found through that side's rare prefix."""
-    freq = reps.groupBy("hash", *scope).agg(F.count(F.lit(1)).alias("df"))
-    ranked = reps.join(freq, ["hash", *scope])
-    order = Window.partitionBy("doc_id", *scope).orderBy("df", "hash")
-    before = F.coalesce(F.sum("n_pos").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    prefix = (ranked.withColumn("_before", before)
-              .filter((F.col("_before") <= (1 - threshold) * F.col("n_fp") + 1e-9) & (F.col("df") > 1)))
-    seeds = prefix.select("hash", *scope, F.col("doc_id").alias("_p")).join(
-        ranked.filter("df > 1").select("hash", *scope, F.col("doc_id").alias("_q")), ["hash", *scope])
-    return (seeds.filter("_p <> _q")
-             .select(*scope, F.least("_p", "_q").alias("doc_a"), F.greatest("_p", "_q").alias("doc_b")).distinct())
+    return _met(shared_fingerprints(reps, threshold, scope), scope)
+
+
+def pair_coverage(pairs: DataFrame, shared: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Coverage of the pairs (doc_a, doc_b) over all fingerprints that both hold.
+
+    ``shared`` must have the rows of every fingerprint held by two documents."""
+    extra = [c for c in ("class_size",) if c in shared.columns]
+    side = (lambda d, x: shared.select("hash", *scope, F.col("doc_id").alias(d), F.col("n_pos").alias(f"n_{x}"),
+                                       F.col("n_fp").alias(f"t_{x}"), *[F.col(c).alias(f"s_{x}") for c in extra]))
+    both = pairs.join(side("doc_a", "a"), ["doc_a", *scope]).join(side("doc_b", "b"), ["doc_b", "hash", *scope])
+    sizes = [F.max(f"s_{x}").alias(f"size_{x}") for x in "ab" if extra]
+    return (both.groupBy(*scope, "doc_a", "doc_b")
+            .agg(F.count(F.lit(1)).alias("shared"), F.sum("n_a").alias("covered_a"), F.sum("n_b").alias("covered_b"),
+                 F.max("t_a").alias("total_a"), F.max("t_b").alias("total_b"), *sizes))
 
 
 def similar_pairs(dh: DataFrame, threshold: float, scope: tuple[str, ...] = (), metric: str = "combined") -> DataFrame:
@@ -138,19 +166,14 @@ def similar_pairs(dh: DataFrame, threshold: float, scope: tuple[str, ...] = (),
     its positions include a shared one. Each document's fingerprints are taken
     in the order (document frequency, hash) until they do; only this rare
     prefix is joined to the index. Coverage then counts *all* shared
-    fingerprints, frequent ones included, against full totals.
+    fingerprints, frequent ones included, against full totals. The fingerprints
+    held by more than one document are written once and read three times.
     Returns the columns of ``candidate_pairs`` plus size_a, size_b (class sizes).
     """
     classes = text_classes(dh, scope).filter(F.col("doc_id") == F.col("class_id"))
     reps = dh.join(classes.select("doc_id", *scope, "class_size"), ["doc_id", *scope])
-    pairs = prefix_pairs(reps, threshold, scope)
-    side = (lambda d, x: reps.select("hash", *scope, F.col("doc_id").alias(d), F.col("n_pos").alias(f"n_{x}"),
-                                     F.col("n_fp").alias(f"t_{x}"), F.col("class_size").alias(f"s_{x}")))
-    both = (pairs.join(side("doc_a", "a"), ["doc_a", *scope]).join(side("doc_b", "b"), ["doc_b", "hash", *scope]))
-    out = (both.groupBy(*scope, "doc_a", "doc_b")
-           .agg(F.count(F.lit(1)).alias("shared"), F.sum("n_a").alias("covered_a"), F.sum("n_b").alias("covered_b"),
-                F.max("t_a").alias("total_a"), F.max("t_b").alias("total_b"), F.max("s_a").alias("size_a"),
-                F.max("s_b").alias("size_b")))
+    shared = cut_lineage(shared_fingerprints(reps, threshold, scope))
+    out = pair_coverage(_met(shared, scope), shared, scope)
     return apply_metric(out, metric, "_similarity").filter(F.col("_similarity") >= threshold).drop("_similarity")
 
 

@@ -9,37 +9,81 @@ the two documents, never by the corpus.
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+class _Marked:
+    """Disjoint marked intervals of one side, sorted."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> None:
+        k = bisect.bisect_left(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+
+    def within(self, start: int, end: int) -> list[tuple[int, int]]:
+        """Marked parts of [start, end), relative to start."""
+        lo, hi = bisect.bisect_right(self.ends, start), bisect.bisect_left(self.starts, end)
+        return [(max(s, start) - start, min(e, end) - start) for s, e in zip(self.starts[lo:hi], self.ends[lo:hi])]
+
+
+def tiles_of(runs: list[tuple[int, int, int]], min_len: int) -> list[tuple[int, int, int]]:
+    """Tiles (start_a, start_b, len) of one pair, longest first (then by place).
+
+    Runs wait in a heap by length. A run is looked at when it is the longest:
+    if a tile has marked a part of it since, its free parts go back into the
+    heap with their own lengths; else it is a tile.
+    """
+    a, b = _Marked(), _Marked()
+    heap = [(-ln, sa, sb) for sa, sb, ln in runs if ln >= min_len]
+    heapq.heapify(heap)
+    tiles = []
+    while heap:
+        ln, sa, sb = heapq.heappop(heap)
+        ln = -ln
+        taken = sorted(a.within(sa, sa + ln) + b.within(sb, sb + ln))
+        if not taken:
+            tiles.append((sa, sb, ln))
+            a.add(sa, sa + ln)
+            b.add(sb, sb + ln)
+            continue
+        at = 0
+        for s, e in [*taken, (ln, ln)]:
+            if s - at >= min_len:
+                heapq.heappush(heap, (at - s, sa + at, sb + at))
+            at = max(at, e)
+    return tiles
+
+
 def _tile_pair(runs: list[tuple[int, int, int]], min_len: int) -> tuple[int, int]:
     """(tiled tokens, number of tiles) for one pair; runs = (start_a, start_b, len)."""
-    marked_a: set[int] = set()
-    marked_b: set[int] = set()
-    live = [r for r in runs if r[2] >= min_len]
-    tiled = tiles = 0
-    while live:
-        live.sort(key=lambda r: (-r[2], r[0], r[1]))
-        sa, sb, ln = live[0]
-        marked_a.update(range(sa, sa + ln))
-        marked_b.update(range(sb, sb + ln))
-        tiled += ln
-        tiles += 1
-        nxt = []
-        for a0, b0, l0 in live[1:]:
-            k = 0
-            while k < l0:  # re-split around marked tokens on either side
-                while k < l0 and (a0 + k in marked_a or b0 + k in marked_b):
-                    k += 1
-                s = k
-                while k < l0 and a0 + k not in marked_a and b0 + k not in marked_b:
-                    k += 1
-                if k - s >= min_len:
-                    nxt.append((a0 + s, b0 + s, k - s))
-        live = nxt
-    return tiled, tiles
+    tiles = tiles_of(runs, min_len)
+    return sum(ln for _, _, ln in tiles), len(tiles)
+
+
+def greedy_tiles(runs: DataFrame, min_len: int, a: str = "doc_a", b: str = "doc_b") -> DataFrame:
+    """The tiles themselves, one row each: (a, b, start_a, start_b, len)."""
+    sel = runs.filter(F.col("len") >= min_len).select(
+        a, b, F.struct(*[F.col(c).cast("long").alias(c) for c in ("start_a", "start_b", "len")]).alias("r"))
+    per_pair = sel.groupBy(a, b).agg(F.collect_list("r").alias("runs"))
+
+    def tile(batches):
+        for pdf in batches:
+            found = [tiles_of([(x["start_a"], x["start_b"], x["len"]) for x in rs], min_len) for rs in pdf["runs"]]
+            rows = [(x, y, *t) for x, y, ts in zip(pdf[a], pdf[b], found) for t in ts]
+            yield pd.DataFrame(rows, columns=[a, b, "start_a", "start_b", "len"])
+
+    schema = f"{a} {runs.schema[a].dataType.simpleString()}, {b} {runs.schema[b].dataType.simpleString()}, " \
+             "start_a long, start_b long, len long"
+    return per_pair.mapInPandas(tile, schema=schema)
 
 
 def greedy_tiling(runs: DataFrame, min_len: int, a: str = "doc_a", b: str = "doc_b") -> DataFrame:

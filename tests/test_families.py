@@ -87,12 +87,12 @@ def test_a_family_of_2000_near_copies_makes_few_rows(spark):
     df = spark.createDataFrame(rows_of(docs), SCHEMA).cache()
     classes = fpo.text_classes(df).filter("doc_id = class_id")
     reps = df.join(classes.select("doc_id", "class_size"), "doc_id")
-    ranked = families._ranked(reps, 0.5, ())
-    stars = families._star_pairs(ranked, ())
+    shared = fpo.shared_fingerprints(reps, 0.5)
+    stars = families._star_pairs(shared, ())
     assert stars.count() < 3 * len(docs) + len(base) * len(base)
-    links = families._verified(stars, reps, 0.5, ())
+    links = families._verified(stars, shared, 0.5, ())
     labels = families._labels(classes.select("doc_id"), links)
-    assert families._crossing_pairs(ranked, labels, ()).count() == 0
+    assert families._crossing_pairs(shared, labels, ()).count() == 0
     out = families.linked_documents(df, 0.5, count=True).agg(
         F.count("*").alias("n"), F.countDistinct("cluster").alias("c"), F.min("links").alias("lo")).first()
     assert out.n == 2000 and out.c == 1 and out.lo == 1999
