@@ -12,21 +12,22 @@ def fold(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % n
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows_per_label: int,
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows_per_label: int | dict[int, int],
            id_col: str = "doc_id") -> DataFrame:
-    """At most ``rows_per_label`` labelled documents of each label, in hash order:
-    a bounded sample for fitting, nothing else.
+    """At most ``rows_per_label`` (one bound, or one for each label) labelled
+    documents of each label, in hash order: a bounded sample for fitting, nothing else.
 
     ``learn`` filters by the id. The ids are chosen from the labels alone, so
-    the broadcast side has at most twice ``rows_per_label`` rows and no text
+    the broadcast side has at most ``rows_per_label`` rows of each label and no text
     but the sample's is moved; repeated rows of a document count to the bound.
     """
     y = labels.filter(learn).select(F.col(id_col).alias("__i"), F.col(label).cast("int").alias("__y")) \
         .filter("__i IS NOT NULL AND __y IN (0, 1)").distinct()
     order = [F.xxhash64("__i", F.lit("fit")), F.col("__i")]
-    chosen = [y.filter(F.col("__y") == v).orderBy(*order).limit(rows_per_label) for v in (0, 1)]
+    bound = rows_per_label if isinstance(rows_per_label, dict) else {0: rows_per_label, 1: rows_per_label}
+    chosen = [y.filter(F.col("__y") == v).orderBy(*order).limit(bound[v]) for v in (0, 1)]
     joined = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), docs[id_col] == F.col("__i"))
-    parts = [joined.filter(F.col("__y") == v).orderBy(*order).limit(rows_per_label) for v in (0, 1)]
+    parts = [joined.filter(F.col("__y") == v).orderBy(*order).limit(bound[v]) for v in (0, 1)]
     return parts[0].unionByName(parts[1]).drop("__i")
 
 

@@ -2,7 +2,9 @@
 
 Two zstandard dictionaries are trained on a bounded sample of labelled texts:
 an ordinary one on pieces of ordinary texts, and a toxic one on the passages
-of toxic texts whose byte 4-grams are far more frequent there. A text is cut
+of toxic texts whose byte ``GRAM``-grams are far more frequent there, each
+distinct passage counted by the logarithm of its frequency, so that the common
+stems of one language leave room for those of others. A text is cut
 into overlapping windows; each is compressed once with the ordinary dictionary
 and once with the ordinary and the toxic one behind it. The difference of both
 lengths is what the toxic dictionary saves: ordinary content costs the same in
@@ -39,8 +41,11 @@ from .labelled import logistic, sample
 ROWS_PER_LABEL = {0: 8000, 1: 4000}
 WINDOW, STEP = 56, 40
 LEVELS = 9
-ORDINARY_BYTES, TOXIC_BYTES = 60_000, 6_000
+ORDINARY_BYTES, TOXIC_BYTES = 60_000, 3_000
 PIECE, PIECES = 64, 250_000
+GRAM = 7  # short grams of a rare language's toxic stems are common in its other words
+MIN_TEXTS, MIN_SHARE, LIFT = 5, 1 / 150, 25
+COPIED = 32  # bytes in a row that only copies share
 POSITIVE_WEIGHT = 2.0
 CUT = 0.7
 MARKER = bytes(range(200, 216))
@@ -112,28 +117,57 @@ def features(savings: Savings, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log1p(counts), 10 * counts / many[:, None], np.log(many), most])
 
 
-def _passages(texts: list[bytes], hot: np.ndarray) -> list[bytes]:
-    """Maximal runs of bytes covered by hot 4-grams."""
-    out = []
+def _passages(texts: list[bytes], hot: np.ndarray) -> dict[bytes, int]:
+    """Maximal runs of bytes covered by hot grams, and how often each occurs."""
+    out: dict[bytes, int] = {}
     for t in texts:
-        b = np.frombuffer(t, np.uint8)
-        if len(b) < 4:
+        g = _grams(t)
+        if not len(g):
             continue
-        cover = vec.covered(np.flatnonzero(np.isin(_grams(b), hot)), 4, len(b)).astype(np.int8)
+        cover = vec.covered(np.flatnonzero(np.isin(g, hot)), GRAM, len(t)).astype(np.int8)
         edge = np.flatnonzero(np.diff(np.concatenate([[0], cover, [0]])))
-        out += [t[s:e] for s, e in zip(edge[::2].tolist(), edge[1::2].tolist())]
+        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            out[t[s:e]] = out.get(t[s:e], 0) + 1
     return out
 
 
-def _grams(b: np.ndarray) -> np.ndarray:
-    w = b.astype(np.uint32)
-    return (w[:-3] << 24) | (w[1:-2] << 16) | (w[2:-1] << 8) | w[3:]
+def _grams(t: bytes) -> np.ndarray:
+    """The grams of a text as integers of GRAM <= 8 bytes."""
+    b = np.frombuffer(t, np.uint8).astype(np.uint64)
+    n = len(b) - GRAM + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for k in range(GRAM if n > 0 else 0):
+        out = (out << np.uint64(8)) | b[k:k + n]
+    return out
 
 
-def _frequency(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 4-grams and the number of texts that hold each."""
-    parts = [np.unique(_grams(np.frombuffer(t, np.uint8))) for t in texts if len(t) >= 4]
-    return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint32), np.zeros(0, int))
+def _distinct(texts: list[bytes]) -> list[bytes]:
+    """Texts without near copies of earlier ones: what copies share is no sign of
+    a kind of text. Sampled hashes of COPIED bytes tell them."""
+    kept, seen = [], set()
+    for t in dict.fromkeys(texts):
+        codes = vec.BYTE_CODE[np.frombuffer(t, np.uint8)]
+        h = vec.Rolling(codes).grams(COPIED) if len(codes) >= COPIED else np.zeros(0, np.uint64)
+        some = set(h[h % np.uint64(64) == 0].tolist())
+        if len(some & seen) <= len(some) / 4:
+            kept.append(t)
+            seen |= some
+    return kept
+
+
+def _hot_grams(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
+    """Grams that are LIFT times as frequent in toxic texts as in ordinary ones."""
+    parts = [np.unique(_grams(t)) for t in toxic]
+    grams, n = np.unique(np.concatenate(parts), return_counts=True)
+    del parts
+    often = n >= max(MIN_TEXTS, MIN_SHARE * len(toxic))
+    grams, n = grams[often], n[often]
+    other = np.zeros(len(grams), np.int64)
+    for t in ordinary if len(grams) else ():
+        g = np.unique(_grams(t))
+        at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
+        other[at[grams[at] == g]] += 1
+    return grams[n / len(toxic) > LIFT * (other + 1) / len(ordinary)]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", id_col: str = "doc_id",
@@ -142,27 +176,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
     bound = {**ROWS_PER_LABEL, **(rows_per_label or {})}
     own = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"))
     texts: dict[int, list[bytes]] = {0: [], 1: []}
-    rows = sample(own, labels, label, learn, max(bound.values()), id_col) \
+    rows = sample(own, labels, label, learn, bound, id_col) \
         .select("__y", F.encode("__t", "utf-8").alias("t")).toArrow()
     lower = bytes(vec.ASCII_LOWER)
     for y, t in zip(rows.column("__y").to_pylist(), rows.column("t")):
-        if len(texts[y]) < bound[y]:
-            texts[y].append(t.as_py().translate(lower))
+        texts[y].append(t.as_py().translate(lower))
     del rows
     # two of three texts train the dictionaries, the third calibrates
-    train = {y: [t for k, t in enumerate(texts[y]) if k % 3] for y in texts}
+    train = {y: _distinct([t for k, t in enumerate(texts[y]) if k % 3]) for y in texts}
     check = {y: texts[y][::3] for y in texts}
     if not all(train.values()) or not all(check.values()):
         return ToxicityModel(b"", b"", None)
-    grams, n = _frequency(train[1])
-    other, m = _frequency(train[0])
-    at = np.searchsorted(other, grams)
-    at[at == len(other)] = 0
-    ordinary = np.where(other[at] == grams, m[at], 0)
-    hot = grams[(n >= max(3, len(train[1]) / 150))
-                & (n / len(train[1]) > 25 * (ordinary + 1) / len(train[0]))]
     rng = np.random.default_rng(1)
-    passages = _passages(train[1], hot)
+    found = _passages(train[1], _hot_grams(train[1], train[0]))
+    passages = [p for p, n in sorted(found.items()) for _ in range(1 + int(np.log2(n)))]
     rng.shuffle(passages)
     joined = b"\x01".join(passages)
     toxic = _dictionary([joined[k:k + 256] for k in range(0, len(joined), 256)], TOXIC_BYTES, 16)
