@@ -9,21 +9,23 @@ verification, connected components.
 3. Nodes that share a bucket are linked to the bucket's lowest node; the
    components of this graph (large-star/small-star) are the units of
    verification, and every pair that shares a bucket lies in one unit. A unit
-   of more than ``UNIT`` nodes is verified bucket by bucket, and a bucket of
-   more than ``UNIT`` nodes in pairs of blocks, so a task holds at most two
-   blocks whatever a group's size.
+   of more than ``UNIT`` nodes or ``WEIGHT`` shingles is verified bucket by
+   bucket, and a bucket of more than that in pairs of blocks, so a task holds
+   at most two blocks whatever the size of a group or of its texts.
 4. In a task, signatures (one byte for each minimum) rule pairs out that are
    five standard deviations below the threshold; the others are compared on
    their full shingle sets. Pairs that are already connected in the task are
    skipped, and only links that connect leave it: at most one for each node.
-5. Components of the links, again by large-star/small-star.
+5. Components of the links, again by large-star/small-star. Nodes that share an
+   id are linked too.
 
 So no pairs are emitted for a group, and all links between different sets
 that the bands find are respected, by exact comparison of full sets.
 
 Defined results: texts without words, null or empty, have no shingles and are
-components of their own; rows that repeat an id are one document; a null id
-counts as the highest; an empty table gives an empty result. Input columns of
+components of their own; rows that repeat an id are one document: all of them
+get the component that any of their texts reaches, each with the n_shingles of
+its own text; a null id counts as the highest and its rows stay apart; an empty table gives an empty result. Input columns of
 any names don't matter: only the id and text columns are read.
 """
 
@@ -45,7 +47,8 @@ from .components import components
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 THRESHOLD = (85, 100)
-UNIT = 4096
+UNIT = 4096  # nodes of a unit or block that one task verifies
+WEIGHT = 1 << 22  # shingles of its sets
 
 _rng = np.random.default_rng(85)
 _A = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -176,8 +179,9 @@ def _verify(threshold):
 
 def _in_buckets(nodes: DataFrame, member: DataFrame) -> DataFrame:
     """Places of nodes of large units: their buckets, or the block pairs of a
-    bucket with more than ``UNIT`` nodes (side 0 against side 1; -1: by itself)."""
-    spread = nodes.join(member, "node").select("node", "key", F.ceil(F.col("size") / UNIT).cast("int").alias("k")) \
+    bucket too large for one task (side 0 against side 1; -1: by itself)."""
+    parts = F.ceil(F.greatest(F.col("size") / UNIT, F.col("weight") / WEIGHT)).cast("int")
+    spread = nodes.join(member, "node").select("node", "key", parts.alias("k")) \
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     one = spread.filter("k = 1").select("node", F.col("key").alias("unit"),
                                         *[F.lit(-1).alias(c) for c in ("i", "j", "side")])
@@ -199,16 +203,18 @@ def near_duplicates(docs: DataFrame, threshold=THRESHOLD, shingle: int = SHINGLE
          T.StructField("sig", T.BinaryType())])), "signatures")
     nodes = written(signed.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("__id").alias("low"), F.min(F.struct("__id", "__th")).alias("rep"), F.any_value("bands").alias("bands"),
-        F.any_value("sig").alias("sig")), "nodes")
+        F.any_value("sig").alias("sig"), F.max("n").alias("n")), "nodes")
     ids = written(signed.select("__id", "n", "node"), "ids")
     drop_written(signed)
-    bands = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", "key")
-    shared = written(bands.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub"))
-                     .filter("size > 1"), "buckets")
-    member = written(bands.join(shared, "key"), "members")
+    bands = nodes.select("node", "n", F.explode("bands").alias("key"))
+    shared = written(bands.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("weight"),
+                                              F.min("node").alias("hub")).filter("size > 1"), "buckets")
+    member = written(bands.drop("n").join(shared, "key"), "members")
     units = written(components(member.select(F.col("node").alias("a"), F.col("hub").alias("b")))
                     .withColumnRenamed("component", "unit"), "units")
-    large = written(units.groupBy("unit").agg(F.count("*").alias("m")).filter(F.col("m") > UNIT), "large-units")
+    large = written(units.join(nodes.select("node", "n"), "node").groupBy("unit")
+                    .agg(F.count("*").alias("m"), F.sum("n").alias("weight"))
+                    .filter((F.col("m") > UNIT) | (F.col("weight") > WEIGHT)).select("unit"), "large-units")
     # nodes of large units meet in their buckets, all others in their unit
     whole = [F.lit(-1).alias(c) for c in ("i", "j", "side")]
     places = units.select("node", F.xxhash64("unit").alias("unit"), *whole)
@@ -227,13 +233,24 @@ def near_duplicates(docs: DataFrame, threshold=THRESHOLD, shingle: int = SHINGLE
     links = written(tasks.select("unit", "i", "j", "side", "node", "sig", "shingles").mapInArrow(
         _verify(threshold), "a binary, b binary"), "links")
     drop_written(found)
+    # an id with several rows: its nodes are linked, and all its rows get one component
+    several = written(ids.filter("__id IS NOT NULL").groupBy("__id").agg(F.count("*").alias("k"), F.min("node").alias("hub"))
+                      .filter("k > 1").select(F.col("__id").alias("__several"), "hub"), "several-ids")
+    repeated = not several.isEmpty()
+    if repeated:
+        links = links.unionByName(ids.join(several, F.col("__id") == F.col("__several")).filter("node <> hub")
+                                  .select(F.col("node").alias("a"), F.col("hub").alias("b")))
     joined = components(links)
     group = written(nodes.select("node", "low").join(joined, "node", "left")
                     .select("node", "low", F.coalesce("component", "node").alias("component")), "grouped")
     lows = written(group.groupBy("component").agg(F.min("low").alias("component_id")), "lowest")
     classes = written(group.join(lows, "component").select("node", "component_id"), "classes")
     drop_written(group)
-    out = ids.join(classes, "node", "left")
-    own = F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("component_id"))
-    return out.select(F.col("__id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"),
-                      F.col("__id").eqNullSafe(own).alias("kept"))
+    out = ids.join(classes, "node", "left").withColumn(
+        "own", F.when(F.col("node").isNull(), F.col("__id")).otherwise(F.col("component_id")))
+    if repeated:
+        of_id = several.filter("hub IS NOT NULL").join(classes, F.col("hub") == F.col("node")) \
+            .select("__several", F.col("component_id").alias("of_id"))
+        out = out.join(of_id, F.col("__id") == F.col("__several"), "left").withColumn("own", F.coalesce("of_id", "own"))
+    return out.select(F.col("__id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("own").alias("component_id"),
+                      F.col("__id").eqNullSafe(F.col("own")).alias("kept"))

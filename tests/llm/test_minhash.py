@@ -22,14 +22,14 @@ def find(parent, x):
     return x
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """component by lowest id (null last) and set size, from all pairs."""
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
             k = len(sets[i] & sets[j])
-            if k and 100 * k >= 85 * (len(sets[i]) + len(sets[j]) - k):
+            if k and 100 * k >= percent * (len(sets[i]) + len(sets[j]) - k):
                 parent[find(parent, i)] = find(parent, j)
     groups = {}
     for k, (i, _) in enumerate(rows):
@@ -89,5 +89,45 @@ def test_components_of_a_path_a_star_and_a_cycle(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def brute_by_id(rows, den=100, num=85):
+    """As ``brute``, with the rows of an id linked."""
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            k = len(sets[i] & sets[j])
+            same = rows[i][0] is not None and rows[i][0] == rows[j][0]
+            if same or k and den * k >= num * (len(sets[i]) + len(sets[j]) - k):
+                parent[find(parent, i)] = find(parent, j)
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        low.setdefault(find(parent, k), []).append(i)
+    low = {g: min((i for i in ids if i is not None), default=None) for g, ids in low.items()}
+    return sorted((str(i), len(sets[k]), str(low[find(parent, k)])) for k, (i, _) in enumerate(rows))
+
+
+def test_rows_of_an_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (3, a), (9, b), (20, c), (20, c), (21, ""), (21, a), (22, None), (22, ""), (None, b), (None, "n")]
+    out = near_duplicates(docs_frame(spark, rows)).collect()
+    assert {x.component_id for x in out if x.doc_id in (3, 5, 9, 21)} == {3}
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in out) == brute_by_id(rows)
+    assert all(x.kept == (x.doc_id == x.component_id) for x in out)
+
+
+def test_a_unit_of_long_texts_is_split_by_its_shingles(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "WEIGHT", 300)
+    r = random.Random(4)
+    rows = []
+    for f in range(4):
+        base = [f"v{r.randrange(400)}" for _ in range(120)]
+        for _ in range(8):
+            w = list(base)
+            w[r.randrange(120)] = "changed"
+            rows.append((len(rows), " ".join(w)))
+    out = near_duplicates(docs_frame(spark, rows)).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in out) == brute(rows)
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
