@@ -9,8 +9,11 @@ columns of ``documents``; the last returns the mix as a manifest (doc_id,
 source, size, source_size, target, taken).
 
 Nulls, empty texts, repeated rows and empty tables have the results that the
-operators define. SQL cannot express the trained classifier, so there is no
-``ORACLE_SQL``; the tests compare every stage with a brute-force version.
+operators define. Line dedup drops a document that it leaves without a word
+(its lines are all in others); texts that had none before pass. The near-copy
+stage keeps one of several rows with equal id and text. Columns beyond those of
+``documents`` are left out. SQL cannot express the trained classifier, so there
+is no ``ORACLE_SQL``; the tests compare every stage with a brute-force version.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from tessera.llm.mix import mix
 from tessera.llm.quality_fm import fit_quality, score_quality
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+NEAR = (80, 100)  # similarity from which two texts are near copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,16 +39,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).filter("predicted = 1").select(*COLUMNS)
 
 
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str, long: int | None = None) -> DataFrame:
-    """Texts without later copies of line runs, and of single lines of ``long``
-    words if given; n_chars follows the new text."""
-    return line_dedup(docs.select(*COLUMNS), long=long).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of line runs and of single long lines, n_chars
+    following the new text; documents of which no word is left go."""
+    kept = line_dedup(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+    return kept.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the lowest id) of each group of near copies."""
-    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("__k")).distinct()
-    return docs.join(written(kept, "kept-ids"), F.col("doc_id").eqNullSafe(F.col("__k")), "left_semi").select(*COLUMNS)
+    """One document (the lowest id) of each group of near copies (similarity of
+    5-word shingles 0.8 or more)."""
+    found = near_duplicates(docs.select("doc_id", "text"), NEAR)
+    kept = written(found.filter("kept").groupBy(F.col("doc_id").alias("__k")).agg(F.count("*").alias("__n")), "kept-ids")
+    own = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__k")))
+    # rows of an id that repeats (few, if any): one of those with the same text
+    once = own.filter("__n = 1").select(*COLUMNS)
+    return once.unionByName(own.filter("__n > 1").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
