@@ -16,7 +16,7 @@ ORACLES = dict(catalog.ORACLES)
 # Physical operators no registered plan may contain: cartesian / nested-loop
 # joins anywhere, Python stages outside the per-pair Arrow operators.
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
-PYTHON_OK = {"d3_lcs_similarity", "e11_greedy_tiling", "p5_variant_rewrite_loops"}
+PYTHON_OK = {"d3_lcs_similarity", "e11_greedy_tiling", "e11_text_tiles", "p5_variant_rewrite_loops"}
 
 
 def _checked(name, fn):
