@@ -181,6 +181,64 @@ def flow_edges(tokens: DataFrame) -> DataFrame:
         "doc_id", F.col("token").alias("var"), "def_pos", F.col("pos").alias("use_pos"))
 
 
+# Keywords whose header makes what follows conditional.
+HEADER_WORDS = ("if", "while", "for", "switch", "catch")  # followed by a header in parentheses
+BARE_WORDS = ("else", "do")
+
+
+def control_edges(tokens: DataFrame) -> DataFrame:
+    """control dependence (doc_id, var, def_pos, use_pos) on a token stream.
+
+    A condition is ``if (..)``, ``while (..)``, ``for (..)``, ``switch (..)``,
+    ``catch (..)``, ``else`` or ``do``; ``var`` and ``def_pos`` are its keyword and
+    the keyword's position. It governs the block that follows it, or the one
+    statement that follows without a brace. A statement starts after a brace, a
+    ``;`` outside parentheses or such a condition, and depends on the condition
+    directly before it, else on the innermost condition block around it.
+
+    Nesting is found without recursion: brackets are paired by windows over
+    (document, nesting depth), a running count of open condition blocks gives the
+    depth of conditions, and the last block opened at a statement's depth is the
+    one around it. Braces and parentheses without a partner open nothing.
+    """
+    doc = Window.partitionBy("doc_id").orderBy("pos")
+    upto = doc.rowsBetween(Window.unboundedPreceding, 0)
+    tok = F.col("token")
+    steps = {kind: F.when(tok == a, 1).when(tok == b, -1).otherwise(0)
+             for kind, (a, b) in {"round": ("(", ")"), "curly": ("{", "}")}.items()}
+    t = tokens.select("doc_id", "pos", "token", F.lag("token").over(doc).alias("_prev"), F.lag("pos").over(doc).alias("_prev_pos"),
+                      *[F.sum(v).over(upto).alias(f"_{k}") for k, v in steps.items()])
+    # a bracket's level: the depth inside it, so that both brackets of a pair have the same one
+    t = t.withColumn("_level", F.when(tok.isin("(", "{"), F.when(tok == "(", F.col("_round")).otherwise(F.col("_curly")))
+                     .when(tok == ")", F.col("_round") + 1).when(tok == "}", F.col("_curly") + 1))
+    t = t.withColumn("_kind", F.when(tok.isin("(", ")"), "round").when(tok.isin("{", "}"), "curly"))
+    pair = Window.partitionBy("doc_id", "_kind", "_level").orderBy("pos")
+    mate = F.lag(F.struct("token", "_prev", "_prev_pos")).over(pair)
+    t = t.withColumn("_mate", F.when(tok == ")", mate)).withColumn("_closed", F.lead("token").over(pair) == "}")
+    # the condition that ends right before a token: its keyword and where it stands
+    header = F.when(F.col("_mate.token").eqNullSafe("(") & F.col("_mate._prev").isin(*HEADER_WORDS),
+                    F.struct(F.col("_mate._prev").alias("word"), F.col("_mate._prev_pos").alias("at"))) \
+        .when(tok.isin(*BARE_WORDS), F.struct(tok.alias("word"), F.col("pos").alias("at")))
+    t = t.withColumn("_header", header).withColumn("_after", F.lag("_header").over(doc))
+    t = t.withColumn("_opens", (tok == "{") & F.col("_after").isNotNull() & F.coalesce("_closed", F.lit(False)))
+    opened = F.lag(F.struct("token", "_opens")).over(pair)
+    t = t.withColumn("_ends", F.coalesce((tok == "}") & (opened["token"] == "{") & opened["_opens"], F.lit(False)))
+    t = t.withColumn("_conditions", F.sum(F.col("_opens").cast("int") - F.col("_ends").cast("int")).over(upto))
+    around = Window.partitionBy("doc_id", "_conditions").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("_around", F.when(F.col("_conditions") > 0, F.last(
+        F.when(F.col("_opens"), F.col("_after")), ignorenulls=True).over(around)))
+    starts = F.col("_after").isNotNull() | F.col("_prev").isin("{", "}") | ((F.col("_prev") == ";") & (F.col("_round") == 0))
+    found = t.filter(starts & ~tok.isin("{", "}", ";", "(", ")")).withColumn("_by", F.coalesce("_after", "_around"))
+    return found.filter(F.col("_by").isNotNull()).select(
+        "doc_id", F.col("_by.word").alias("var"), F.col("_by.at").alias("def_pos"), F.col("pos").alias("use_pos"))
+
+
+def dependence_edges(tokens: DataFrame) -> DataFrame:
+    """F4, both kinds: data edges (definition -> use) and control edges (condition -> statement)."""
+    return (flow_edges(tokens).withColumn("kind", F.lit("data"))
+            .unionByName(control_edges(tokens).withColumn("kind", F.lit("control"))))
+
+
 def prescreen(pairs: DataFrame, stats: DataFrame, size_tol: float = 0.5, hist_tol: float = 0.5) -> DataFrame:
     """drop candidate pairs whose node counts differ by more than
     ``size_tol`` of the larger, or whose normalised tag histograms are more

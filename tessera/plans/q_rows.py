@@ -88,7 +88,54 @@ def f3_tree_classes(spark, root):
     return st.tree_classes(st.subtree_hashes(_tree(spark, root)))
 
 
-@register("f4_flow_edges")
+# data: the last definition before a use, by a range join; control: the innermost block around a statement, by containment
+_F4_CTES = f"""
+WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS ln,
+                  generate_subscripts(string_split(html, chr(10)), 1) AS line FROM pages),
+  k AS (SELECT page_id, line, unnest({S.code_tokens('ln')}) AS token,
+               generate_subscripts({S.code_tokens('ln')}, 1) AS i FROM l),
+  t AS (SELECT page_id AS doc_id, token,
+               CAST(row_number() OVER (PARTITION BY page_id ORDER BY line, i) - 1 AS INTEGER) AS pos FROM k),
+  n AS (SELECT *, lead(token) OVER d AS nxt, lag(token) OVER d AS prv FROM t WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+  ident AS (SELECT * FROM n WHERE regexp_matches(token, '^[A-Za-z_$][A-Za-z0-9_$]*$')),
+  data AS (SELECT u.doc_id, u.token AS var, max(f.pos) AS def_pos, u.pos AS use_pos
+           FROM ident u JOIN ident f ON f.doc_id = u.doc_id AND f.token = u.token AND f.pos < u.pos AND f.nxt = '='
+           WHERE coalesce(u.nxt <> '=', FALSE) GROUP BY 1, 2, 4)"""
+
+_F4_CONTROL_CTES = """,
+  dep AS (SELECT *, sum(CASE token WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w AS rd,
+                    sum(CASE token WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END) OVER w AS cd
+          FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+  heads AS (SELECT c.doc_id, c.pos AS last_pos, o.prv AS word, o.pos - 1 AS at
+            FROM dep c JOIN dep o ON o.doc_id = c.doc_id AND o.token = '(' AND c.token = ')' AND o.pos < c.pos AND o.rd = c.rd + 1
+            WHERE o.prv IN ('if', 'while', 'for', 'switch', 'catch')
+              AND NOT EXISTS (SELECT 1 FROM dep b WHERE b.doc_id = c.doc_id AND b.pos > o.pos AND b.pos < c.pos AND b.rd <= c.rd)
+            UNION ALL SELECT doc_id, pos, token, pos FROM n WHERE token IN ('else', 'do')),
+  blk AS (SELECT o.doc_id, h.word, h.at, o.pos AS lo, min(c.pos) AS hi
+          FROM dep o JOIN heads h ON h.doc_id = o.doc_id AND h.last_pos = o.pos - 1
+          JOIN dep c ON c.doc_id = o.doc_id AND c.token = '}' AND c.pos > o.pos AND c.cd = o.cd - 1
+          WHERE o.token = '{' GROUP BY 1, 2, 3, 4),
+  st AS (SELECT dep.doc_id, dep.pos, h.word, h.at FROM dep LEFT JOIN heads h ON h.doc_id = dep.doc_id AND h.last_pos = dep.pos - 1
+         WHERE (h.word IS NOT NULL OR dep.prv IN ('{', '}') OR (dep.prv = ';' AND dep.rd = 0))
+           AND dep.token NOT IN ('{', '}', ';', '(', ')')),
+  inner_blk AS (SELECT st.doc_id, st.pos, max(blk.lo) AS lo FROM st JOIN blk ON blk.doc_id = st.doc_id AND blk.lo < st.pos AND st.pos < blk.hi
+                GROUP BY 1, 2),
+  control AS (SELECT st.doc_id, coalesce(st.word, blk.word) AS var, coalesce(st.at, blk.at) AS def_pos, st.pos AS use_pos
+              FROM st LEFT JOIN inner_blk i ON i.doc_id = st.doc_id AND i.pos = st.pos
+              LEFT JOIN blk ON blk.doc_id = i.doc_id AND blk.lo = i.lo
+              WHERE coalesce(st.word, blk.word) IS NOT NULL)"""
+
+
+@register("f4_dependence_edges", f"""{_F4_CTES}{_F4_CONTROL_CTES}
+SELECT *, 'data' AS kind FROM data UNION ALL SELECT *, 'control' FROM control""")
+def f4_dependence_edges(spark, root):
+    """Data and control dependence edges in the pages' scripts and markup."""
+    toks = token_positions(table(spark, root, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
+    return st.dependence_edges(toks)
+
+
+@register("f4_flow_edges", f"""{_F4_CTES}
+SELECT * FROM data""")
 def f4_flow_edges(spark, root):
     """Definition -> use edges (last definition before each use) in the pages' scripts and markup."""
     toks = token_positions(table(spark, root, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
