@@ -64,7 +64,7 @@ def candidate_grid(tried: DataFrame, cat_col: str = "metric", num_col: str = "th
     Categories come from the log; the numeric grid is exploded per category
     row (a generator, not a join); tried points are removed by a left-anti
     join on the integer-hundredths key (no float equality). Other
-    parameters of the log are not part of the key.
+    parameters of the log are not part of the key: see ``parameter_grid``.
     """
     cats = tried.select(cat_col).distinct()
     grid = cats.select(cat_col, F.explode(F.array(*[F.lit(c) for c in grid_cents])).alias("cents"))
@@ -73,6 +73,52 @@ def candidate_grid(tried: DataFrame, cat_col: str = "metric", num_col: str = "th
     return out.select(cat_col, (F.col("cents") / 100.0).alias(num_col))
 
 
+def parameter_grid(dims: dict[str, list], tried: DataFrame) -> DataFrame:
+    """N1 in any number of dimensions: every combination of ``dims`` that the log does not hold.
+
+    Combination number i of a distributed range is written in mixed radix, one
+    digit a dimension, so the grid needs no join of its dimensions and no list of
+    its points. A point is tried if all its values are in one row of the log;
+    doubles are compared in hundredths. Repeated values of a dimension count once.
+    """
+    dims = {c: list(dict.fromkeys(v)) for c, v in dims.items()}
+    spark = tried.sparkSession
+    digits, total = [], 1
+    for c, values in reversed(dims.items()):  # the last dimension varies fastest
+        at = F.expr(f"cast((id div {total}) % {max(len(values), 1)} as int)")
+        digits.append(F.get(F.array(*[F.lit(v) for v in values]), at).alias(c) if values else F.lit(None).alias(c))
+        total *= len(values)
+
+    def key(df):
+        return [F.round(F.col(c) * 100).cast("long") if isinstance(v[0], float) else F.col(c) for c, v in dims.items()]
+
+    grid = spark.range(total).select(*reversed(digits))
+    if total == 0:
+        return grid
+    marked = grid.select("*", *[k.alias(f"_k{i}") for i, k in enumerate(key(grid))])
+    done = tried.select(*[k.alias(f"_k{i}") for i, k in enumerate(key(tried))]).distinct()
+    return marked.join(done, [f"_k{i}" for i in range(len(dims))], "left_anti").select(*dims)
+
+
+def switch_effect(runs: DataFrame, values: list[str], column: str, estimate) -> DataFrame:
+    """N11 for a categorical dimension: what changes if a run switches ``column`` to each other value.
+
+    ``estimate`` maps rows with ``column`` (and the run's other parameters) to the
+    same rows with ``mu``. Returns the run's columns, ``switched_to`` and ``effect``.
+    """
+    keep = [c for c in runs.columns if c != column]
+    pts = runs.withColumn("_from", F.col(column)).withColumn(column, F.explode(F.array(*[F.lit(v) for v in values])))
+    est = estimate(pts)
+    base = est.filter(F.col(column).eqNullSafe(F.col("_from"))).select(
+        *[F.col(c).alias(f"_b_{c}") for c in keep], F.col("_from").alias("_b"), F.col("mu").alias("_mu"))
+    same = F.col("_from") == F.col("_b")
+    for c in keep:
+        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    other = est.filter(F.col(column) != F.col("_from")).join(base, same)
+    return other.select(F.col("_from").alias(column), *keep, F.col(column).alias("switched_to"),
+                        (F.col("mu") - F.col("_mu")).alias("effect"))
+
+
 def standardize_stats(observed: DataFrame, cols: list[str]) -> dict[str, tuple[Column, Column]]:
     """Mean and population std per feature from the observed rows, as
     scalar subqueries; std 0 -> 1."""

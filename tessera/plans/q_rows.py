@@ -20,6 +20,7 @@ from . import detect
 from . import sqlparts as S
 from .q_fingerprint import _MAX_PAIRS_SQL, _PAIRS_SQL, doc_pairs
 from .q_runs import R_EVENTS, event_grams
+from .q_tokens import _strip_sql
 from .registry import register
 
 
@@ -222,6 +223,16 @@ def q2_stream_dedup(spark, root):
     return spark.read.parquet(out)
 
 
+@register("q2_stream_documents", f"""
+WITH h AS (SELECT doc_id, sha256({_strip_sql('text')}) AS k FROM documents WHERE text IS NOT NULL),
+  f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS first_id FROM h)
+SELECT DISTINCT doc_id, first_id FROM f WHERE doc_id <> first_id""")
+def q2_stream_documents(spark, root):
+    """Documents arriving as a stream: each one whose text (type 1) another holds, with the first holder."""
+    out = incremental.stream_documents(spark, root, "documents.parquet")
+    return incremental.stream_repeats(spark, out).select("doc_id", "first_id")
+
+
 _A8_SQL = f"""{_PAIRS_SQL},
   m AS (SELECT 'd' || doc_a AS x, 'd' || doc_b AS y,
                ({S.ratio('covered_a', 'total_a')} + {S.ratio('covered_b', 'total_b')}) / 2.0 AS avg,

@@ -102,6 +102,35 @@ def n1_candidate_grid(spark, root):
     return so.candidate_grid(run_log(spark, root))
 
 
+# The grid of fingerprint parameters beside metric and threshold.
+KGRAMS, WINDOWS = [3, 5, 8, 13], [1, 2, 4, 8]
+
+
+@register("n1_parameter_grid", f"""{_LOG_SQL},
+  full_grid AS (SELECT m.metric, CAST(g.c AS DOUBLE) / 100 AS threshold, k.kgram, w."window"
+                FROM (VALUES {', '.join(f"('{m.upper()}')" for m in METRICS)}) m(metric),
+                     (VALUES {', '.join(f'({c})' for c in so.THRESHOLD_GRID_CENTS)}) g(c),
+                     (VALUES {', '.join(f'({k})' for k in KGRAMS)}) k(kgram),
+                     (VALUES {', '.join(f'({w})' for w in WINDOWS)}) w("window"))
+SELECT * FROM full_grid f WHERE NOT EXISTS (
+  SELECT 1 FROM log WHERE log.metric = f.metric AND round(log.threshold * 100) = round(f.threshold * 100)
+                          AND f.kgram = 5 AND f."window" = 4)""")
+def n1_parameter_grid(spark, root):
+    """Every untried combination of metric, threshold, k-gram length and window: four dimensions, all in the key."""
+    log = run_log(spark, root).select("metric", "threshold", F.lit(5).alias("kgram"), F.lit(4).alias("window"))
+    return so.parameter_grid({"metric": [m.upper() for m in METRICS], "threshold": [c / 100 for c in so.THRESHOLD_GRID_CENTS],
+                              "kgram": KGRAMS, "window": WINDOWS}, log)
+
+
+@register("n2_unknown_params", f"""{_LOG_SQL}
+SELECT metric, threshold, CAST(CASE metric WHEN 'MAX' THEN 0.0 WHEN 'AVG' THEN 1.0 ELSE 0.5 END AS DOUBLE) AS x_metric
+FROM log""")
+def n2_unknown_params(spark, root):
+    """A mapping that knows two of the log's categories; every other one takes the default in the middle."""
+    log = run_log(spark, root)
+    return log.select("metric", "threshold", so.encode_with_default(F.col("metric"), {"MAX": 0, "AVG": 1}, 0.5).alias("x_metric"))
+
+
 @register("n2_encode_params", f"""{_LOG_SQL}
 SELECT metric, threshold, x_metric, x_threshold FROM enc""")
 def n2_encode_params(spark, root):
@@ -207,6 +236,35 @@ def n11_local_slope(spark, root):
                     .alias("slope"))
 
 
+@register("n11_switch_effect", f"""{_LOG_SQL},
+  pz AS (SELECT l.metric, l.threshold, m.metric AS switched_to,
+                ((CASE m.metric {' '.join(f"WHEN '{k}' THEN {v}" for k, v in so.METRIC_ENCODE.items())} END) - mm) / sm AS zm,
+                (l.threshold - mt) / stt AS zt FROM log l, (SELECT DISTINCT metric FROM log) m, st),
+  e AS (SELECT p.metric, p.threshold, p.switched_to,
+               sum(exp(-((p.zm - o.z_metric) * (p.zm - o.z_metric) + (p.zt - o.z_threshold) * (p.zt - o.z_threshold))
+                       / (2.0 * {H} * {H})) * o.f1)
+               / sum(exp(-((p.zm - o.z_metric) * (p.zm - o.z_metric) + (p.zt - o.z_threshold) * (p.zt - o.z_threshold))
+                         / (2.0 * {H} * {H}))) AS mu
+        FROM pz p, obs o GROUP BY 1, 2, 3)
+SELECT a.metric, a.threshold, a.switched_to, round(a.mu - b.mu, 6) AS effect
+FROM e a JOIN e b ON b.metric = a.metric AND b.threshold = a.threshold AND b.switched_to = a.metric
+WHERE a.switched_to <> a.metric""")
+def n11_switch_effect(spark, root):
+    """Change of the local F1 estimate if a run takes another metric at its own threshold."""
+    log = run_log(spark, root)
+    enc = log.withColumn("x_metric", so.encode_metric(F.col("metric"))).withColumn("x_threshold", F.col("threshold"))
+    stats = so.standardize_stats(enc, ["x_metric", "x_threshold"])
+    arr = so.observed_array(so.standardize(enc, stats), ["z_x_metric", "z_x_threshold"], "f1")
+
+    def estimate(pts):
+        x = pts.withColumn("x_metric", so.encode_metric(F.col("metric"))).withColumn("x_threshold", F.col("threshold"))
+        return so.local_estimate(so.standardize(x, stats), arr, ["z_x_metric", "z_x_threshold"], H)
+
+    values = [r.metric for r in log.select("metric").distinct().orderBy("metric").collect()]  # the metrics of the log
+    out = so.switch_effect(log.select("metric", "threshold"), values, "metric", estimate)
+    return out.select("metric", "threshold", "switched_to", r6("effect").alias("effect"))
+
+
 @register("n12_usable_runs", f"""{_LOG_SQL}
 SELECT run_name, metric, threshold FROM log WHERE metric <> 'SUB_IN_ORIG'""")
 def n12_usable_runs(spark, root):

@@ -7,7 +7,8 @@ legal on a stream. Each micro-batch's pair coverage is written by
 ``foreachBatch`` into a folder named by the batch id, overwritten on retry,
 so a replayed batch never duplicates rows (idempotent sink).
 
-Q2 drops repeated texts within an event-time watermark.
+Q2 drops repeated events within an event-time watermark (``stream_dedup``)
+and reports documents whose text an earlier one holds (``stream_documents``).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
+from ..operators import exact
 from ..operators import fingerprint as fpo
 from ..sources.sinks import scratch_path
 
@@ -72,3 +74,60 @@ def stream_dedup(spark: SparkSession, folder: str, file_glob: str, key_cols: lis
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return out
+
+
+def stream_documents(spark: SparkSession, folder: str, file_glob: str, out: str | None = None,
+                     checkpoint: str | None = None, max_files: int | None = None, keep_batches: int | None = None) -> str:
+    """Q2 on documents: the first holder of every text (D2 digest: modulo comments and white space).
+
+    Each micro-batch writes two folders named by its id: ``out/holders`` gets the
+    digests not seen before with their first holder (the lowest doc_id of the
+    batch), ``out/repeats`` one row (doc_id, first_id) for each other document. A
+    batch reads only holders of *earlier* batches and overwrites its own folders,
+    so a replayed batch writes the same rows again. With ``keep_batches`` a
+    holder is forgotten that many batches later, which bounds the state.
+
+    A digest that a third of all documents share is one partial row a task in the
+    aggregation; the join back to the documents moves (doc_id, digest) alone, which
+    AQE may split. Null texts are in no group; rows that repeat a doc_id count as
+    one document. Returns ``out``; read the result with ``stream_repeats``.
+    """
+    out = out or scratch_path(spark, "stream-documents")
+    checkpoint = checkpoint or scratch_path(spark, "stream-documents-ckpt")
+    src = spark.readStream.schema(DOC_SCHEMA).option("pathGlobFilter", file_glob)
+    if max_files is not None:
+        src = src.option("maxFilesPerTrigger", max_files)
+    docs = src.parquet(folder).filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(
+        "doc_id", exact.digest_verbatim(F.col("text")).alias("digest"))
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        digests = f"{out}/digests/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(digests)  # texts are read and hashed once a batch
+        batch = session.read.parquet(digests)
+        mine = batch.groupBy("digest").agg(F.min("doc_id").alias("own_id"))
+        oldest = 0 if keep_batches is None else max(0, batch_id - keep_batches)
+        earlier = [f"{out}/holders/batch_id={k}" for k in range(oldest, batch_id)]
+        if earlier:
+            known = session.read.schema("digest string, first_id long").parquet(*earlier)
+            known = known.groupBy("digest").agg(F.min("first_id").alias("first_id"))
+            first = mine.join(known, "digest", "left")
+        else:
+            first = mine.withColumn("first_id", F.lit(None).cast("long"))
+        found = f"{out}/found/batch_id={batch_id}"
+        first.write.mode("overwrite").parquet(found)
+        first = session.read.parquet(found)
+        first.filter("first_id IS NULL").select("digest", F.col("own_id").alias("first_id")).write.mode("overwrite").parquet(
+            f"{out}/holders/batch_id={batch_id}")
+        held = first.select("digest", F.coalesce("first_id", "own_id").alias("first_id"))
+        batch.join(held, "digest").filter("doc_id <> first_id").select("doc_id", "first_id").distinct().write.mode(
+            "overwrite").parquet(f"{out}/repeats/batch_id={batch_id}")
+
+    q = docs.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return out
+
+
+def stream_repeats(spark: SparkSession, out: str) -> DataFrame:
+    """(doc_id, first_id, batch_id) of ``stream_documents``."""
+    return spark.read.schema("doc_id long, first_id long, batch_id int").parquet(f"{out}/repeats")

@@ -112,3 +112,19 @@ def test_erf_polynomial_accuracy(spark):
     got = [r["e"] for r in df.select(so.erf(F.col("x")).alias("e")).collect()]
     for x, g in zip(xs, got):
         assert abs(g - math.erf(x)) < 2e-7
+
+
+def test_parameter_grid(spark):
+    from itertools import product
+
+    from tessera.operators import search as so
+
+    dims = {"m": ["x", "y"], "t": [0.05, 0.29, 0.57], "k": [3, 5], "on": [True, False]}
+    tried = spark.createDataFrame([("x", 0.29000000001, 5, True), ("y", 0.05, 3, False), ("y", 0.05, 3, False), ("z", 0.05, 3, True),
+                                   (None, 0.05, 3, True)], "m string, t double, k int, on boolean")
+    want = set(product(*dims.values())) - {("x", 0.29, 5, True), ("y", 0.05, 3, False)}
+    rows = [tuple(r) for r in so.parameter_grid(dims, tried).collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert so.parameter_grid({**dims, "k": []}, tried).count() == 0
+    assert so.parameter_grid({**dims, "k": [3, 3, 5]}, tried).count() == len(want)
+    assert so.parameter_grid(dims, tried.limit(0)).count() == 24
