@@ -9,10 +9,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
+from .evaluate import auc
 
 SENTENCE_SPLIT = r"(?<=[.!?])\s+"
 
@@ -21,8 +22,13 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _mark(seed: int, *cols: Column) -> Column:
+    """md5 (hex) of seed and values: any engine can make the same choice."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols]))
+
+
 def _pick(seed: int, *cols: Column, every: int = 3) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(every)) == 0
+    return F.conv(F.substring(_mark(seed, *cols), 1, 7), 16, 10).cast("int") % every == 0
 
 
 def variant_verbatim(text, seed: int = 1) -> Column:
@@ -55,7 +61,7 @@ def variant_insert(text, seed: int = 3) -> Column:
 def variant_reorder(text, seed: int = 4) -> Column:
     """Reordering of independent blocks: sentences sorted by a seeded hash."""
     sents = F.split(_c(text), SENTENCE_SPLIT)
-    keyed = F.transform(sents, lambda s: F.struct(F.xxhash64(F.lit(seed), s).alias("k"), s.alias("s")))
+    keyed = F.transform(sents, lambda s: F.struct(_mark(seed, s).alias("k"), s.alias("s")))
     return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["s"]), " ")
 
 
@@ -107,3 +113,28 @@ def all_variants(df: DataFrame, id_col: str, text_col: str = "text") -> DataFram
 def robustness(scores: DataFrame, keys: list[str], score: str = "similarity") -> DataFrame:
     """Median score and count per (method, variant)."""
     return scores.groupBy(*keys).agg(F.percentile(score, 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
+
+
+def matched_negatives(items: DataFrame, id_col: str, size_col: str, same_col: str) -> DataFrame:
+    """(id, other_id): for each item another one of its size class (sizes with as
+    many binary digits), the next by id and after the last the first. Items alone in
+    their class, and those whose neighbour has the same ``same_col``, have none."""
+    x = items.select(F.col(id_col).alias("id"), F.col(same_col).alias("_same"), F.length(F.bin(F.col(size_col))).alias("_class"))
+    w = Window.partitionBy("_class").orderBy("id")
+    who = F.struct("id", "_same")
+    first = F.first(who).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    x = x.withColumn("_o", F.coalesce(F.lead(who).over(w), first))
+    return x.filter((F.col("id") != F.col("_o.id")) & ~F.col("_same").eqNullSafe(F.col("_o._same"))).select(
+        "id", F.col("_o.id").alias("other_id"))
+
+
+def separation(scores: DataFrame, keys: list[str], score: str = "similarity", positive: str = "positive") -> DataFrame:
+    """How far positives stand above negatives, per key: counts, both medians, their
+    gap and the AUC (null without one of the two classes)."""
+    y = F.col(positive)
+    med = scores.groupBy(*keys).agg(
+        F.count_if(y).alias("n_positive"), F.count_if(~y).alias("n_negative"),
+        F.percentile(F.when(y, F.col(score)), 0.5).alias("median_positive"),
+        F.percentile(F.when(~y, F.col(score)), 0.5).alias("median_negative"))
+    med = med.withColumn("gap", F.col("median_positive") - F.col("median_negative"))
+    return med.join(auc(scores, keys, score, positive), keys)

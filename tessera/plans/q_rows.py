@@ -13,6 +13,7 @@ from ..operators import structure as st
 from ..operators import variants as va
 from ..operators.tiling import greedy_tiling
 from ..operators.tokens import segment_blocks, token_positions
+from ..session import cut_lineage
 from ..sources import reports, sinks
 from ..sources.tables import table
 from ..streaming import incremental
@@ -161,18 +162,53 @@ def f6_graph_label_similarity(spark, root):
 
 def _variant_scores(spark, root):
     """Coverage (k=5, w=4) of every benchmark item by each of its variants."""
-    b = table(spark, root, "benchmark")
-    v = va.all_variants(b, "item_id")
-    orig = detect.doc_hash_table(b.select(F.col("item_id").alias("doc_id"), F.col("item_id"),
-                                          word_tokens("text").alias("tokens")), keep=("item_id",))
-    var = detect.doc_hash_table(v.select(F.concat_ws(":", F.col("item_id").cast("string"), "variant").alias("doc_id"),
-                                         "item_id", "variant", word_tokens("text").alias("tokens")),
-                                keep=("item_id", "variant"))
-    p = fpo.anchor_candidates(orig, var, scope=("item_id",))
-    p = fpo.apply_metric(p, "orig_in_sub", "similarity")
-    keys = v.select(F.concat_ws(":", F.col("item_id").cast("string"), "variant").alias("sub_id"), "item_id", "variant")
-    return keys.join(p.select("sub_id", "similarity"), "sub_id", "left").fillna(0.0, ["similarity"])
-
+    s = _separation_scores(spark, root).filter("positive AND method = 'fingerprint'")
+    return s.select("item_id", "variant", "similarity")
+
+
+def _separation_scores(spark, root):
+    """(method, variant, item_id, other_id, positive, similarity): every variant against its original and
+    against another item of about its size, by fingerprint coverage and by common words."""
+    b = table(spark, root, "benchmark").select("item_id", "text", word_tokens("text").alias("tokens"))
+    v = cut_lineage(va.all_variants(b, "item_id").select(
+        "item_id", "variant", F.concat_ws(":", F.col("item_id").cast("string"), "variant").alias("doc_id"),
+        word_tokens("text").alias("tokens")))
+    other = va.matched_negatives(b.withColumn("n", F.size("tokens")), "item_id", "n", "text")
+    pairs = b.select("item_id", F.col("item_id").alias("other_id"), F.lit(True).alias("positive")).unionByName(
+        other.select(F.col("id").alias("item_id"), "other_id", F.lit(False).alias("positive")))
+    keys = v.select("item_id", "variant", "doc_id").join(cut_lineage(pairs), "item_id")
+    orig = detect.doc_hash_table(b.select(F.col("item_id").alias("doc_id"), F.col("item_id").alias("other_id"), "tokens"),
+                                 keep=("other_id",))
+    var = detect.doc_hash_table(v).join(keys.select("doc_id", "other_id"), "doc_id")
+    p = fpo.apply_metric(fpo.anchor_candidates(orig, var, scope=("other_id",)), "orig_in_sub", "similarity")
+    by_fp = keys.join(p.select(F.col("sub_id").alias("doc_id"), "other_id", "similarity"), ["doc_id", "other_id"], "left")
+    words = v.select("doc_id", F.array_distinct("tokens").alias("_v"))
+    theirs = b.select(F.col("item_id").alias("other_id"), F.array_distinct("tokens").alias("_o"))
+    both = F.size(F.array_union("_v", "_o"))
+    by_words = keys.join(words, "doc_id").join(theirs, "other_id").withColumn(
+        "similarity", fpo.ratio(F.size(F.array_intersect("_v", "_o")), both))
+    cols = ("variant", "item_id", "other_id", "positive")
+    return by_fp.fillna(0.0, ["similarity"]).select(F.lit("fingerprint").alias("method"), *cols, "similarity").unionByName(
+        by_words.select(F.lit("words").alias("method"), *cols, "similarity"))
+
+
+_SENTS = "string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(30), 'g'), chr(30))"
+
+
+def _pick_sql(seed, args, every=3):
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', {args})), 1, 7) AS INTEGER) % {every} = 0"
+
+
+_VARIANT_SQL = {
+    "verbatim": f"""array_to_string(list_transform({_SENTS}, lambda s, i: CASE WHEN {_pick_sql(1, 's, CAST(i - 1 AS VARCHAR)')}
+                    THEN s || ' // note' || chr(10) ELSE replace(s, ' ', '  ') END), ' ')""",
+    "rename": f"""array_to_string(list_transform({S.word_tokens('text')}, lambda t: CASE WHEN {_pick_sql(2, 't', 4)}
+                  THEN 'v' || substr(md5('2' || t), 1, 6) ELSE t END), ' ')""",
+    "insert": f"""array_to_string(flatten(list_transform({_SENTS}, lambda s, i: CASE WHEN {_pick_sql(3, 's, CAST(i - 1 AS VARCHAR)')}
+                  THEN [s, 'x' || substr(md5(s), 1, 5) || ' y' || substr(md5(s), 6, 5) || '.'] ELSE [s] END)), ' ')""",
+    "reorder": f"""array_to_string(list_transform(list_sort(list_transform({_SENTS}, lambda s: md5(concat_ws('|', '4', s)) || s)),
+                   lambda x: substr(x, 33)), ' ')""",
+}
 
 for _k, _name in (("p1_variant_verbatim", "verbatim"), ("p2_variant_rename", "rename"),
                   ("p3_variant_insert", "insert"), ("p4_variant_reorder", "reorder")):
@@ -182,7 +218,44 @@ for _k, _name in (("p1_variant_verbatim", "verbatim"), ("p2_variant_rename", "re
             return b.select("item_id", va.VARIANTS[name]("text").alias("text"))
         fn.__doc__ = f"Seeded '{name}' variant of every benchmark text."
         return fn
-    register(_k)(_mk(_name))
+    register(_k, f"SELECT item_id, {_VARIANT_SQL[_name]} AS text FROM benchmark")(_mk(_name))
+
+_P6_SQL = f"""
+WITH v AS ({' UNION ALL '.join(f"SELECT item_id, '{k}' AS variant, {e} AS text FROM benchmark" for k, e in _VARIANT_SQL.items())}),
+{S.fingerprint_ctes('o', 'benchmark', 'item_id', S.word_tokens('text'), 5, 4)},
+{S.fingerprint_ctes('s', 'v', "CAST(item_id AS VARCHAR) || ':' || variant", S.word_tokens('text'), 5, 4)},
+  size AS (SELECT item_id, text, length(bin(len({S.word_tokens('text')}))) AS c FROM benchmark),
+  nxt AS (SELECT *, coalesce(lead(item_id) OVER w, first_value(item_id) OVER w) AS other_id,
+                 coalesce(lead(text) OVER w, first_value(text) OVER w) AS other_text
+          FROM size WINDOW w AS (PARTITION BY c ORDER BY item_id)),
+  pr AS (SELECT item_id, item_id AS other_id, TRUE AS positive FROM benchmark
+         UNION ALL SELECT item_id, other_id, FALSE FROM nxt WHERE item_id <> other_id AND text IS DISTINCT FROM other_text),
+  vp AS (SELECT v.*, other_id, positive, CAST(v.item_id AS VARCHAR) || ':' || variant AS k FROM v JOIN pr USING (item_id)),
+  cov AS (SELECT vp.k, vp.other_id, sum(o.n_pos) / max(o.n_fp) AS sim
+          FROM vp JOIN s_dh s ON s.doc_id = vp.k JOIN o_dh o ON o.h = s.h AND o.doc_id = vp.other_id GROUP BY 1, 2),
+  wd AS (SELECT vp.*, list_distinct({S.word_tokens('vp.text')}) AS a, list_distinct({S.word_tokens('b.text')}) AS b
+         FROM vp JOIN benchmark b ON b.item_id = vp.other_id),
+  sc AS (SELECT 'fingerprint' AS method, variant, positive, coalesce(sim, 0.0) AS similarity
+         FROM vp LEFT JOIN cov ON cov.k = vp.k AND cov.other_id = vp.other_id
+         UNION ALL SELECT 'words', variant, positive,
+                {S.ratio('len(list_intersect(a, b))', 'len(list_distinct(list_concat(a, b)))')} FROM wd)"""
+
+
+@register("p6_separation", f"""{_P6_SQL},
+  med AS (SELECT method, variant, CAST(count_if(positive) AS BIGINT) AS n_positive, CAST(count_if(NOT positive) AS BIGINT) AS n_negative,
+                 quantile_cont(similarity, 0.5) FILTER (WHERE positive) AS mp,
+                 quantile_cont(similarity, 0.5) FILTER (WHERE NOT positive) AS mn FROM sc GROUP BY 1, 2),
+  au AS (SELECT p.method, p.variant, sum(CASE WHEN p.similarity > n.similarity THEN 1.0 WHEN p.similarity = n.similarity THEN 0.5
+                                              ELSE 0.0 END) / count(*) AS auc
+         FROM sc p JOIN sc n ON n.method = p.method AND n.variant = p.variant AND p.positive AND NOT n.positive GROUP BY 1, 2)
+SELECT method, variant, n_positive, n_negative, round(mp, 6) AS median_positive, round(mn, 6) AS median_negative,
+       round(mp - mn, 6) AS gap, round(CAST(auc AS DOUBLE), 6) AS auc
+FROM med LEFT JOIN au USING (method, variant)""")
+def p6_separation(spark, root):
+    """Medians, gap and AUC of variants against their originals and against other items, per method and variant."""
+    s = va.separation(_separation_scores(spark, root), ["method", "variant"])
+    return s.select("method", "variant", "n_positive", "n_negative",
+                    *[F.round(c, 6).alias(c) for c in ("median_positive", "median_negative", "gap", "auc")])
 
 
 @register("p5_variant_rewrite_loops")
@@ -191,7 +264,9 @@ def p5_variant_rewrite_loops(spark, root):
     return table(spark, root, "pages").select("page_id", va.variant_rewrite_loops("html").alias("html"))
 
 
-@register("p6_robustness")
+@register("p6_robustness", f"""{_P6_SQL}
+SELECT method, variant, quantile_cont(similarity, 0.5) AS median, count(*) AS n FROM sc
+WHERE positive AND method = 'fingerprint' GROUP BY 1, 2""")
 def p6_robustness(spark, root):
     """Median ORIG_IN_SUB of each variant against its original, per variant."""
     s = _variant_scores(spark, root).withColumn("method", F.lit("fingerprint"))
