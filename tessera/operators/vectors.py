@@ -125,3 +125,73 @@ def similar_vectors(df: DataFrame, tau: float, id_col: str = "vec_id", vec_col:
     j = j.select("id_a", "id_b", cosine("a", "b").alias("cosine")).filter(F.col("cosine") >= tau)
     return j.dropDuplicates(["id_a", "id_b"])
 
+
+
+QUERY_BYTES = 8 << 20  # size of a block of query vectors
+
+
+def search_vectors(df: DataFrame, queries: DataFrame, tau: float, id_col: str = "vec_id", vec_col: str = "embedding",
+                   block_bytes: int = QUERY_BYTES) -> DataFrame:
+    """H6 as an exact search: (query_id, id, cosine) for every row of ``df`` and every
+    query with cosine >= tau, a row and the query of its own id left out.
+
+    The queries are a stated set. They are dealt into blocks of about
+    ``block_bytes`` by a hash of the id; a block (its size bounded, whatever the
+    number of queries) is broadcast as one matrix, and the rows pass it in Arrow
+    batches, a slice of rows at a time, without a shuffle. Only pairs above tau
+    leave a task. Null vectors and ids match nothing, a zero vector has cosine 0, as
+    has one of another length than the query.
+    """
+    spark = df.sparkSession
+    q = queries.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v")).filter(
+        F.col("id").isNotNull() & F.col("v").isNotNull())
+    total = q.agg(F.coalesce(F.sum(F.size("v").cast("long") * 8 + 16), F.lit(0))).first()[0]
+    n = max(1, -(-int(total) // block_bytes))
+    part = F.pmod(F.xxhash64("id"), F.lit(n))
+    rows = df.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v")).filter(
+        F.col("id").isNotNull() & F.col("v").isNotNull())
+    schema = f"query_id {rows.schema['id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, cosine double"
+    out = None
+    for k in range(n):  # each collect is bounded by block_bytes
+        block = q.filter(part == k).collect()
+        by_len = {}
+        for r in block:
+            by_len.setdefault(len(r.v), []).append(r)
+        mats = {d: (np.array([r.id for r in rs]), _unit(np.array([r.v for r in rs], dtype="float64").reshape(len(rs), d)))
+                for d, rs in by_len.items()}
+        found = rows.mapInArrow(_search(spark.sparkContext.broadcast(mats), tau), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    m = np.nan_to_num(m)  # a null element counts as 0
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _search(block, tau: float, cells: int = 4_000_000):
+    import pyarrow as pa
+
+    def run(batches):
+        mats = block.value
+        for b in batches:
+            ids, vecs = b.column(0), b.column(1)
+            flat = vecs.flatten().to_numpy(zero_copy_only=False).astype("float64")
+            size = vecs.value_lengths().to_numpy(zero_copy_only=False)
+            start = np.concatenate([[0], np.cumsum(size)])[:-1]
+            for d, (q_ids, m) in mats.items():
+                at = np.flatnonzero(size == d)
+                step = max(1, cells // max(len(q_ids), 1))  # rows whose scores are held at a time
+                for lo in range(0, len(at), step):
+                    own = at[lo:lo + step]
+                    x = _unit(flat[start[own][:, None] + np.arange(d)[None, :]].reshape(len(own), d))
+                    cos = np.maximum(x @ m.T, 0.0)
+                    i, j = np.nonzero(cos >= tau)
+                    row_ids = ids.take(pa.array(own[i]))
+                    keep = row_ids.to_numpy(zero_copy_only=False) != q_ids[j]
+                    i, j = i[keep], j[keep]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(q_ids[j]).cast(b.schema.field(0).type), ids.take(pa.array(own[i])), pa.array(cos[i, j])],
+                        names=["query_id", "id", "cosine"])
+    return run

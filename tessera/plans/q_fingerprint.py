@@ -6,7 +6,7 @@ import uuid
 
 from . import detect
 from . import sqlparts as S
-from .registry import register
+from .registry import ORACLES, register
 
 _E7_SQL = f"""
 WITH {S.fingerprint_ctes('o', 'benchmark', 'item_id', S.word_tokens('text'), 5, 4)},
@@ -118,6 +118,19 @@ def e5_drop_common(spark, root):
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept_hashes"), F.sum("n_pos").alias("kept_positions"))
 
 
+@register("e5_drop_template", f"""
+WITH {S.fingerprint_ctes('s', 'documents', 'doc_id', _WT, 5, 4)},
+{S.fingerprint_ctes('o', 'benchmark', 'item_id', _WT, 5, 4)}
+SELECT doc_id, count(*) AS kept_hashes, CAST(sum(n_pos) AS BIGINT) AS kept_positions, max(n_fp) AS n_fp
+FROM s_dh WHERE h NOT IN (SELECT h FROM o_dh) GROUP BY doc_id""")
+def e5_drop_template(spark, root):
+    """Fingerprints kept per document once those of a template (here every benchmark text) are dropped."""
+    dh = detect.doc_hash_table(detect.word_docs(spark, root))
+    kept = fpo.drop_common(dh, template=detect.doc_hash_table(detect.word_docs(spark, root, "benchmark", "item_id")))
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept_hashes"), F.sum("n_pos").alias("kept_positions"),
+                                      F.max("n_fp").alias("n_fp"))
+
+
 MIN_COMBINED = 0.3  # similarity from which a pair of documents is reported
 
 
@@ -175,36 +188,27 @@ def e6_text_classes(spark, root):
     return fpo.text_classes(doc_hashes(spark, root))
 
 
-@register("e8_apply_metric", f"""{_PAIRS_SQL}
-SELECT doc_a, doc_b, covered_a, covered_b, total_a, total_b,
-       {S.r6(S.ratio('covered_a + covered_b', 'total_a + total_b'))} AS combined,
-       {S.r6(f"greatest({S.ratio('covered_a', 'total_a')}, {S.ratio('covered_b', 'total_b')})")} AS max_sim,
-       {S.r6(f"({S.ratio('covered_a', 'total_a')} + {S.ratio('covered_b', 'total_b')}) / 2.0")} AS avg_sim,
-       {S.r6(f"{S.ratio('covered_a', 'total_a')} * {S.ratio('covered_b', 'total_b')}")} AS product_sim
-FROM pairs""")
-def e8_apply_metric(spark, root):
-    """COMBINED / MAX / AVG / PRODUCT on the coverage of every pair with COMBINED >= 0.3."""
-    return _all_metrics(doc_pairs(spark, root))
-
-
 # with max_pairs: pairs of which either side is covered enough, for the queries that report one-sided coverage
 _MAX_PAIRS_SQL = f"""{_PAIRS_SQL},
   max_pairs AS (SELECT * FROM cand
                 WHERE greatest({S.ratio('covered_a', 'total_a')}, {S.ratio('covered_b', 'total_b')}) >= 0.3)"""
 
 
-@register("e8_apply_metric_max", f"""{_MAX_PAIRS_SQL}
+@register("e8_apply_metric", f"""{_MAX_PAIRS_SQL}
 SELECT doc_a, doc_b, covered_a, covered_b, total_a, total_b,
        {S.r6(S.ratio('covered_a + covered_b', 'total_a + total_b'))} AS combined,
        {S.r6(f"greatest({S.ratio('covered_a', 'total_a')}, {S.ratio('covered_b', 'total_b')})")} AS max_sim,
        {S.r6(f"({S.ratio('covered_a', 'total_a')} + {S.ratio('covered_b', 'total_b')}) / 2.0")} AS avg_sim,
        {S.r6(f"{S.ratio('covered_a', 'total_a')} * {S.ratio('covered_b', 'total_b')}")} AS product_sim
 FROM max_pairs""")
-def e8_apply_metric_max(spark, root):
-    """The four metrics of every pair with MAX >= 0.3, a short text inside a long one included."""
+def e8_apply_metric(spark, root):
+    """COMBINED / MAX / AVG / PRODUCT of every pair with MAX >= 0.3, a short text inside a long one included."""
     return _all_metrics(doc_pairs(spark, root, metric="max"))
 
 
+register("e8_apply_metric_max", ORACLES["e8_apply_metric"])(e8_apply_metric)  # the name it had beside a narrower query
+
+
 def _all_metrics(p):
     for m, name in (("combined", "combined"), ("max", "max_sim"), ("avg", "avg_sim"), ("product", "product_sim")):
         p = fpo.apply_metric(p, m, name).withColumn(name, F.round(name, 6))

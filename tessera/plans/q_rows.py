@@ -19,7 +19,7 @@ from ..sources.tables import table
 from ..streaming import incremental
 from . import detect
 from . import sqlparts as S
-from .q_fingerprint import _MAX_PAIRS_SQL, _PAIRS_SQL, doc_pairs
+from .q_fingerprint import _MAX_PAIRS_SQL, doc_pairs
 from .q_runs import R_EVENTS, event_grams
 from .q_tokens import _strip_sql
 from .registry import register
@@ -308,10 +308,10 @@ def q2_stream_documents(spark, root):
     return incremental.stream_repeats(spark, out).select("doc_id", "first_id")
 
 
-_A8_SQL = f"""{_PAIRS_SQL},
+_A8_SQL = f"""{_MAX_PAIRS_SQL},
   m AS (SELECT 'd' || doc_a AS x, 'd' || doc_b AS y,
                ({S.ratio('covered_a', 'total_a')} + {S.ratio('covered_b', 'total_b')}) / 2.0 AS avg,
-               greatest({S.ratio('covered_a', 'total_a')}, {S.ratio('covered_b', 'total_b')}) AS max FROM pairs)
+               greatest({S.ratio('covered_a', 'total_a')}, {S.ratio('covered_b', 'total_b')}) AS max FROM max_pairs)
 SELECT x AS first, y AS second, avg, max FROM m UNION ALL SELECT y, x, avg, max FROM m"""
 
 
@@ -326,8 +326,8 @@ def _comparison_json(spark, p):
 
 @register("a8_read_comparison_json", _A8_SQL)
 def a8_read_comparison_json(spark, root):
-    """Nested comparison JSON (similarities map) written from candidate pairs, read back in both orderings."""
-    return _comparison_json(spark, doc_pairs(spark, root))
+    """Nested comparison JSON (similarities map) of every pair with MAX >= 0.3, read back in both orderings."""
+    return _comparison_json(spark, doc_pairs(spark, root, metric="max"))
 
 
 @register("a8_read_comparison_json_max", f"""{_MAX_PAIRS_SQL},
@@ -340,7 +340,28 @@ def a8_read_comparison_json_max(spark, root):
     return _comparison_json(spark, doc_pairs(spark, root, metric="max"))
 
 
-@register("a9_read_text_report")
+_A9_COV = f"""
+WITH {S.fingerprint_ctes('o', 'benchmark', 'item_id', S.word_tokens('text'), 5, 4)},
+{S.fingerprint_ctes('s', 'documents', 'doc_id', S.word_tokens('text'), 5, 4)},
+  cov AS (SELECT s.doc_id, o.doc_id AS item_id, round({S.ratio('sum(o.n_pos)', 'max(o.n_fp)')}, 6) AS a,
+                 round({S.ratio('sum(s.n_pos)', 'max(s.n_fp)')}, 6) AS b
+          FROM o_dh o JOIN s_dh s ON o.h = s.h GROUP BY 1, 2)"""
+
+
+@register("a9_read_record_report", f"""{_A9_COV}
+SELECT 'b' || item_id || '.txt' AS file_a, 'd' || doc_id || '.txt' AS file_b, a AS sim_a, b AS sim_b FROM cov""")
+def a9_read_record_report(spark, root):
+    """Records between rules (File A/B, Similarity A/B) written from the benchmark coverage, parsed back."""
+    cov = detect.anchor_coverage(spark, root)
+    path = sinks.scratch_path(spark, "records")
+    rec = F.format_string("File A: b%d.txt\nFile B: d%d.txt\nSimilarity A: %.6f\nSimilarity B: %.6f\n==========",
+                          "item_id", "doc_id", "orig_in_sub", "sub_in_orig")
+    cov.select(rec.alias("value")).write.text(path)
+    return reports.read_record_report(spark, path)
+
+
+@register("a9_read_text_report", f"""{_A9_COV}
+SELECT 'd' || doc_id AS x, 'b' || item_id AS y, round(b * 100, 2) / 100.0 AS fraction FROM cov""")
 def a9_read_text_report(spark, root):
     """'X consists for N % of Y material' lines written from the benchmark coverage, parsed back."""
     cov = detect.anchor_coverage(spark, root)
@@ -367,3 +388,22 @@ def a10_read_blocks(spark, root):
     path = sinks.scratch_path(spark, "blocks")
     j.select(F.concat_ws("@#@", header, metrics, F.lit("")).alias("value")).write.text(path)
     return reports.read_blocks(spark, path)
+
+
+@register("a10_read_clone_pairs", f"""
+WITH b AS (SELECT * FROM ({_B9_SQL})),
+  g AS (SELECT n_tokens, depth, min((doc_id, start_pos, start_line, end_line)) AS f FROM b GROUP BY 1, 2)
+SELECT 'pages' AS folder1, CAST(f[1] AS VARCHAR) AS file1, f[3] AS start1, f[4] AS end1,
+       'pages' AS folder2, CAST(b.doc_id AS VARCHAR) AS file2, b.start_line AS start2, b.end_line AS end2
+FROM b JOIN g USING (n_tokens, depth) WHERE (b.doc_id, b.start_pos) <> (f[1], f[2])""")
+def a10_read_clone_pairs(spark, root):
+    """Clone pair lines (each block of the pages with the first one of its size and depth) written, parsed back."""
+    toks = token_positions(table(spark, root, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
+    b = cut_lineage(segment_blocks(toks))
+    first = b.groupBy("n_tokens", "depth").agg(F.min(F.struct("doc_id", "start_pos", "start_line", "end_line")).alias("f"))
+    pairs = b.join(first, ["n_tokens", "depth"]).filter(
+        (F.col("doc_id") != F.col("f.doc_id")) | (F.col("start_pos") != F.col("f.start_pos")))
+    path = sinks.scratch_path(spark, "clone-pairs")
+    pairs.select(F.concat_ws(",", F.lit("pages"), "f.doc_id", "f.start_line", "f.end_line", F.lit("pages"), "doc_id",
+                             "start_line", "end_line").alias("value")).write.text(path)
+    return reports.read_clone_pairs(spark, path)

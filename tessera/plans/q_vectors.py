@@ -94,6 +94,16 @@ def h6_similar_vectors(spark, root):
     return vo.similar_vectors(table(spark, root, "embeddings"), 0.3)
 
 
+@register("h6_vector_search", """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[64] AS e FROM embeddings)
+SELECT q.vec_id AS query_id, v.vec_id AS id, round(array_cosine_similarity(q.e, v.e), 6) AS cosine
+FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 AND array_cosine_similarity(q.e, v.e) >= 0.3""")
+def h6_vector_search(spark, root):
+    """Every vector with cosine >= 0.3 to a query vector (ids divisible by 20), exactly."""
+    e = table(spark, root, "embeddings")
+    return vo.search_vectors(e, e.filter("vec_id % 20 = 0"), 0.3).withColumn("cosine", F.round("cosine", 6))
+
+
 # ---- judging -------------------------------------------------------------
 def _judge_pairs(spark, root):
     cov = detect.anchor_coverage(spark, root).select("item_id", "doc_id")
