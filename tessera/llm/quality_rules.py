@@ -119,7 +119,7 @@ def apply_policy(led: DataFrame, policy: str = "v1") -> DataFrame:
 def ablation(led: DataFrame, policy: str = "v1") -> DataFrame:
     """Per rule of the policy: texts that fail it, and texts that only it
     rejects (they return if the rule is dropped). The ledger is first
-    aggregated to its distinct masks (at most 2^rules rows)."""
+    aggregated to its distinct masks (at most 2^rules rows); an empty one gives no rows."""
     masks = led.groupBy(F.col("fail_bits").bitwiseAND(F.lit(mask(policy))).alias("m")).agg(F.count("*").alias("n"))
     rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(BIT[r]).alias("bit"))
                                 for r in POLICIES[policy]])).alias("r")

@@ -111,3 +111,24 @@ def test_mix_meets_exact_budgets(spark, seed):
         assert abs(sum(x.taken for x in own) - want[s]) < 1.001
         assert all(0 <= x.taken <= 2 * x.size for x in own)
     assert mix(docs.limit(0)).count() == 0
+
+
+def test_rule_ablation_of_odd_texts(spark, tmp_path):
+    """Null, empty, repeated and symbol-only texts: the report from the written ledger equals a plain count."""
+    from tessera.llm.q_rules import quality_rule_ablation
+    from tessera.llm.quality_rules import BIT, POLICIES, ledger
+
+    rows = [(1, None), (2, ""), (2, ""), (3, "a b c d e " * 6), (4, "# $ % & * a"), (5, "x" * 900), (6, "one two\none two\none two"),
+            (None, " ".join(f"word{k}" for k in range(40)))]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, fail_bits int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bits = [r.fail_bits for r in ledger(docs).collect()]
+    got = {(r.policy, r.rule): (r.n_failed, r.n_only_this_rule, r.n_rejected) for r in quality_rule_ablation(spark, str(tmp_path)).collect()}
+    want = {}
+    for policy, rules in POLICIES.items():
+        own = [b & sum(BIT[r] for r in rules) for b in bits]
+        for r in rules:
+            want[policy, r] = (sum(b & BIT[r] != 0 for b in own), sum(b == BIT[r] for b in own), sum(b != 0 for b in own))
+    assert got == want and any(w[1] for w in want.values())
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert quality_rule_ablation(spark, f"{tmp_path}/none").count() == 0
