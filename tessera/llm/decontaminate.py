@@ -13,7 +13,7 @@ four) start some test suffix. All others cannot match and are not sorted.
 The benchmark is the stated query set. It is cut into blocks of at most about
 ``BLOCK_BYTES`` of text by a hash of the item, each block is broadcast by
 itself, and documents pass block after block in the same task without a
-shuffle; every fourth block the state is written down.
+shuffle; every fourth block the state is written down and the blocks are freed.
 
 Words are lower-cased (A-Z only) ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
 
@@ -39,7 +39,7 @@ from .common import guarded, written
 
 WINDOW = 13
 HEAD = 4
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_SUFFIXES = 400_000
 THRESHOLD = (1, 20)     # contaminated: hit words are at least 1/20 of all
 
@@ -60,41 +60,40 @@ class TestSuffixes:
     def __init__(self, ids: list[str], texts: list[str | None], window: int = WINDOW):
         self.window, self.ids = window, sorted(set(ids))
         number = {x: k for k, x in enumerate(self.ids)}
-        parts, item, offset, length = [], [], [], []
-        for lo, buf, offs in vec.text_arrays(pa.array(texts, pa.string())):
-            codes, first = _codes(buf, offs)
-            for d in range(len(offs) - 1):
-                w = codes[first[d]:first[d + 1]]
-                if not len(w):
-                    continue
-                n = min(window, len(w))
-                full = np.zeros((len(w) - n + 1, window), np.uint64)
-                full[:, :n] = np.lib.stride_tricks.sliding_window_view(w, n)
-                parts.append(full)
-                item.append(np.full(len(full), number[ids[lo + d]]))
-                offset.append(np.arange(len(full)))
-                length.append(np.full(len(full), n))
-        if not parts:
-            self.size = 0
+        texts = [(ids[lo + d], codes[first[d]:first[d + 1]]) for lo, buf, offs in vec.text_arrays(pa.array(texts, pa.string()))
+                 for codes, first in [_codes(buf, offs)] for d in range(len(offs) - 1)]
+        texts = [(i, w) for i, w in texts if len(w)]
+        self.size = 0
+        if not texts:
             return
-        codes, self.item, self.offset, length = (np.concatenate(x) for x in (parts, item, offset, length))
-        used = np.arange(window)[None, :] < length[:, None]
-        self.vocabulary = np.unique(codes[used])
-        keys = self.keys(codes, used)
-        upper = np.where(used[:, :, None], self.bytes_of(codes, used), 255).astype(np.uint8)
-        both = np.concatenate([keys.view(np.uint8).reshape(len(keys), -1), length[:, None].astype(np.uint8)], axis=1)
-        _, at, self.window_of = np.unique(np.ascontiguousarray(both).view(f"S{both.shape[1]}").ravel(),
-                                          return_index=True, return_inverse=True)
-        self.low, self.length = keys[at], length[at]
-        self.high = np.ascontiguousarray(upper[at].reshape(len(at), -1)).view(f"S{4 * window}").ravel()
+        # words as four-byte numbers from the start: a window is then 52 bytes, its own key
+        self.vocabulary = np.unique(np.concatenate([w for _, w in texts]))
+        wide = np.array([min(window, len(w)) for _, w in texts])
+        many = np.array([len(w) for _, w in texts]) - wide + 1
+        words = np.zeros((int(many.sum()), window), ">u4")
+        for (_, w), at, m, n in zip(texts, np.cumsum(many) - many, many, wide):
+            numbers = (np.searchsorted(self.vocabulary, w) + 1).astype(">u4")
+            words[at:at + m, :n] = np.lib.stride_tricks.sliding_window_view(numbers, n)
+        self.item = np.repeat(np.array([number[i] for i, _ in texts], np.int32), many)
+        self.offset = vec.ranges(np.zeros(len(many), np.int64), many).astype(np.int32)
+        # unused places are 0 and no word is, so equal keys have equal lengths
+        keys = words.view(np.uint8).reshape(len(words), -1).view(f"S{4 * window}").ravel()
+        self.low, at, self.window_of = np.unique(keys, return_index=True, return_inverse=True)
+        self.window_of = self.window_of.astype(np.int32)
+        self.length = np.repeat(wide, many)[at].astype(np.int32)
         self.size = len(at)
+        # a full window is its own upper end; that of a shorter one ends in 0xFF
+        self.short = np.flatnonzero(self.length < window)
+        high = words[at[self.short]]
+        high[np.arange(window)[None, :] >= self.length[self.short][:, None]] = 0xFFFFFFFF
+        self.short_high = high.view(np.uint8).reshape(len(high), 4 * window).view(f"S{4 * window}").ravel()
         by = np.argsort(self.window_of, kind="stable")  # test suffixes of each distinct window
-        self.of_window, self.first_of = by, np.searchsorted(self.window_of[by], np.arange(self.size + 1))
+        self.of_window, self.first_of = by.astype(np.int32), np.searchsorted(self.window_of[by], np.arange(self.size + 1))
         self.heads = {}  # head length -> (filter bits, exact hashes)
         for g in range(1, HEAD + 1):
-            rows = at[np.minimum(length[at], HEAD) == g]
+            rows = at[np.minimum(self.length, HEAD) == g]
             if len(rows):
-                flat = vec.Rolling(codes[rows, :g].ravel()).grams(g)[::g]
+                flat = vec.Rolling(self.vocabulary[words[rows, :g].astype(np.int64).ravel() - 1]).grams(g)[::g]
                 bits = np.zeros(1 << 20, bool)
                 bits[(flat >> np.uint64(44)).astype(np.int64)] = True
                 self.heads[g] = bits, np.unique(flat)
@@ -134,7 +133,9 @@ class TestSuffixes:
         (suffix order, first place, end of the range of places)."""
         order = np.argsort(keys, kind="stable")
         array = keys[order]
-        return order, np.searchsorted(array, self.low, "left"), np.searchsorted(array, self.high, "right")
+        end = np.searchsorted(array, self.low, "right")
+        end[self.short] = np.searchsorted(array, self.short_high, "right")
+        return order, np.searchsorted(array, self.low, "left"), end
 
 
 class _Shard:
@@ -267,12 +268,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
                        F.array().cast("array<struct<s:int,e:int>>").alias("__spans"),
                        F.array().cast("array<string>").alias("__items"), F.lit(0).cast("long").alias("__longest"))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in state.schema.fields])
+    live = []
     for k in range(max(n_blocks, 1)):  # each collect is bounded by the block size
         rows = items.filter(part == k).collect() if n_blocks else []
         test = spark.sparkContext.broadcast(TestSuffixes([r.i for r in rows], [r.t for r in rows], window))
+        live.append(test)
         state = state.mapInArrow(_scan(test, text_at, len(names)), schema)
         if k % 4 == 3 and k < n_blocks - 1:
             state = written(state, "decontaminate")
+            while live:  # the written state needs its blocks no more
+                live.pop().destroy()
     hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])
     out = state.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("__n").alias("n_words"),
                        hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
