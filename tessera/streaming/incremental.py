@@ -25,6 +25,12 @@ DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long
 EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
+def _files(folder: str, file_glob: str) -> str:
+    """The files of that name, or all files in folders of that name: a table is a
+    file or a folder of part files. (In braces a plain name is a pattern too.)"""
+    return f"{folder.rstrip('/')}/{{{file_glob}}}"
+
+
 def stream_check(spark: SparkSession, folder: str, file_glob: str, index: DataFrame, k: int = 5, w: int = 4,
                  hash_fn: str = "md5", out: str | None = None, checkpoint: str | None = None,
                  max_files: int = 1) -> str:
@@ -37,8 +43,7 @@ def stream_check(spark: SparkSession, folder: str, file_glob: str, index: DataFr
     """
     out = out or scratch_path(spark, "stream-check")
     checkpoint = checkpoint or scratch_path(spark, "stream-check-ckpt")
-    src = (spark.readStream.schema(DOC_SCHEMA).option("pathGlobFilter", file_glob)
-           .option("maxFilesPerTrigger", max_files).parquet(folder))
+    src = spark.readStream.schema(DOC_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(_files(folder, file_glob))
     docs = src.select("doc_id", word_tokens("text").alias("tokens"))
     fp = fpo.fingerprints(docs, k=k, w=w, hash_fn=hash_fn)
     sub = fp.select("doc_id", "n_fp", F.inline_outer("fp")).filter(F.col("pos").isNotNull())
@@ -67,7 +72,7 @@ def stream_dedup(spark: SparkSession, folder: str, file_glob: str, key_cols: lis
     watermark (state is bounded by the watermark). Returns the output folder."""
     out = out or scratch_path(spark, "stream-dedup")
     checkpoint = checkpoint or scratch_path(spark, "stream-dedup-ckpt")
-    src = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", file_glob).parquet(folder)
+    src = spark.readStream.schema(EVENT_SCHEMA).parquet(_files(folder, file_glob))
     norm = F.sha2(F.concat_ws("\x1f", *[F.lower(F.trim(F.col(c).cast("string"))) for c in key_cols]), 256)
     d = src.withColumn("dedup_key", norm).withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark(["dedup_key"])
     q = (d.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
@@ -94,10 +99,12 @@ def stream_documents(spark: SparkSession, folder: str, file_glob: str, out: str
     """
     out = out or scratch_path(spark, "stream-documents")
     checkpoint = checkpoint or scratch_path(spark, "stream-documents-ckpt")
-    src = spark.readStream.schema(DOC_SCHEMA).option("pathGlobFilter", file_glob)
+    # a stream without a file has no batch, but a result
+    spark.createDataFrame([], "doc_id long, first_id long").write.mode("overwrite").parquet(f"{out}/repeats/batch_id=-1")
+    src = spark.readStream.schema(DOC_SCHEMA)
     if max_files is not None:
         src = src.option("maxFilesPerTrigger", max_files)
-    docs = src.parquet(folder).filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(
+    docs = src.parquet(_files(folder, file_glob)).filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(
         "doc_id", exact.digest_verbatim(F.col("text")).alias("digest"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:

@@ -58,3 +58,12 @@ def test_odd_rows(spark):
     folder = put(spark, [[(1, None), (2, None), (3, ""), (4, " "), (5, "x"), (5, "x"), (6, "x"), (6, "x")], [(7, None), (8, "y")]])
     out = incremental.stream_documents(spark, folder, "docs-*.parquet", max_files=1)
     assert repeats(spark, out) == [(4, 3), (6, 5)]
+
+
+def test_table_of_part_files_and_no_file(spark, sf_small):
+    folder = tempfile.mkdtemp(prefix="tessera-stream-", dir="/tmp")
+    docs = table(spark, sf_small, "documents").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    docs.repartition(5).write.parquet(f"{folder}/documents.parquet")
+    whole = repeats(spark, incremental.stream_documents(spark, sf_small, "documents.parquet"))
+    assert repeats(spark, incremental.stream_documents(spark, folder, "documents.parquet")) == whole
+    assert repeats(spark, incremental.stream_documents(spark, folder, "none.parquet")) == []
