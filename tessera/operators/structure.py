@@ -208,6 +208,9 @@ def control_edges(tokens: DataFrame) -> DataFrame:
              for kind, (a, b) in {"round": ("(", ")"), "curly": ("{", "}")}.items()}
     t = tokens.select("doc_id", "pos", "token", F.lag("token").over(doc).alias("_prev"), F.lag("pos").over(doc).alias("_prev_pos"),
                       *[F.sum(v).over(upto).alias(f"_{k}") for k, v in steps.items()])
+    # only brackets, bare words and the tokens after them matter from here on
+    edge = ["(", ")", "{", "}", *BARE_WORDS]
+    t = t.filter(tok.isin(*edge) | F.col("_prev").isin(";", *edge))
     # a bracket's level: the depth inside it, so that both brackets of a pair have the same one
     t = t.withColumn("_level", F.when(tok.isin("(", "{"), F.when(tok == "(", F.col("_round")).otherwise(F.col("_curly")))
                      .when(tok == ")", F.col("_round") + 1).when(tok == "}", F.col("_curly") + 1))
@@ -219,7 +222,8 @@ def control_edges(tokens: DataFrame) -> DataFrame:
     header = F.when(F.col("_mate.token").eqNullSafe("(") & F.col("_mate._prev").isin(*HEADER_WORDS),
                     F.struct(F.col("_mate._prev").alias("word"), F.col("_mate._prev_pos").alias("at"))) \
         .when(tok.isin(*BARE_WORDS), F.struct(tok.alias("word"), F.col("pos").alias("at")))
-    t = t.withColumn("_header", header).withColumn("_after", F.lag("_header").over(doc))
+    t = t.withColumn("_header", header)
+    t = t.withColumn("_after", F.when(F.lag("pos").over(doc) == F.col("_prev_pos"), F.lag("_header").over(doc)))
     t = t.withColumn("_opens", (tok == "{") & F.col("_after").isNotNull() & F.coalesce("_closed", F.lit(False)))
     opened = F.lag(F.struct("token", "_opens")).over(pair)
     t = t.withColumn("_ends", F.coalesce((tok == "}") & (opened["token"] == "{") & opened["_opens"], F.lit(False)))
