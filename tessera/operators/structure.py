@@ -9,8 +9,10 @@ node with a million children is one partial aggregation, not one row.
 from __future__ import annotations
 
 import re
+import struct
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,8 +94,62 @@ def nesting_tree(df: DataFrame, id_col: str = "page_id", html_col: str = "html")
         T.StructField("tag", T.StringType())]))
 
 
+def element_digests(tree: list[tuple[int, str, int, int | None]]) -> list[tuple[int, int]]:
+    """(hash, size) of each element's subtree, in one pass from the last element to the first.
+
+    A child stands behind its parent in document order, so every child is done
+    before its parent is. The hash is the one of ``subtree_hashes``.
+    """
+    kids = {node: [0, 0, 0, 0] for node, *_ in tree}  # count, sum, second sum, nodes
+    out: list[tuple[int, int]] = []
+    for node, tag, _, parent in reversed(tree):
+        n, s1, s2, below = kids.pop(node)
+        h = xxhash.xxh64_intdigest(tag.encode(), seed=42)
+        for v in (n, s1, s2):
+            h = xxhash.xxh64_intdigest(struct.pack("<q", v), seed=h)
+        h -= (h >> 63) << 64  # signed, as Spark's
+        out.append((h, below + 1))
+        if parent is not None:
+            up = kids[parent]
+            up[0] += 1
+            up[1] += h % P
+            up[2] += (h % P * 31 + 7) % P
+            up[3] += below + 1
+    return out[::-1]
+
+
+def hashed_trees(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """F1 and F2 together: (doc_id, node, tag, depth, hash, size) of each element of markup.
+
+    The page is in one row and its tree is made in one task anyway, so subtrees
+    are hashed there: one pass whatever the depth, without a shuffle or a job
+    for each level. ``subtree_hashes`` gives the same rows for edge lists. Null
+    or empty markup has no elements; repeated rows give repeated elements.
+    """
+    def parse(batches):
+        for b in batches:
+            ids, pages = b.column(0), b.column(1)
+            for k in range(b.num_rows):  # a page at a time: its elements are all that is held
+                tree = element_tree(pages[k].as_py())
+                if not tree:
+                    continue
+                digests = element_digests(tree)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array([k] * len(tree), pa.int64())), pa.array([x[0] for x in tree], pa.int32()),
+                     pa.array([x[1] for x in tree], pa.string()), pa.array([x[2] for x in tree], pa.int64()),
+                     pa.array([h for h, _ in digests], pa.int64()), pa.array([n for _, n in digests], pa.int64())],
+                    names=["doc_id", "node", "tag", "depth", "hash", "size"])
+
+    src = df.select(F.col(id_col).alias("doc_id"), F.col(html_col).cast("string").alias("html"))
+    return src.mapInArrow(parse, T.StructType([
+        T.StructField("doc_id", src.schema["doc_id"].dataType), T.StructField("node", T.IntegerType()),
+        T.StructField("tag", T.StringType()), T.StructField("depth", T.LongType()),
+        T.StructField("hash", T.LongType()), T.StructField("size", T.LongType())]))
+
+
 def subtree_hashes(tree: DataFrame) -> DataFrame:
-    """bottom-up subtree hash and size per node.
+    """bottom-up subtree hash and size per node of an edge list of any size
+    (markup has ``hashed_trees``, which needs no job for each level).
 
     hash(node) = xxhash64(tag, n_children, sum and sum-of-squares (mod P) of
     the children's hashes): order-free, so reordered siblings still match.

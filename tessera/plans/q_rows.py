@@ -66,6 +66,10 @@ def _tree(spark, root):
     return st.nesting_tree(table(spark, root, "pages"))
 
 
+def _hashed(spark, root):
+    return st.hashed_trees(table(spark, root, "pages"))
+
+
 @register("f1_nesting_tree")
 def f1_nesting_tree(spark, root):
     """Element tree of every page: node, tag, depth, parent."""
@@ -75,19 +79,19 @@ def f1_nesting_tree(spark, root):
 @register("f2_subtree_hashes")
 def f2_subtree_hashes(spark, root):
     """Order-free bottom-up subtree hashes and sizes."""
-    return st.subtree_hashes(_tree(spark, root))
+    return _hashed(spark, root)
 
 
 @register("f3_tree_similarity")
 def f3_tree_similarity(spark, root):
     """Size-weighted subtree-multiset overlap of page pairs sharing a rare subtree."""
-    return st.tree_similarity(st.subtree_hashes(_tree(spark, root)))
+    return st.tree_similarity(_hashed(spark, root))
 
 
 @register("f3_tree_classes")
 def f3_tree_classes(spark, root):
     """Membership that goes with F3, F5 and F6: pages with equal trees, named by the lowest id."""
-    return st.tree_classes(st.subtree_hashes(_tree(spark, root)))
+    return st.tree_classes(_hashed(spark, root))
 
 
 # data: the last definition before a use, by a range join; control: the innermost block around a statement, by containment
@@ -147,17 +151,15 @@ def f4_flow_edges(spark, root):
 @register("f5_prescreen")
 def f5_prescreen(spark, root):
     """F3 candidate pairs kept only when node counts and tag histograms are close."""
-    tree = _tree(spark, root)
-    pairs = st.tree_similarity(st.subtree_hashes(tree)).select("doc_a", "doc_b", "similarity")
-    return st.prescreen(pairs, st.tree_stats(tree), 0.3, 0.3)
+    pairs = st.tree_similarity(_hashed(spark, root)).select("doc_a", "doc_b", "similarity")
+    return st.prescreen(pairs, st.tree_stats(_tree(spark, root)), 0.3, 0.3)
 
 
 @register("f6_graph_label_similarity")
 def f6_graph_label_similarity(spark, root):
     """Two Weisfeiler-Lehman rounds on page trees, label-bag similarity of F3 candidate pairs."""
-    tree = _tree(spark, root)
-    pairs = st.tree_similarity(st.subtree_hashes(tree)).select("doc_a", "doc_b")
-    return st.label_bag_similarity(st.wl_labels(tree, 2), pairs)
+    pairs = st.tree_similarity(_hashed(spark, root)).select("doc_a", "doc_b")
+    return st.label_bag_similarity(st.wl_labels(_tree(spark, root), 2), pairs)
 
 
 def _variant_scores(spark, root):

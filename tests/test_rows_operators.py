@@ -64,6 +64,40 @@ def test_wrapper_block_keeps_subtrees(spark):
     assert abs(sim[(0, 1)] - 6 / 17) < 1e-12 and sim[(0, 1)] > sim[(0, 2)]
 
 
+def test_one_pass_hashes_are_those_of_the_levels(spark, sf_small):
+    """hashed_trees gives the rows of subtree_hashes, on the given pages, broken markup, nulls and repeated rows."""
+    given = spark.read.parquet(f"{sf_small}/pages.parquet").select("page_id", "html")
+    own = [(-1, "<div></b></div></div><p>x</p><ul><li>a</li></ul>"), (-2, None), (-3, ""), (-4, "no tags"),
+           (-5, "<p>a<p>b<table><tr><td>1<td>2<tr><td>3</table><img><br/>")]
+    pages = given.unionByName(spark.createDataFrame(own, "page_id long, html string"))
+    got = stc.hashed_trees(pages).select("doc_id", "node", "tag", "depth", "hash", "size")
+    want = stc.subtree_hashes(stc.nesting_tree(pages)).select(*got.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and got.count() > 1000
+    assert stc.hashed_trees(pages.unionByName(pages)).count() == 2 * got.count()
+    assert stc.hashed_trees(pages.limit(0)).count() == 0
+
+
+def test_equal_hashes_mean_equal_trees_whatever_the_order_of_siblings(sf_small):
+    """Against brute force over the given pages: a subtree's form is its tag and the sorted forms of its children."""
+    import pyarrow.parquet as pq
+
+    forms = {}
+    for html in pq.read_table(f"{sf_small}/pages.parquet", columns=["html"]).column(0).to_pylist():
+        tree = stc.element_tree(html)
+        kids = {}
+        for (node, tag, _, parent), (h, size) in zip(reversed(tree), reversed(stc.element_digests(tree))):
+            form = (tag, tuple(sorted(kids.pop(node, []))))
+            kids.setdefault(parent, []).append(form)
+            assert forms.setdefault(h, form) == form
+    assert len(set(forms.values())) == len(forms)
+
+
+def test_a_tree_ten_thousand_deep_is_one_job(spark):
+    pages = spark.createDataFrame([(1, "<span>" * 10000), (2, "<b>" + "<span>" * 9999)], "page_id long, html string")
+    rows = stc.hashed_trees(pages).filter("size = 9999").collect()
+    assert {r.doc_id for r in rows} == {1, 2} and len({r.hash for r in rows}) == 1
+
+
 def test_broken_markup_keeps_every_node(spark):
     """Stray and unclosed tags, comments, deep nesting: no node is lost, none has a negative depth."""
     pages = [(0, "<div></b></div></div><p>x</p><ul><li>a</li></ul>"), (1, "<p>" * 70), (2, "<span>" * 100),
