@@ -5,7 +5,8 @@ Inputs are prediction tables with at least ``run_name``, ``similarity``
 an aggregation keyed by run (and group): map-side partial counts, one shuffle.
 AUC and ROC first collapse each run to its distinct scores (bounded by the
 score resolution, 10^4 after 4-digit rounding), so the cumulative windows run
-over a small table, never over all predictions.
+over a small table, never over all predictions. Scores that are not rounded
+go through ``running_counts``: ranges of scores, each counted by itself.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # The level taxonomy and its order.
 LEVELS = ["L1", "L2", "L3", "L4", "L5", "L6", "non-plag"]
 # Tool order used to break ties between tools.
@@ -113,6 +116,90 @@ def roc_curve(df: DataFrame, keys: list[str], score: str = "similarity",
                       safe_div(F.col("fp"), F.col("N")).alias("fpr"))
 
 
+def running_counts(df: DataFrame, keys: list[str], score: str = "similarity", truth: str = "is_plagiarized") -> DataFrame:
+    """(keys, score, pos, neg, pos_below, neg_below, P, N) per distinct score, for any number of distinct scores.
+
+    The distinct scores are dealt into ranges of (keys, score), written, and
+    counted within their range; a small table with a row for each range of a key
+    gives what lies below a range. No task holds more than a range, also where
+    one key has all scores. Rows without a score or truth are left out; NaN is the
+    highest score; an empty table gives an empty table.
+    """
+    src = df.filter(_c(score).isNotNull() & _c(truth).isNotNull())
+    h = score_histogram(src, keys, score, truth)
+    h = cut_lineage(h.repartitionByRange(*keys, score).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "_range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    base = h.groupBy(*keys, "_range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"),
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}_before") for c in ("p", "n")],
+        F.sum("p").over(whole).alias("P"), F.sum("n").over(whole).alias("N"))
+    own = h.select(*keys, score, "pos", "neg", "_range",
+                   *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_{c}_inside") for c in ("pos", "neg")])
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return own.join(base, same).select(
+        *keys, score, "pos", "neg", (F.col("_pos_inside") + F.col("_p_before")).alias("pos_below"),
+        (F.col("_neg_inside") + F.col("_n_before")).alias("neg_below"), "P", "N")
+
+
+def auc_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, P, N, auc) of ``running_counts``; the numerator is summed beyond 64 bits."""
+    wide = "decimal(19,0)"
+    g = counts.groupBy(*keys).agg(
+        F.max("P").alias("P"), F.max("N").alias("N"),
+        F.sum(F.col("pos").cast(wide) * (2 * F.col("neg_below") + F.col("neg")).cast(wide)).alias("_num"))
+    return g.select(*keys, "P", "N", F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("_num").cast("double")
+                                            / (2.0 * F.col("P") * F.col("N"))).alias("auc"))
+
+
+def auc_unrounded(df: DataFrame, keys: list[str], score: str = "similarity", truth: str = "is_plagiarized") -> DataFrame:
+    """M4 for scores of any resolution: (keys, P, N, auc), exact, ties counted half; one class -> NULL."""
+    return auc_from_counts(running_counts(df, keys, score, truth), keys)
+
+
+def roc_curve_unrounded(df: DataFrame, keys: list[str], score: str = "similarity",
+                        truth: str = "is_plagiarized") -> DataFrame:
+    """M5 for scores of any resolution: the rows of ``roc_curve``, its start point included."""
+    c = cut_lineage(running_counts(df, keys, score, truth))
+    pts = c.select(*keys, F.col(score).cast("double").alias("threshold"), (F.col("P") - F.col("pos_below")).alias("tp"),
+                   (F.col("N") - F.col("neg_below")).alias("fp"), "P", "N")
+    zero = F.lit(0).cast("long")
+    start = c.groupBy(*keys).agg(F.max("P").alias("P"), F.max("N").alias("N")).select(
+        *keys, F.lit(None).cast("double").alias("threshold"), zero.alias("tp"), zero.alias("fp"), "P", "N")
+    return pts.unionByName(start).select(*keys, "threshold", "tp", "fp", safe_div(F.col("tp"), F.col("P")).alias("tpr"),
+                                         safe_div(F.col("fp"), F.col("N")).alias("fpr"))
+
+
+def class_quantiles(df: DataFrame, keys: list[str], qs: tuple[float, ...] = (0.25, 0.5, 0.75), score: str = "similarity",
+                    truth: str = "is_plagiarized") -> DataFrame:
+    """M15 for scores of any resolution: (keys, truth, n, q_0, q_1, ...), exact quantiles by linear interpolation.
+
+    The place of a quantile is known from the counts, so its two neighbours are
+    picked out of the running counts: nothing is buffered or sorted by key. A key
+    without a row of a class has no row for it.
+    """
+    c = running_counts(df, keys, score, truth)
+    sides = F.array(*[F.struct(F.lit(flag).alias("_truth"), F.col(k).alias("_n"), F.col(f"{k}_below").alias("_below"),
+                               F.col(total).alias("n")) for flag, k, total in ((True, "pos", "P"), (False, "neg", "N"))])
+    rows = c.select(*keys, F.col(score).cast("double").alias("_score"), F.inline(sides)).filter("_n > 0")
+
+    def at(place: Column) -> Column:  # the score that holds the place, counted from 0
+        return F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("_n")), F.col("_score")))
+
+    picks, ends = [], []
+    for i, q in enumerate(qs):
+        place = (F.col("n") - 1) * F.lit(float(q))
+        picks += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}")]
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        # equal neighbours need no interpolation (and would lose bits in it)
+        ends.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (place - F.floor(place))).alias(f"q_{i}"))
+    got = rows.groupBy(*keys, "_truth", "n").agg(*picks)
+    return got.select(*keys, F.col("_truth").alias(truth), "n", *ends)
+
+
 def run_metrics(preds: DataFrame, keys: list[str], auc_default: float | None = None) -> DataFrame:
     """M2-M4 together for predictions that already carry ``predicted_plag``."""
     c = with_metrics(confusion(preds, keys))

@@ -269,6 +269,46 @@ def m15_class_distribution(spark, root):
                     r6("median").alias("median"), r6("q3").alias("q3"), "bin", "bin_count")
 
 
+# M4, M5, M15 on scores as they are measured ---------------------------------
+@register("m4_auc_unrounded", f"""WITH {syn.MEASURED_CTES},
+  g AS (SELECT detector, similarity, count_if(is_plagiarized) AS pos, count_if(NOT is_plagiarized) AS neg
+        FROM measured GROUP BY 1, 2),
+  w AS (SELECT *, sum(neg) OVER (PARTITION BY detector ORDER BY similarity) - neg AS below FROM g)
+SELECT detector, CAST(sum(pos) AS BIGINT) AS "P", CAST(sum(neg) AS BIGINT) AS "N",
+       round(CAST(sum(pos * (2 * below + neg)) AS DOUBLE) / (2.0 * sum(pos) * sum(neg)), 6) AS auc
+FROM w GROUP BY 1""")
+def m4_auc_unrounded(spark, root):
+    """Exact AUC of three measures of whole texts, scores not rounded."""
+    a = ev.auc_unrounded(syn.measured(spark, root), ["detector"])
+    return a.select("detector", "P", "N", r6("auc").alias("auc"))
+
+
+@register("m5_roc_unrounded", f"""WITH {syn.MEASURED_CTES},
+  g AS (SELECT detector, similarity, count_if(is_plagiarized) AS pos, count_if(NOT is_plagiarized) AS neg
+        FROM measured GROUP BY 1, 2),
+  w AS (SELECT detector, similarity AS threshold,
+               CAST(sum(pos) OVER (PARTITION BY detector ORDER BY similarity DESC) AS BIGINT) AS tp,
+               CAST(sum(neg) OVER (PARTITION BY detector ORDER BY similarity DESC) AS BIGINT) AS fp,
+               sum(pos) OVER (PARTITION BY detector) AS P, sum(neg) OVER (PARTITION BY detector) AS N FROM g
+        UNION ALL SELECT detector, NULL, 0, 0, sum(pos), sum(neg) FROM g GROUP BY 1)
+SELECT detector, round(threshold, 6) AS threshold, tp, fp, round({S.ratio('tp', 'P')}, 6) AS tpr,
+       round({S.ratio('fp', 'N')}, 6) AS fpr FROM w""")
+def m5_roc_unrounded(spark, root):
+    """Every ROC point of three measures of whole texts, scores not rounded."""
+    r = ev.roc_curve_unrounded(syn.measured(spark, root), ["detector"])
+    return r.select("detector", r6("threshold").alias("threshold"), "tp", "fp", r6("tpr").alias("tpr"), r6("fpr").alias("fpr"))
+
+
+@register("m15_class_quantiles", f"""WITH {syn.MEASURED_CTES}
+SELECT detector, is_plagiarized, count(*) AS n, round(quantile_cont(similarity, 0.25), 6) AS q1,
+       round(quantile_cont(similarity, 0.5), 6) AS median, round(quantile_cont(similarity, 0.75), 6) AS q3
+FROM measured GROUP BY 1, 2""")
+def m15_class_quantiles(spark, root):
+    """Exact quartiles per measure and class, picked out of the running counts."""
+    q = ev.class_quantiles(syn.measured(spark, root), ["detector"])
+    return q.select("detector", "is_plagiarized", "n", r6("q_0").alias("q1"), r6("q_1").alias("median"), r6("q_2").alias("q3"))
+
+
 # M16 ---------------------------------------------------------------------
 @register("m16_threshold_sweep", f"""WITH {PC},
   p AS (SELECT * FROM preds WHERE threshold = 0.5),

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import safe_range
 from ..functions.text import word_tokens
 from ..sources.tables import table
 from . import sqlparts as S
@@ -62,6 +63,26 @@ def runs(preds: DataFrame) -> DataFrame:
     return preds.select("tool", "run_name", "run_ord", "threshold").distinct()
 
 
+def measured(spark: SparkSession, root: str) -> DataFrame:
+    """(detector, submission_id, similarity, is_plagiarized): unrounded measures of whole labelled texts.
+
+    words: distinct words over words; letters: characters of the words over
+    words; grams: distinct word 5-grams over word 5-grams. A text without words
+    (grams: with fewer than five) has no score and is left out.
+    """
+    lab = table(spark, root, "labels").select("doc_id", "quality")
+    toks = word_tokens("text")
+    t = lab.join(table(spark, root, "documents").select("doc_id", toks.alias("t")), "doc_id")
+    n = F.size("t")
+    grams = F.transform(safe_range(n - 4, 1), lambda i: F.concat_ws(" ", F.slice("t", i, 5)))
+    letters = F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + F.length(x))
+    scores = {"words": F.when(n > 0, F.size(F.array_distinct("t")) / n), "letters": F.when(n > 0, letters / n),
+              "grams": F.when(n > 4, F.size(F.array_distinct(grams)) / (n - 4))}
+    per = F.array(*[F.struct(F.lit(k).alias("detector"), v.alias("similarity")) for k, v in scores.items()])
+    rows = t.select(F.col("doc_id").alias("submission_id"), (F.col("quality") == 1).alias("is_plagiarized"), F.inline(per))
+    return rows.filter("similarity IS NOT NULL")
+
+
 # ---- DuckDB side ---------------------------------------------------------
 
 def _runs_values() -> str:
@@ -89,3 +110,13 @@ PRED_CTES = f"""
            CASE r.tool WHEN 'Dolos' THEN b.s_dolos WHEN 'JPlag' THEN b.s_jplag ELSE b.s_sim END AS similarity,
            b.is_plagiarized
     FROM syn_base b, syn_runs r)"""
+
+MEASURED_CTES = f"""
+  mt AS (SELECT l.doc_id, l.quality = 1 AS is_plagiarized, d.t, len(d.t) AS n
+         FROM labels l JOIN (SELECT doc_id, {S.word_tokens('text')} AS t FROM documents) d ON l.doc_id = d.doc_id),
+  measured AS (
+    SELECT 'words' AS detector, is_plagiarized, len(list_distinct(t)) / n AS similarity FROM mt WHERE n > 0
+    UNION ALL SELECT 'letters', is_plagiarized, list_sum(list_transform(t, lambda x: length(x))) / n FROM mt WHERE n > 0
+    UNION ALL SELECT 'grams', is_plagiarized,
+      len(list_distinct(list_transform(range(1, n - 3), lambda i: array_to_string(t[i:i + 4], ' ')))) / (n - 4)
+    FROM mt WHERE n > 4)"""

@@ -128,3 +128,46 @@ def test_parameter_grid(spark):
     assert so.parameter_grid({**dims, "k": []}, tried).count() == 0
     assert so.parameter_grid({**dims, "k": [3, 3, 5]}, tried).count() == len(want)
     assert so.parameter_grid(dims, tried.limit(0)).count() == 24
+
+
+def test_unrounded_scores_in_many_ranges(spark):
+    """One run with all scores, cut into ranges: AUC, ROC and quantiles equal the plain operators', ties and nulls included."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [("big", "c", "L1", str(i), float(s), bool(y)) for i, (s, y) in enumerate(zip(rng.random(4000), rng.random(4000) < 0.3))]
+    rows += [("big", "c", "L1", f"t{i}", 0.5, i % 2 == 0) for i in range(900)]  # one score holds a sixth of the run
+    rows += [("one", "c", "L1", "a", 0.25, True), ("one", "c", "L1", "b", 0.75, True), (None, "c", "L1", "c", 0.1, True),
+             (None, "c", "L1", "d", 0.2, False)]
+    holes = [("big", "c", "L1", "x", None, True), ("big", "c", "L1", "y", 0.4, None), ("void", "c", "L1", "z", None, False)]
+    df, whole = spark.createDataFrame(rows + holes, SCHEMA), spark.createDataFrame(rows, SCHEMA)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        c = ev.running_counts(df, ["run_name"]).select("*", F.spark_partition_id().alias("task")).collect()
+        assert max(sum(r.task == t for r in c) for t in {r.task for r in c}) < len(c)
+        got = {r.run_name: r for r in ev.auc_unrounded(df, ["run_name"]).collect()}
+        roc = {tuple(r) for r in ev.roc_curve_unrounded(df, ["run_name"]).collect()}
+        q = {(r.run_name, r.is_plagiarized): r for r in ev.class_quantiles(df, ["run_name"], (0.0, 0.25, 0.5, 0.9, 1.0)).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    want = {r.run_name: r.auc for r in ev.auc(whole, ["run_name"]).collect()}
+    assert set(got) == {"big", "one", None} == set(want)
+    assert all(got[k].auc == want[k] for k in want) and got["one"].auc is None and got[None].auc == 0.0
+    assert roc == {tuple(r) for r in ev.roc_curve(whole, ["run_name"]).collect()}
+    for (run, y), r in q.items():
+        xs = [x[4] for x in rows if x[0] == run and x[5] == y]
+        assert r.n == len(xs)
+        assert np.allclose(list(r)[3:], np.quantile(xs, (0.0, 0.25, 0.5, 0.9, 1.0)), atol=1e-12)
+    assert len(q) == 5  # both classes of the first and the nameless run, one of the second
+    assert ev.auc_unrounded(df.limit(0), ["run_name"]).count() == 0
+    assert ev.class_quantiles(df.limit(0), ["run_name"]).count() == 0
+
+
+def test_unrounded_auc_beyond_long(spark):
+    """The numerator passes 2^63: 3 x 10^9 rows of each class in two scores (counts given, not rows)."""
+    n = 3_000_000_000
+    assert 2 * n * n > 2 ** 63
+    h = spark.createDataFrame([("r", 0.1, 0, n, 0, 0, n, n), ("r", 0.9, n, 0, 0, n, n, n)],
+                              "run_name string, similarity double, pos long, neg long, pos_below long, neg_below long, P long, N long")
+    assert ev.auc_from_counts(h, ["run_name"]).first().auc == 1.0
