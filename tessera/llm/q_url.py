@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from .common import read
 from .registry import register
-from .url_filter import SOFT, STRICT, judge_urls
+from .url_filter import SOFT, SOFT_WEIGHT, STRICT, STRICT_WEIGHT, THRESHOLD, judge_urls
 
 
 def _hit(term: str) -> str:
@@ -26,9 +26,9 @@ r AS (SELECT *, CASE
         WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule,
       coalesce({' + '.join(f'CAST({_hit(t)} AS BIGINT)' for t in STRICT)}, 0) AS n_strict,
       coalesce({' + '.join(f'CAST({_hit(t)} AS BIGINT)' for t in SOFT)}, 0) AS n_soft FROM h)
-SELECT page_id, host, path, rule, n_strict, n_soft,
+SELECT page_id, host, path, rule, n_strict, n_soft, n_strict * {STRICT_WEIGHT} + n_soft * {SOFT_WEIGHT} AS weight,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN n_strict >= 1 OR n_soft >= 2 THEN 'block' ELSE 'allow' END AS verdict
+            WHEN n_strict * {STRICT_WEIGHT} + n_soft * {SOFT_WEIGHT} >= {THRESHOLD} THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
 
@@ -37,4 +37,4 @@ FROM r
 def op7(spark, sf_dir):
     """Every url of pages, by the prefix rules and then by the vocabulary."""
     return judge_urls(read(spark, sf_dir, "pages").select("page_id", "url")).select(
-        "page_id", "host", "path", "rule", "n_strict", "n_soft", "verdict")
+        "page_id", "host", "path", "rule", "n_strict", "n_soft", "weight", "verdict")

@@ -10,7 +10,7 @@ import pytest
 from helpers import WORD, docs_frame
 from tessera.llm.mix import mix
 from tessera.llm.quality_rules import ablation, apply_policy, ledger
-from tessera.llm.url_filter import judge_urls
+from tessera.llm.url_filter import VOCABULARY, checked_vocabulary, judge_urls, read_vocabulary, term_hits
 
 
 def test_urls(spark):
@@ -40,6 +40,51 @@ def test_urls(spark):
     assert judge_urls(pages.limit(0)).count() == 0 and judge_urls(pages).columns.count("host") == 1
 
 
+def test_weights_of_a_vocabulary_table_decide(spark):
+    """Terms and weights come from a table; distinct terms add up to the threshold, repeated ones count once."""
+    table = spark.createDataFrame([("Red", 60), ("red", 30), ("blue", 40), ("green", 39), ("black", 100), ("", 100), (None, 100),
+                                   ("void", None), ("-x-", 100), ("é", 50)], "term string, weight int")
+    words = read_vocabulary(table)
+    assert words == {"red": 60, "blue": 40, "green": 39, "black": 100, "-x-": 100, "é": 50}
+    urls = ["r://red.blue", "r://RED/red/red", "r://red.green", "r://black", "r://blackred", "r://a-x-", "r://a/-x-/", None, "",
+            "r://red\nblue", "r://é/blue", "r://é.red", "r://green.blue.é"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.n_strict, r.n_soft, r.weight, r.verdict)
+           for r in judge_urls(pages, rules=(), vocabulary=words).collect()}
+    assert [got[k] for k in range(len(urls))] == [
+        (0, 2, 100, "block"), (0, 1, 60, "allow"), (0, 2, 99, "allow"), (1, 0, 100, "block"), (0, 0, 0, "allow"), (0, 0, 0, "allow"),
+        (1, 0, 100, "block"), (0, 0, 0, "allow"), (0, 0, 0, "allow"), (0, 2, 100, "block"), (0, 2, 90, "allow"), (0, 2, 110, "block"),
+        (0, 3, 129, "block")]
+    assert {r.verdict for r in judge_urls(pages, rules=(), vocabulary={}).collect()} == {"allow"}
+    assert judge_urls(pages, rules=(), vocabulary=words, threshold=130).filter("verdict = 'block'").count() == 0
+    for bad in ([("a\nb", 1)], [("a", 0.5)]):
+        with pytest.raises(ValueError):
+            checked_vocabulary(bad)
+    with pytest.raises(ValueError):
+        read_vocabulary(table, max_terms=3)
+
+
+def test_terms_found_together_are_those_of_each_url():
+    """One scan of all URLs against a search term by term, boundaries, overlaps and neighbouring rows included."""
+    import re
+
+    import ahocorasick
+    import numpy as np
+
+    terms = list(VOCABULARY)
+    auto = ahocorasick.Automaton()
+    for k, t in enumerate(terms):
+        auto.add_word(t, k)
+    auto.make_automaton()
+    rng = random.Random(3)
+    bits = [*terms, "-", ".", "/", "a", "7", "é", "\n", "\U0001f600", ""]
+    urls = ["".join(rng.choices(bits, k=rng.randint(0, 8))) for _ in range(1500)]
+    row, term = term_hits(urls, auto, np.array([len(t) for t in terms]))
+    want = {(i, k) for i, u in enumerate(urls) for k, t in enumerate(terms)
+            if re.search(rf"(?<![a-z0-9A-Z]){t}(?![a-z0-9A-Z])", u)}
+    assert set(zip(row.tolist(), term.tolist())) == want and len(row) == len(want) > 300
+
+
 def brute_rules(text):
     t = text or ""
     w = WORD.findall(t)
