@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .fingerprint import prefix_pairs, text_classes
+from .tokens import token_neighbours
 
 # HTML void elements (never have children) and the tag pattern.
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
@@ -219,6 +220,9 @@ def tree_similarity(hashes: DataFrame, threshold: float = 0.5) -> DataFrame:
     return out.withColumn("similarity", F.col("shared") / F.greatest("ta", "tb")).filter(F.col("similarity") >= threshold)
 
 
+IDENT_RE = "^[A-Za-z_$][A-Za-z0-9_$]*$"
+
+
 def flow_edges(tokens: DataFrame) -> DataFrame:
     """data-dependence edges on a token stream (doc_id, pos, token).
 
@@ -228,9 +232,9 @@ def flow_edges(tokens: DataFrame) -> DataFrame:
     window per (doc, name) ordered by position).
     """
     w = Window.partitionBy("doc_id").orderBy("pos")
-    t = tokens.withColumn("_next", F.lead("token").over(w))
-    ident = F.col("token").rlike("^[A-Za-z_$][A-Za-z0-9_$]*$")
-    t = t.filter(ident).withColumn("is_def", F.col("_next") == "=")
+    following = F.col("next") if "next" in tokens.columns else F.lead("token").over(w)
+    t = tokens.withColumn("_next", following)
+    t = t.filter(F.col("token").rlike(IDENT_RE)).withColumn("is_def", F.col("_next") == "=")
     wd = Window.partitionBy("doc_id", "token").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("def_pos", F.last(F.when(F.col("is_def"), F.col("pos")), ignorenulls=True).over(wd))
     return t.filter(~F.col("is_def") & F.col("def_pos").isNotNull()).select(
@@ -242,6 +246,13 @@ HEADER_WORDS = ("if", "while", "for", "switch", "catch")  # followed by a header
 BARE_WORDS = ("else", "do")
 
 
+EDGE_TOKENS = ("(", ")", "{", "}", *BARE_WORDS)
+
+
+def _shapes_control(token, prev):
+    return token.isin(*EDGE_TOKENS) | F.coalesce(prev.isin(";", *EDGE_TOKENS), F.lit(False))
+
+
 def control_edges(tokens: DataFrame) -> DataFrame:
     """control dependence (doc_id, var, def_pos, use_pos) on a token stream.
 
@@ -262,11 +273,13 @@ def control_edges(tokens: DataFrame) -> DataFrame:
     tok = F.col("token")
     steps = {kind: F.when(tok == a, 1).when(tok == b, -1).otherwise(0)
              for kind, (a, b) in {"round": ("(", ")"), "curly": ("{", "}")}.items()}
-    t = tokens.select("doc_id", "pos", "token", F.lag("token").over(doc).alias("_prev"), F.lag("pos").over(doc).alias("_prev_pos"),
-                      *[F.sum(v).over(upto).alias(f"_{k}") for k, v in steps.items()])
-    # only brackets, bare words and the tokens after them matter from here on
-    edge = ["(", ")", "{", "}", *BARE_WORDS]
-    t = t.filter(tok.isin(*edge) | F.col("_prev").isin(";", *edge))
+    if "prev" in tokens.columns:  # neighbours are known: positions have no gaps
+        before = [F.col("prev").alias("_prev"), F.when(F.col("pos") > 0, F.col("pos") - 1).alias("_prev_pos")]
+    else:
+        before = [F.lag("token").over(doc).alias("_prev"), F.lag("pos").over(doc).alias("_prev_pos")]
+    # only brackets, bare words and the tokens after them matter
+    t = tokens.select("doc_id", "pos", "token", *before).filter(_shapes_control(tok, F.col("_prev")))
+    t = t.select("*", *[F.sum(v).over(upto).alias(f"_{k}") for k, v in steps.items()])
     # a bracket's level: the depth inside it, so that both brackets of a pair have the same one
     t = t.withColumn("_level", F.when(tok.isin("(", "{"), F.when(tok == "(", F.col("_round")).otherwise(F.col("_curly")))
                      .when(tok == ")", F.col("_round") + 1).when(tok == "}", F.col("_curly") + 1))
@@ -299,6 +312,19 @@ def dependence_edges(tokens: DataFrame) -> DataFrame:
             .unionByName(control_edges(tokens).withColumn("kind", F.lit("control"))))
 
 
+def data_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The tokens that ``flow_edges`` can use: occurrences of the names that a text defines."""
+    return token_neighbours(df, lambda t, prev, nxt, names: F.array_contains(names, t) & t.rlike(IDENT_RE), id_col, text_col)
+
+
+def dependence_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The tokens that ``dependence_edges`` can use, with their neighbours, chosen inside each row and written
+    once: texts are lexed once for both kinds, and tokens that no edge can touch are never shuffled."""
+    return cut_lineage(token_neighbours(
+        df, lambda t, prev, nxt, names: (F.array_contains(names, t) & t.rlike(IDENT_RE)) | _shapes_control(t, prev),
+        id_col, text_col))
+
+
 def prescreen(pairs: DataFrame, stats: DataFrame, size_tol: float = 0.5, hist_tol: float = 0.5) -> DataFrame:
     """drop candidate pairs whose node counts differ by more than
     ``size_tol`` of the larger, or whose normalised tag histograms are more

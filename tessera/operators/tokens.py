@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import let
 from ..functions.text import tokenize
 
 
@@ -22,6 +23,23 @@ def token_positions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", "pos", F.col("_t.line").alias("line"), F.col("_t.token").alias("token"))
 
 
+def token_neighbours(df: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """B6 with neighbours: (doc_id, pos, token, prev, next) of the tokens that ``keep`` picks.
+
+    ``keep(token, prev, next, names)`` is a condition; ``names`` holds the
+    distinct tokens of the text that stand before '='. Neighbours and choice are
+    made inside the row, so only chosen tokens become rows, without a shuffle.
+    Null and empty texts have none.
+    """
+    words = F.flatten(F.transform(F.split(F.col(text_col), "\n"), lambda ln: tokenize(ln)))
+    rows = let(words, lambda ws: F.transform(ws, lambda t, i: F.struct(
+        i.alias("pos"), t.alias("token"), F.get(ws, i - 1).alias("prev"), F.get(ws, i + 1).alias("next"))))
+    kept = let(rows, lambda rs: let(
+        F.array_distinct(F.transform(F.filter(rs, lambda r: r["next"] == "="), lambda r: r["token"])),
+        lambda names: F.filter(rs, lambda r: keep(r["token"], r["prev"], r["next"], names))))
+    return df.select(F.col(id_col).alias("doc_id"), F.inline_outer(kept)).filter(F.col("pos").isNotNull())
+
+
 def segment_blocks(tokens: DataFrame, min_tokens: int = 1) -> DataFrame:
     """Brace-delimited blocks with start / end line and depth.
 

@@ -136,16 +136,14 @@ _F4_CONTROL_CTES = """,
 SELECT *, 'data' AS kind FROM data UNION ALL SELECT *, 'control' FROM control""")
 def f4_dependence_edges(spark, root):
     """Data and control dependence edges in the pages' scripts and markup."""
-    toks = token_positions(table(spark, root, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
-    return st.dependence_edges(toks)
+    return st.dependence_edges(st.dependence_tokens(table(spark, root, "pages"), "page_id", "html"))
 
 
 @register("f4_flow_edges", f"""{_F4_CTES}
 SELECT * FROM data""")
 def f4_flow_edges(spark, root):
     """Definition -> use edges (last definition before each use) in the pages' scripts and markup."""
-    toks = token_positions(table(spark, root, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
-    return st.flow_edges(toks)
+    return st.flow_edges(st.data_tokens(table(spark, root, "pages"), "page_id", "html"))
 
 
 @register("f5_prescreen")

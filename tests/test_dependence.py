@@ -62,9 +62,15 @@ class Script:
 
 
 def edges(spark, pages):
+    """The edges of a whole token table, which must be those of the tokens chosen inside the rows."""
     df = spark.createDataFrame(pages, "doc_id long, text string")
-    return {tuple(r) for r in st.dependence_edges(token_positions(df)).select(
-        "doc_id", "kind", "var", "def_pos", "use_pos").collect()}
+    cols = ("doc_id", "kind", "var", "def_pos", "use_pos")
+    whole, chosen = ([tuple(r) for r in st.dependence_edges(t).select(*cols).collect()]
+                     for t in (token_positions(df), st.dependence_tokens(df)))
+    data = [tuple(r) for r in st.flow_edges(st.data_tokens(df)).collect()]
+    assert sorted(whole) == sorted(chosen)
+    assert sorted(data) == sorted((d, *rest) for d, kind, *rest in whole if kind == "data")
+    return set(whole)
 
 
 @pytest.fixture(scope="module")
