@@ -234,13 +234,17 @@ def flow_edges(tokens: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("pos")
     following = F.col("next") if "next" in tokens.columns else F.lead("token").over(w)
     t = tokens.withColumn("_next", following)
-    t = t.filter(F.col("token").rlike(IDENT_RE)).withColumn("is_def", F.col("_next") == "=")
-    wd = Window.partitionBy("doc_id", "token").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("def_pos", F.last(F.when(F.col("is_def"), F.col("pos")), ignorenulls=True).over(wd))
+    t = _last_definition(t.filter(F.col("token").rlike(IDENT_RE)).withColumn("is_def", F.col("_next") == "="))
     return t.filter(~F.col("is_def") & F.col("def_pos").isNotNull()).select(
         "doc_id", F.col("token").alias("var"), "def_pos", F.col("pos").alias("use_pos"))
 
 
+def _last_definition(t: DataFrame) -> DataFrame:
+    """``def_pos``: the last definition (``is_def``) of the same token before each token."""
+    before = Window.partitionBy("doc_id", "token").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return t.withColumn("def_pos", F.last(F.when(F.col("is_def"), F.col("pos")), ignorenulls=True).over(before))
+
+
 # Keywords whose header makes what follows conditional.
 HEADER_WORDS = ("if", "while", "for", "switch", "catch")  # followed by a header in parentheses
 BARE_WORDS = ("else", "do")
@@ -268,17 +272,29 @@ def control_edges(tokens: DataFrame) -> DataFrame:
     depth of conditions, and the last block opened at a statement's depth is the
     one around it. Braces and parentheses without a partner open nothing.
     """
+    t = _with_neighbours(tokens)
+    found = _conditions(t.filter(_shapes_control(F.col("token"), F.col("prev"))))
+    return found.filter(F.col("_by").isNotNull()).select(
+        "doc_id", F.col("_by.word").alias("var"), F.col("_by.at").alias("def_pos"), F.col("pos").alias("use_pos"))
+
+
+def _with_neighbours(tokens: DataFrame) -> DataFrame:
+    """``prev`` and ``next`` of every token, where the table does not have them yet."""
+    if {"prev", "next"} <= set(tokens.columns):
+        return tokens
+    doc = Window.partitionBy("doc_id").orderBy("pos")
+    return tokens.select("doc_id", "pos", "token", F.lag("token").over(doc).alias("prev"), F.lead("token").over(doc).alias("next"))
+
+
+def _conditions(t: DataFrame) -> DataFrame:
+    """Adds ``_by`` = (word, at), the condition of each token that starts a statement. Positions count all tokens of
+    a text; of the rows, those of ``_shapes_control`` decide, others do no harm."""
     doc = Window.partitionBy("doc_id").orderBy("pos")
     upto = doc.rowsBetween(Window.unboundedPreceding, 0)
     tok = F.col("token")
     steps = {kind: F.when(tok == a, 1).when(tok == b, -1).otherwise(0)
              for kind, (a, b) in {"round": ("(", ")"), "curly": ("{", "}")}.items()}
-    if "prev" in tokens.columns:  # neighbours are known: positions have no gaps
-        before = [F.col("prev").alias("_prev"), F.when(F.col("pos") > 0, F.col("pos") - 1).alias("_prev_pos")]
-    else:
-        before = [F.lag("token").over(doc).alias("_prev"), F.lag("pos").over(doc).alias("_prev_pos")]
-    # only brackets, bare words and the tokens after them matter
-    t = tokens.select("doc_id", "pos", "token", *before).filter(_shapes_control(tok, F.col("_prev")))
+    t = t.withColumn("_prev", F.col("prev")).withColumn("_prev_pos", F.when(F.col("pos") > 0, F.col("pos") - 1))
     t = t.select("*", *[F.sum(v).over(upto).alias(f"_{k}") for k, v in steps.items()])
     # a bracket's level: the depth inside it, so that both brackets of a pair have the same one
     t = t.withColumn("_level", F.when(tok.isin("(", "{"), F.when(tok == "(", F.col("_round")).otherwise(F.col("_curly")))
@@ -301,15 +317,24 @@ def control_edges(tokens: DataFrame) -> DataFrame:
     t = t.withColumn("_around", F.when(F.col("_conditions") > 0, F.last(
         F.when(F.col("_opens"), F.col("_after")), ignorenulls=True).over(around)))
     starts = F.col("_after").isNotNull() | F.col("_prev").isin("{", "}") | ((F.col("_prev") == ";") & (F.col("_round") == 0))
-    found = t.filter(starts & ~tok.isin("{", "}", ";", "(", ")")).withColumn("_by", F.coalesce("_after", "_around"))
-    return found.filter(F.col("_by").isNotNull()).select(
-        "doc_id", F.col("_by.word").alias("var"), F.col("_by.at").alias("def_pos"), F.col("pos").alias("use_pos"))
+    return t.withColumn("_by", F.when(starts & ~tok.isin("{", "}", ";", "(", ")"), F.coalesce("_after", "_around")))
 
 
 def dependence_edges(tokens: DataFrame) -> DataFrame:
-    """F4, both kinds: data edges (definition -> use) and control edges (condition -> statement)."""
-    return (flow_edges(tokens).withColumn("kind", F.lit("data"))
-            .unionByName(control_edges(tokens).withColumn("kind", F.lit("control"))))
+    """F4, both kinds: data edges (definition -> use) and control edges (condition -> statement).
+
+    The rows of a text are shuffled once: all windows of both kinds are within a text.
+    """
+    ident = F.col("token").rlike(IDENT_RE)
+    t = _with_neighbours(tokens).filter(ident | _shapes_control(F.col("token"), F.col("prev"))).repartition("doc_id")
+    t = _conditions(_last_definition(t.withColumn("is_def", ident & (F.col("next") == "="))))
+    is_use = ident & ~F.col("is_def") & F.col("def_pos").isNotNull()
+    edges = F.array(F.when(is_use, F.struct(F.lit("data").alias("kind"), F.col("token").alias("var"), F.col("def_pos"))),
+                    F.when(F.col("_by").isNotNull(), F.struct(F.lit("control").alias("kind"), F.col("_by.word").alias("var"),
+                                                              F.col("_by.at").alias("def_pos"))))
+    e = t.select("doc_id", F.col("pos").alias("use_pos"), F.explode(F.array_compact(edges)).alias("_e"))
+    return e.select("doc_id", F.col("_e.var").alias("var"), F.col("_e.def_pos").alias("def_pos"), "use_pos",
+                    F.col("_e.kind").alias("kind"))
 
 
 def data_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,11 +343,11 @@ def data_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def dependence_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The tokens that ``dependence_edges`` can use, with their neighbours, chosen inside each row and written
-    once: texts are lexed once for both kinds, and tokens that no edge can touch are never shuffled."""
-    return cut_lineage(token_neighbours(
+    """The tokens that ``dependence_edges`` can use, with their neighbours, chosen inside each row: tokens that
+    no edge can touch are never shuffled."""
+    return token_neighbours(
         df, lambda t, prev, nxt, names: (F.array_contains(names, t) & t.rlike(IDENT_RE)) | _shapes_control(t, prev),
-        id_col, text_col))
+        id_col, text_col)
 
 
 def prescreen(pairs: DataFrame, stats: DataFrame, size_tol: float = 0.5, hist_tol: float = 0.5) -> DataFrame:
