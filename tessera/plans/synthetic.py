@@ -70,15 +70,16 @@ def measured(spark: SparkSession, root: str) -> DataFrame:
     words; grams: distinct word 5-grams over word 5-grams. A text without words
     (grams: with fewer than five) has no score and is left out.
     """
-    lab = table(spark, root, "labels").select("doc_id", "quality")
-    toks = word_tokens("text")
-    t = lab.join(table(spark, root, "documents").select("doc_id", toks.alias("t")), "doc_id")
+    t = table(spark, root, "documents").select("doc_id", word_tokens("text").alias("t"))
     n = F.size("t")
     grams = F.transform(safe_range(n - 4, 1), lambda i: F.concat_ws(" ", F.slice("t", i, 5)))
     letters = F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + F.length(x))
     scores = {"words": F.when(n > 0, F.size(F.array_distinct("t")) / n), "letters": F.when(n > 0, letters / n),
               "grams": F.when(n > 4, F.size(F.array_distinct(grams)) / (n - 4))}
-    per = F.array(*[F.struct(F.lit(k).alias("detector"), v.alias("similarity")) for k, v in scores.items()])
+    # texts are measured where they are read: the join moves three numbers a text
+    t = t.select("doc_id", *[v.alias(k) for k, v in scores.items()]).join(
+        table(spark, root, "labels").select("doc_id", "quality"), "doc_id")
+    per = F.array(*[F.struct(F.lit(k).alias("detector"), F.col(k).alias("similarity")) for k in scores])
     rows = t.select(F.col("doc_id").alias("submission_id"), (F.col("quality") == 1).alias("is_plagiarized"), F.inline(per))
     return rows.filter("similarity IS NOT NULL")
 
