@@ -176,7 +176,8 @@ class Walk:
 def _task(top: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        groups = [r for r in rows if r["terms"] is None]
+        # rows come in any order: by source, a pair has the same first side in every block
+        groups = sorted((r for r in rows if r["terms"] is None), key=lambda r: r["source"].encode())
         language = [r for r in rows if r["terms"] is not None]
         lang, lo, hi, terms = (rows[0][c] for c in ("lang", "lo", "hi", "v"))
         width = rows[0]["width"]

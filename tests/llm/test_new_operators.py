@@ -288,6 +288,19 @@ def test_audit_against_plain_version(spark, block, tile):
     assert len(got) == len(set(got)) and set(got) == brute_audit(rows, 10, 4)
 
 
+def test_a_pair_has_the_same_first_side_in_every_block():
+    made = []
+    for order in (1, -1):  # rows of a task come in any order
+        rows = [dict(lang="en", block=0, lo=0, hi=0, v=2, width=2, source=s, tile=0, total=3, at=[0, 1], n=n, terms=None)
+                for s, n in (("a", [1, 2]), ("b", [2, 1]), ("é", [3, 0]))][::order]
+        schema = pa.schema([(c, pa.string()) for c in ("lang", "source")] + [(c, pa.int64()) for c in (
+            "block", "lo", "hi", "v", "width", "tile", "total")] + [(c, pa.list_(pa.int64())) for c in ("at", "n")]
+            + [("terms", pa.list_(pa.string()))])
+        out = divergence._task(10)(pa.Table.from_pylist(rows, schema)).to_pylist()
+        made.append({(r["source"], r["item"], r["value"]) for r in out})
+    assert made[0] == made[1] and {m[:2] for m in made[0]} == {("a", "b"), ("a", "é"), ("b", "é")}
+
+
 def test_audit_of_an_empty_table_and_of_no_terms(spark):
     schema = "text string, lang string, source string"
     assert divergence.audit(spark.createDataFrame([], schema)).count() == 0
