@@ -192,3 +192,18 @@ def test_tiles_and_chains_of_the_given_documents(spark, sf_check):
 def test_word_docs_have_the_tokens_that_runs_count(spark, sf_small):
     d = detect.word_docs(spark, sf_small).filter("size(tokens) > 0").first()
     assert all(t == t.lower() and t for t in d.tokens)
+
+
+def test_only_grams_found_again_leave_the_scan_and_ids_may_repeat(spark):
+    rnd = random.Random(5)
+    rows = [(k, [rnd.choice("abc") for _ in range(rnd.randrange(30))]) for k in range(12)] + [(3, list("abcabcab"))]
+    rows += [(None, list("abcabc")), (20, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, tokens array<string>")
+    got = tr.edge_grams(docs, 4)
+    plain = [(d, i, tuple(t[i:i + 4])) for d, t in rows if t for i in range(len(t) - 3)]
+    often = defaultdict(int)
+    for _, _, g in plain:
+        often[g] += 1
+    want = sorted((d, i) for d, i, g in plain if often[g] > 1 and d is not None)
+    found = sorted((r.doc_id, r.pos) for r in got.collect())
+    assert set(want) <= set(found) and len([x for x in found if x[0] != 3]) == len([x for x in want if x[0] != 3])
