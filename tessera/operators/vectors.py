@@ -28,27 +28,37 @@ def chunk(df: DataFrame, max_tokens: int = 512, stride: int = 256, tokens_col: s
     """H1: sliding windows of max_tokens - 2 tokens every ``stride`` tokens,
     stopping once the end is covered: (keep..., window, start, tokens)."""
     inner = max_tokens - 2
-    t = F.col(tokens_col)
-    nw = n_windows(F.size(t), max_tokens, stride)
-    wins = F.transform(safe_range(nw - 1, 0), lambda k: F.struct(
-        k.alias("window"), (k * stride).alias("start"), F.slice(t, k * stride + 1, inner).alias("tokens")))
-    return df.select(*keep, F.inline(wins))
+
+    def windows(t: Column) -> Column:  # the tokens are made once, not for every window
+        return F.transform(safe_range(n_windows(F.size(t), max_tokens, stride) - 1, 0), lambda k: F.struct(
+            k.alias("window"), (k * stride).alias("start"), F.slice(t, k * stride + 1, inner).alias("tokens")))
+
+    # outer, then a filter: no size check on the windows is pushed into the scan
+    return df.select(*keep, F.inline_outer(let(F.col(tokens_col), windows))).filter(F.col("window").isNotNull())
 
 
 def hashing_embedding(tokens, dim: int = 64) -> Column:
     """H2 default encoder: token counts hashed into ``dim`` buckets
     (pmod(xxhash64(token), dim)), L2-normalised; builtin, deterministic."""
-    # each token is hashed once; the counts are then taken over small integers
-    counts = let(F.transform(_c(tokens), lambda x: F.pmod(F.xxhash64(x), F.lit(dim)).cast("int")),
-                 lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                        lambda i: F.size(F.filter(bs, lambda x: x == i)).cast("double")))
-    return normalize(counts)
+    # the buckets of the tokens and each bucket once more, sorted: the length of a
+    # bucket's run, less one, is its count. One pass, whatever the dimension.
+    buckets = F.transform(_c(tokens), lambda x: F.pmod(F.xxhash64(x), F.lit(dim)).cast("int"))
+    runs = F.sort_array(F.concat(buckets, F.sequence(F.lit(0), F.lit(dim - 1))))
+
+    def counts(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda p, k: (
+            F.coalesce(F.get(at, k + 1), F.size(s)) - p - 1).cast("double")))
+
+    return let(let(runs, counts), normalize)
 
 
 def normalize(v) -> Column:
-    v = _c(v)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    def over(x: Column) -> Column:  # the norm is taken once, not for every element
+        return let(F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, e: s + e * e)),
+                   lambda norm: F.when(norm > 0, F.transform(x, lambda e: e / norm)).otherwise(x))
+
+    return let(_c(v), over)
 
 
 def embed(df: DataFrame, tokens_col: str = "tokens", dim: int = 64,
