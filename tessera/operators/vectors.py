@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import let, safe_range
+from .meeting import BLOCK_BYTES, CELLS, OUT_ROWS, Found, meet, sides
 
 
 def _c(x) -> Column:
@@ -113,28 +116,70 @@ def max_over_files(scores: DataFrame, sub_key: str, score: str = "similarity") -
 
 
 def similar_vectors(df: DataFrame, tau: float, id_col: str = "vec_id", vec_col: str = "embedding",
-                    bucket_length: float = 1.0, num_tables: int = 8, seed: int = 7) -> DataFrame:
-    """H6: pairs with cosine >= tau (clones = near points).
-
-    Candidates from random-projection LSH (``approxSimilarityJoin``: an
-    equi-join on bucket ids, never all pairs) at the Euclidean radius that
-    corresponds to tau for unit vectors, then verified with the exact cosine.
-    LSH recall is governed by ``num_tables`` / ``bucket_length``.
+                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """H6: all pairs with cosine >= tau (clones = near points), id_a < id_b.
+
+    Exact, for tau > 0: at a low tau the buckets of an LSH hold most pairs anyway, so
+    the vectors are dealt into bounded blocks and each task multiplies two of them as
+    matrices (see ``meeting``); what comes near tau is counted anew with the sums of
+    ``cosine``. Null vectors and ids match nothing, nor do vectors of two lengths.
+    Rows of one id are one vector: its best cosine counts.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    v = df.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("arr")).filter(
+        F.col("id").isNotNull() & F.col("arr").isNotNull())
+    kind = v.schema["id"].dataType.simpleString()
+    met = meet(v, "id", F.size("arr") * 8 + 16, block_bytes)
+    j = met.groupBy("lo", "hi").applyInArrow(_near(tau), f"id_a {kind}, id_b {kind}, cosine double")
+    if v.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return j
+    return j.groupBy("id_a", "id_b").agg(F.max("cosine").alias("cosine"))
+
+
+def _sum(m: np.ndarray) -> np.ndarray:
+    """Sums of the rows from left to right, as Spark's ``aggregate`` takes them."""
+    return np.cumsum(m, axis=1)[:, -1]
+
+
+def _near(tau: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        left, right, same = sides(table)
+        found = Found(table["id"], ["id_a", "id_b", "cosine"])
+        flat = table["arr"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        size = pc.list_value_length(table["arr"]).to_numpy().astype(np.int64)
+        start = np.cumsum(size) - size
+        for d in np.unique(size[size > 0]):
+            a, b = left[size[left] == d], right[size[right] == d]
+            if not len(a) or not len(b):
+                continue
+            x, y = (_normal(flat[start[r][:, None] + np.arange(d)]) for r in (a, b))
+            nx, ny = np.sqrt(_sum(x * x)), np.sqrt(_sum(y * y))
+            step = max(1, CELLS // len(b))
+            for lo in range(0, len(a), step):
+                j0 = lo if same else 0
+                with np.errstate(invalid="ignore"):
+                    hit = np.flatnonzero((x[lo:lo + step] @ y[j0:].T >= tau - 1e-9).reshape(-1))
+                i, j = lo + hit // (len(b) - j0), j0 + hit % (len(b) - j0)
+                keep = found.rank[a[i]] != found.rank[b[j]]
+                if same:
+                    keep &= j > i
+                i, j = i[keep], j[keep]
+                for k in range(0, len(i), CELLS // 64):
+                    p, q = i[k:k + CELLS // 64], j[k:k + CELLS // 64]
+                    cos = np.maximum(_sum(x[p] * y[q]) / (nx[p] * ny[q]), 0.0)
+                    ok = cos >= tau
+                    if ok.any():
+                        found.add(a[p[ok]], b[q[ok]], (cos[ok],))
+                    if found.n >= OUT_ROWS:
+                        yield found.batch()
+        if found.n:
+            yield found.batch()
+    return run
 
-    v = df.select(F.col(id_col).alias("id"), normalize(F.transform(vec_col, lambda x: x.cast("double"))).alias("arr"))
-    v = v.withColumn("features", array_to_vector("arr"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(v)
-    radius = float(np.sqrt(max(0.0, 2.0 * (1.0 - tau)))) + 1e-9
-    j = lsh.approxSimilarityJoin(v, v, radius, distCol="dist")
-    j = j.select(F.col("datasetA.id").alias("id_a"), F.col("datasetB.id").alias("id_b"),
-                 F.col("datasetA.arr").alias("a"), F.col("datasetB.arr").alias("b")).filter("id_a < id_b")
-    j = j.select("id_a", "id_b", cosine("a", "b").alias("cosine")).filter(F.col("cosine") >= tau)
-    return j.dropDuplicates(["id_a", "id_b"])
 
+def _normal(m: np.ndarray) -> np.ndarray:
+    norm = np.sqrt(_sum(m * m))[:, None]
+    return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)  # a zero vector is near nothing
 
 
 QUERY_BYTES = 8 << 20  # size of a block of query vectors
@@ -181,8 +226,6 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _search(block, tau: float, cells: int = 4_000_000):
-    import pyarrow as pa
-
     def run(batches):
         mats = block.value
         for b in batches:

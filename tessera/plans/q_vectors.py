@@ -90,7 +90,7 @@ def h5_max_over_files(spark, root):
 
 @register("h6_similar_vectors")
 def h6_similar_vectors(spark, root):
-    """Vector pairs with cosine >= 0.3: LSH candidates, exact verification."""
+    """All vector pairs with cosine >= 0.3, exactly: blocks of vectors meet as matrices."""
     return vo.similar_vectors(table(spark, root, "embeddings"), 0.3)
 
 
