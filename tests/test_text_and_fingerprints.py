@@ -178,3 +178,28 @@ def test_a_cut_table_is_small_and_leaves_no_shuffle(spark):
     assert 0 < sum(map(os.path.getsize, files)) < 14 * 200_000  # a checkpoint of rows takes more than 40 bytes each
     assert [(f.name, f.dataType) for f in cut.schema] == [(f.name, f.dataType) for f in df.schema]
     assert cut.exceptAll(df).isEmpty() and df.exceptAll(cut).isEmpty()
+
+
+def test_batches_pick_the_fingerprints_of_the_expressions(spark):
+    rng = random.Random(5)
+    rows = [(i, "en", [rng.choice(["a", "b", "c", "d é", "x\x1fy", ""]) for _ in range(n)])
+            for i, n in enumerate([0, 1, 4, 5, 6, 7, 8, 9, 12, 200, 3000])]
+    rows += [(20, None, None), (21, "en", ["a", None, "b", "c", None, "d", "e", "a", "b"]), (22, "de", [None] * 7),
+             (None, "de", ["a"] * 40), (9, "en", ["a", "b"] * 9)]
+    df = spark.createDataFrame(rows, "doc_id int, lang string, tokens array<string>").repartition(3)
+    for k, w in ((5, 4), (5, 1), (1, 3), (2, 9)):
+        hashed = df.select("doc_id", "lang", kgram_hashes("tokens", k, "md5").alias("h"))
+        plain = hashed.select("lang", "doc_id", F.size("h").cast("long").alias("n_kgrams"), winnow("h", w).alias("fp"))
+        plain = plain.withColumn("n_fp", F.size("fp").cast("long"))
+        made = fpo.fingerprints(df, k=k, w=w, hash_fn="md5", keep=("lang",))
+        assert made.columns == plain.columns
+        assert sorted(map(repr, made.collect())) == sorted(map(repr, plain.collect())), (k, w)
+
+
+def test_a_filter_does_not_fingerprint_twice(spark):
+    df = spark.createDataFrame([(1, list("abcdefgh"))], "doc_id int, tokens array<string>")
+    fp = fpo.fingerprints(df, k=5, w=4, hash_fn="md5").filter("n_fp > 0").select("doc_id", F.size("fp").alias("n"))
+    plan = fp._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "md5(" not in plan, plan
+    ids = fpo.doc_hash_rows(fpo.fingerprints(df, hash_fn="md5"), docs=df)
+    assert sorted(r.n_fp for r in ids.collect()) and ids._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
