@@ -105,3 +105,16 @@ def test_star_misses_are_found_between_components(spark):
     df = spark.createDataFrame(rows_of(docs), SCHEMA)
     got = {r.doc_id: (r.cluster, r.links) for r in families.linked_documents(df, 0.5).collect()}
     assert got == {0: (0, 1), 1: (1, 1), 2: (1, 1), 3: (0, 1)} == brute(docs, 0.5)
+
+
+def test_families_that_share_a_passage_only_are_no_candidates(spark):
+    # 12 families of three near copies; a passage of two fingerprints is in all of them
+    rows = [(h, d, 1, 10) for f in range(12) for d in range(3 * f, 3 * f + 3)
+            for h in [*range(100 * f + 1, 100 * f + 8), 5000, 5001, 10_000 + d]]
+    dh = spark.createDataFrame(rows, "hash long, doc_id int, n_pos long, n_fp long")
+    shared = fpo.shared_fingerprints(dh, 0.3)
+    labels = dh.select("doc_id", (F.col("doc_id") - F.col("doc_id") % 3).alias("comp")).distinct()
+    assert families._crossing_pairs(shared, labels, (), 0.3).count() == 0  # 2 of 10 are open: 630 pairs in the old prefixes
+    some = {(r.doc_a, r.doc_b) for r in families._crossing_pairs(shared, labels, (), 0.2).collect()}
+    assert len(some) == 36 * 35 // 2 - 36
+    assert {r.links for r in families.linked_documents(dh, 0.3).collect()} == {2}
