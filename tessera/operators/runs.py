@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import kgram_hashes
 from ..functions.text import statements
 from ..session import cut_lineage
-from .fingerprint import prefix_pairs, text_classes
+from .fingerprint import overlap_pairs, shared_fingerprints, text_classes
 
 
 def grams_from_tokens(df: DataFrame, r: int, id_col: str = "doc_id", tokens_col: str = "tokens",
@@ -168,14 +168,16 @@ def order_free_similarity(bags: DataFrame, scope: tuple[str, ...] = (), threshol
 
     overlap = sum over shared statements of min(cnt_a, cnt_b); similarity =
     overlap / max(n_a, n_b). At similarity t both sides share at least t of
-    their statements, so candidates come from the rare prefixes (frequencies
+    their statements, so candidates meet in both rare prefixes (frequencies
     counted within the scope), and the overlap counts every shared statement.
+    Statements of one document alone are in no pair and are not joined.
     """
     dh = cut_lineage(_bag_masses(bags, scope))
     heads = text_classes(dh, scope).filter("doc_id = class_id").select("doc_id", *scope)
     reps = dh.join(heads, ["doc_id", *scope], "left_semi")
-    cand = prefix_pairs(reps, threshold, scope)
-    side = (lambda d, x: reps.select("hash", *scope, F.col("doc_id").alias(d), F.col("n_pos").alias(f"c{x}"),
+    shared = cut_lineage(shared_fingerprints(reps, threshold, scope))
+    cand = overlap_pairs(shared, threshold, scope)
+    side = (lambda d, x: shared.select("hash", *scope, F.col("doc_id").alias(d), F.col("n_pos").alias(f"c{x}"),
                                      F.col("n_fp").alias(f"n{x}")))
     j = cand.join(side("doc_a", "a"), [*scope, "doc_a"]).join(side("doc_b", "b"), [*scope, "doc_b", "hash"])
     g = j.groupBy(*scope, "doc_a", "doc_b").agg(F.sum(F.least("ca", "cb")).alias("overlap"),
