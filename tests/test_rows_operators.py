@@ -194,6 +194,54 @@ def _write(path, text):
         f.write(text)
 
 
+def _labelled_root(spark):
+    root = tempfile.mkdtemp(prefix="tessera-labelled-", dir="/tmp")
+    langs = ["en", "de", "fr", "es", "it", None]
+    docs = [(i, langs[i % 6], f"text {i}\nline" if i else "") for i in range(40)]
+    spark.createDataFrame(docs + [(7, "de", "second 7")], "doc_id long, lang string, text string").write.parquet(
+        f"{root}/documents.parquet")
+    labels = [(i, (0, 1, 1, None)[i % 4]) for i in range(36)] + [(7, 1), (None, 1), (39, 2)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{root}/labels.parquet")
+    spark.createDataFrame([(i, f"item {i}") for i in range(9)], "item_id long, text string").write.parquet(
+        f"{root}/benchmark.parquet")
+    return root, docs + [(7, "de", "second 7")], labels
+
+
+def test_a_text_is_one_file_and_nothing_beside_it(spark):
+    root = tempfile.mkdtemp(prefix="tessera-texts-", dir="/tmp")
+    texts = [f"text {i}\nof two lines" for i in range(50)] + [""]
+    sinks.write_texts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), f"{root}/case-01/original")
+    names = os.listdir(f"{root}/case-01/original")
+    assert len([x for x in names if x.endswith(".txt")]) == len(texts)
+    assert not [x for x in names if x.endswith(".crc")]  # a checksum file for each text doubles the files
+    got = corpus.read_submissions(spark, root, "*.txt").collect()
+    assert sorted(r["text"] for r in got) == sorted(t + "\n" for t in texts)
+
+
+def test_a_folder_of_the_tree_is_made_from_its_own_texts(spark):
+    from tessera.plans.q_sources import a1_read_submissions, labelled_texts
+
+    root, docs, labels = _labelled_root(spark)
+    case = {"en": 1, "de": 2, "fr": 3, "es": 4}
+    want = Counter((text, case[lang], 0 if q == 0 else i % 6 + 1) for i, lang, text in docs for j, q in labels
+                   if i == j and lang in case and q in (0, 1))
+    dealt = labelled_texts(spark, root)
+    assert Counter(tuple(r) for r in dealt.collect()) == want
+    one = dealt.filter("n = 2 AND level = 2")
+    assert Counter(r.text for r in one.collect()) == Counter({t: k for (t, n, v), k in want.items() if (n, v) == (2, 2)})
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "n#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "DataFilters: []" in plan
+    tree = Counter((r["case"], r["level"]) for r in a1_read_submissions(spark, root).filter("role <> 'original'").collect())
+    assert tree == _levels(want)
+
+
+def _levels(want):
+    out = Counter()
+    for (_, n, level), k in want.items():
+        out[f"case-0{n}", f"L{level}" if level else "non-plag"] += k
+    return out
+
+
 def test_read_submissions_tree(spark):
     root = tempfile.mkdtemp(prefix="tessera-corpus-", dir="/tmp")
     _write(f"{root}/case-01/original/T1.java", LOOP_SUM)
