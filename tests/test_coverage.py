@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import coverage as cv
 from tessera.operators import fingerprint as fpo
+from tessera.plans.catalog import QUERIES
 from test_families import SCHEMA, random_docs, rows_of
 
 
@@ -51,3 +54,19 @@ def test_rows_without_an_id_or_scope_are_in_no_pair(spark):
     reps = spark.createDataFrame(rows, SCHEMA).withColumn("class_size", F.lit(1).cast("long"))
     assert [(r.doc_a, r.doc_b) for r in fpo.representative_pairs(reps, 0.3, ("lang",)).collect()] == [(3, 4)]
     assert fpo.representative_pairs(reps.filter("false"), 0.3).count() == 0
+
+
+def test_e8_reports_the_pairs_of_copies(spark, tmp_path):
+    """Before, only the lowest document of a text was in a pair."""
+    rnd = random.Random(3)
+    base = [f"w{rnd.randrange(1000)}" for _ in range(40)]
+    near = [*base[:30], *[f"v{k}" for k in range(10)]]
+    texts = [(1, base), (2, near), (3, base), (4, near), (5, [f"z{k}" for k in range(20)])]
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in texts]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    every = {(r.doc_a, r.doc_b): r.max_sim for r in QUERIES["e8_apply_metric"](spark, str(tmp_path)).collect()}
+    assert set(every) == {(a, b) for a in range(1, 5) for b in range(a + 1, 5)}
+    assert every[1, 3] == every[2, 4] == 1.0 and every[2, 3] == every[1, 2] < 1.0
+    heads = QUERIES["e8_apply_metric_max"](spark, str(tmp_path)).collect()
+    assert [(r.doc_a, r.doc_b) for r in heads] == [(1, 2)]
