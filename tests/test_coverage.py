@@ -27,11 +27,11 @@ def plain_pairs(docs, threshold, metric):
 
 
 @pytest.mark.parametrize("seed,metric,block_bytes", [(1, "max", 400), (2, "combined", 400), (3, "max", 1 << 20), (4, "combined", 900)])
-def test_covered_pairs_equal_all_pairs(spark, monkeypatch, seed, metric, block_bytes):
-    monkeypatch.setattr(cv, "CELLS", 200)  # many tiles and slices
+def test_covered_pairs_equal_all_pairs(spark, seed, metric, block_bytes):
     docs = random_docs(seed)
     reps = spark.createDataFrame(rows_of(docs), SCHEMA).withColumn("class_size", F.col("doc_id") + 1)
-    out = cv.covered_pairs(cv.bundled_fingerprints(reps, ("lang",)), 0.3, ("lang",), metric == "combined", block_bytes)
+    out = cv.covered_pairs(cv.bundled_fingerprints(reps, ("lang",)), 0.3, ("lang",), metric == "combined", block_bytes,
+                           most=200)  # many tiles and slices
     got = {(r.doc_a, r.doc_b): r for r in fpo.apply_metric(out, metric, "s").filter("s >= 0.3").collect()}
     want = plain_pairs(docs, 0.3, metric)
     assert {k: (r.lang, r.shared, r.covered_a, r.covered_b, r.total_a, r.total_b) for k, r in got.items()} == want

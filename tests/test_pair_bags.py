@@ -11,14 +11,13 @@ from tessera.operators import meeting
 from tessera.operators import signals as sg
 
 
-def test_bags_of_pairs_meet_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(sg, "CELLS", 50)
+def test_bags_of_pairs_meet_in_blocks(spark):
     rnd = random.Random(2)
     bags = {d: Counter(f"i{int(rnd.random() ** 2 * 30)}" for _ in range(rnd.randrange(40))) for d in range(60)}
     pairs = {tuple(sorted(rnd.sample(range(62), 2))) for _ in range(400)}  # 60 and 61 have no bag
     b = spark.createDataFrame([(d, i, n) for d, bag in bags.items() for i, n in bag.items()], "doc_id long, item string, cnt long")
     p = spark.createDataFrame([(*x, "kept") for x in pairs], "doc_a long, doc_b long, note string")
-    out = sg.bag_similarity(p, b, "sim", block_bytes=600)
+    out = sg.bag_similarity(p, b, "sim", block_bytes=600, most=50)
     # before, a pair was joined to each item of its bags
     assert "CoGroup" in out._jdf.queryExecution().optimizedPlan().toString()
     got = {(r.doc_a, r.doc_b): r.sim for r in out.collect() if r.note == "kept"}
