@@ -383,18 +383,19 @@ def wl_labels(tree: DataFrame, rounds: int = 2) -> DataFrame:
     Round r label = xxhash64(label_{r-1}, neighbour count, sums of the
     neighbours' labels mod P): a commutative neighbourhood digest, one edge
     join + aggregation per round, checkpointed. Returns (doc_id, node, round, label)
-    for rounds 0..r.
+    for rounds 0..r. Both sides of the joins have a row a node: by the size of their
+    compressed files Spark would gather millions of them in the driver for a broadcast.
     """
     edges = tree.filter(F.col("parent").isNotNull()).select("doc_id", F.col("node").alias("a"), F.col("parent").alias("b"))
     edges = cut_lineage(edges.unionByName(edges.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b"))))
     lab = tree.select("doc_id", "node", F.xxhash64("tag").alias("label"))
     out = lab.withColumn("round", F.lit(0))
     for r in range(1, rounds + 1):
-        nb = edges.join(lab.select("doc_id", F.col("node").alias("b"), F.col("label").alias("lb")), ["doc_id", "b"])
+        nb = edges.join(lab.select("doc_id", F.col("node").alias("b"), F.col("label").alias("lb")).hint("merge"), ["doc_id", "b"])
         agg = nb.groupBy("doc_id", F.col("a").alias("node")).agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.pmod("lb", F.lit(P))).alias("s1"),
             F.sum(F.pmod(F.pmod("lb", F.lit(P)) * 31 + 7, F.lit(P))).alias("s2"))
-        lab = lab.join(agg, ["doc_id", "node"], "left").fillna(0, ["n", "s1", "s2"]).select(
+        lab = lab.join(agg.hint("merge"), ["doc_id", "node"], "left").fillna(0, ["n", "s1", "s2"]).select(
             "doc_id", "node", F.xxhash64("label", "n", "s1", "s2").alias("label"))
         lab = cut_lineage(lab)
         out = out.unionByName(lab.withColumn("round", F.lit(r)))
